@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlens.llm import byte_bpe, embedding_join, packing, simhash, token_cache
+from boxlens.llm import byte_bpe, embedding_join, line_dedup, packing, simhash, substring_index, token_cache
 from boxlens.llm.common import table
 
 WORD_TOKENIZER, BYTE_TOKENIZER, MULTI_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,10 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = token_cache.fresh_cache(spark, _path(WORD_TOKENIZER), collapse_space=True)
     return cache.count(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -43,15 +47,58 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), _path(MULTI_RANKS), public_tokenizers.PATTERN)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_index.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op3_token_counts": op3_token_counts,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.95
+),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(least(e.vec_id, coalesce(m, e.vec_id)) AS BIGINT) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN least ON e.vec_id = least.a LEFT JOIN counted ON e.vec_id = counted.a
+"""
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM w, unnest(range(1, len(ws) - 33)) AS t(i)),
+repeated AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows SEMI JOIN repeated USING (s)),
+kept AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) x ANTI JOIN gone g ON x.doc_id = g.doc_id AND x.p = g.p
+  GROUP BY x.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others apply trained models, tokenizers or XXH64; tests hold them against brute force."""
+    return {"op5_embedding_near_dedup": OP5_SQL, "op10_substring_dedup": OP10_SQL}
