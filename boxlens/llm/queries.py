@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlens.llm import byte_bpe, embedding_join, line_dedup, packing, simhash, substring_index, token_cache
-from boxlens.llm.common import table
+from boxlens.llm import byte_bpe, embedding_join, language_id, line_dedup, packing, simhash, substring_index, token_cache, toxicity, vector_search
+from boxlens.llm.common import crc32_of_id, table
 
 WORD_TOKENIZER, BYTE_TOKENIZER, MULTI_RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
 TOKEN_LIMIT = 2048
@@ -20,6 +20,12 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.pmod(crc32_of_id(), F.lit(4)) == 2, F.lit(False)))
+    net = language_id.fit(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), net).drop("text")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.count(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(crc32_of_id(), F.lit(3)) == 1, F.lit(False))
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.scored(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -41,6 +54,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _path(BYTE_TOKENIZER))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,11 +72,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_line_dedup": op2_line_dedup,
         "op3_token_counts": op3_token_counts,
+        "op4_toxicity": op4_toxicity,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_substring_dedup": op10_substring_dedup,
     }
