@@ -1,11 +1,13 @@
-"""Registry of the detection queries and their SQL."""
+"""All detection queries and their SQL."""
 
 from __future__ import annotations
 
+from boxlens.plans import cache_plans, detection_plans, evaluation_plans, grammar_plans, registry  # noqa: F401
 
-def queries():
-    return {}
 
+def queries() -> dict:
+    return dict(registry.QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.SQL)
