@@ -17,7 +17,9 @@ from boxlens.llm.common import Workspace, arrow_map
 from boxlens.llm.components import connected_components
 
 #: Rows a cell aims at, and the most pivots, which the driver holds. Cells that still are larger are joined in blocks.
-CELL_ROWS, MOST_PIVOTS, BLOCK_ROWS, CHUNK = 8192, 1024, 8192, 512
+CELL_ROWS, MOST_PIVOTS, BLOCK_ROWS, CHUNK = 8192, 1024, 32768, 256
+#: Pairs held at once in a block, and how far single precision may be off.
+MOST_PAIRS, SLACK = 4_000_000, 1e-4
 
 
 def usable(column: str = "embedding"):
@@ -64,6 +66,25 @@ def _cells(pivots: dict[int, np.ndarray], radius: float):
     return run
 
 
+def _pairs(x: np.ndarray, single: np.ndarray, rows: np.ndarray, others: np.ndarray, threshold: float):
+    """(i, j) of rows[i] and others[j] that link, by i, in parts of MOST_PAIRS or one row. Products in single precision; those near the threshold again in double."""
+    close = single[rows] @ single[others].T
+    found = close >= np.float32(threshold - SLACK)
+    number = found.sum(axis=1)
+    at = 0
+    while at < len(rows):
+        end, held = at + 1, number[at]
+        while end < len(rows) and held + number[end] <= MOST_PAIRS:
+            held += number[end]
+            end += 1
+        i, j = np.nonzero(found[at:end])
+        i += at
+        unsure = np.flatnonzero(close[i, j] < threshold + SLACK)
+        low = unsure[(x[rows[i[unsure]]] * x[others[j[unsure]]]).sum(axis=1) < threshold]
+        yield np.delete(i, low), np.delete(j, low)
+        at = end
+
+
 def _join_block(threshold: float):
     out = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
@@ -74,34 +95,25 @@ def _join_block(threshold: float):
         ids, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
         asks, answers = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "answers"))
         q, c = np.flatnonzero(asks), np.flatnonzero(answers)
-        label, rep, other, links, total = np.arange(len(x)), [], [], [], np.zeros(len(q), np.int64)
+        label, rep, other, total = np.arange(len(x)), [], [], np.zeros(len(q))
         for at in range(0, len(q), CHUNK):
             rows = q[at : at + CHUNK]
-            found = single[rows] @ single[c].T >= np.float32(threshold - 1e-4)
-            i, j = np.nonzero(found) if found.sum() < 4_000_000 else (None, None)
-            if i is None:  # a dense chunk: all of it in double
-                found = x[rows] @ x[c].T >= threshold
-            else:
-                ok = (x[rows[i]] * x[c[j]]).sum(axis=1) >= threshold
-                found[i[~ok], j[~ok]] = False
-            total[at : at + CHUNK] = found @ copies[c]
-            several = np.flatnonzero(found.any(axis=1))
-            for k in several:
-                near = c[found[k]]
-                got = label[near]
-                mine = label[rows[k]]
-                if (got == mine).all():
-                    continue
-                seen, first = np.unique(got, return_index=True)
-                for s, f in zip(seen, first, strict=True):
-                    if s != mine:
-                        rep.append(ids[rows[k]])
-                        other.append(ids[near[f]])
-                low = min(mine, seen[0])
-                label[np.isin(label, seen) | (label == mine)] = low
+            for i, j in _pairs(x, single, rows, c, threshold):
+                total[at : at + len(rows)] += np.bincount(i, copies[c[j]], len(rows))
+                edge = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else []
+                for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                    own, near = rows[i[lo]], c[j[lo:hi]]
+                    got, mine = label[near], label[own]
+                    if (got == mine).all():
+                        continue
+                    seen, first = np.unique(got, return_index=True)
+                    links = near[first[seen != mine]]
+                    rep += [int(ids[own])] * len(links)
+                    other += ids[links].tolist()
+                    label[np.isin(label, np.r_[seen, mine])] = min(mine, seen[0])
         some = np.flatnonzero(total)
-        n = len(some)
-        return pa.table([pa.array([*ids[q[some]].tolist(), *map(int, rep)], pa.int64()), pa.array([None] * n + [int(o) for o in other], pa.int64()), pa.array([*total[some].tolist()] + [None] * len(rep), pa.int64())], schema=out)
+        none = [None] * len(some)
+        return pa.table([pa.array([*ids[q[some]].tolist(), *rep], pa.int64()), pa.array([*none, *other], pa.int64()), pa.array([*total[some].astype(np.int64).tolist(), *[None] * len(rep)], pa.int64())], schema=out)
 
     return run
 
