@@ -18,58 +18,105 @@ from boxlens.llm.common import Workspace
 from boxlens.llm.embedding_join import usable
 
 PROJECTIONS, SEED = 128, 5
-#: A vector is a candidate once it collides on this share of the lines; windows widen until this share of the block is (and K at least).
+#: A vector is a candidate once it collides on this share of the lines; windows widen until this share of the block is, and 8 K more.
 COLLISIONS, VERIFIED = 0.6, 0.2
 #: The first window's half width, as a share of the vectors' length, and the factor of each rehashing.
-FIRST_WIDTH, FACTOR = 0.6, 1.12
-BLOCK_ROWS, QUERY_ROWS, K = 4096, 512, 20
+FIRST_WIDTH, FACTOR = 0.7, 1.08
+#: Vectors of a block and queries it meets at once; windows end at every STEP-th place of a sorted array.
+BLOCK_ROWS, QUERY_ROWS, CHUNK, STEP, K = 4096, 4096, 256, 16, 20
+
+
+class _Counter:
+    """Counts of many bits at once: plane p holds bit p of every count. Three words of a plane become one of it and one of the next."""
+
+    def __init__(self):
+        self.planes: list[np.ndarray] = []
+        self.waiting: list[np.ndarray | None] = []
+
+    def add(self, v: np.ndarray, p: int = 0) -> None:
+        if p == len(self.planes):
+            self.planes.append(v)
+            self.waiting.append(None)
+        elif self.waiting[p] is None:
+            self.waiting[p] = v
+        else:
+            a, b = self.planes[p], self.waiting[p]
+            half = a ^ b
+            carry = (a & b) | (half & v)
+            self.planes[p], self.waiting[p] = half ^ v, None
+            self.add(carry, p + 1)
+
+    def at_least(self, n: int) -> np.ndarray:
+        """Bits of the counts of n or more."""
+        for p in range(64):  # what waits goes in; carries may add planes
+            if p < len(self.planes) and self.waiting[p] is not None:
+                a, b = self.planes[p], self.waiting[p]
+                self.planes[p], self.waiting[p] = a ^ b, None
+                carry = a & b
+                if p + 1 == len(self.planes) or self.waiting[p + 1] is None:
+                    self.add(carry, p + 1)
+                else:
+                    c, d = self.planes[p + 1], self.waiting[p + 1]
+                    half = c ^ d
+                    self.planes[p + 1], self.waiting[p + 1] = half ^ carry, None
+                    self.add((c & d) | (half & carry), p + 2)
+        more, same = np.zeros_like(self.planes[0]), ~np.zeros_like(self.planes[0])
+        if n >> len(self.planes):
+            return more
+        for p in reversed(range(len(self.planes))):
+            if n >> p & 1:
+                same = same & self.planes[p]
+            else:
+                more = more | (same & self.planes[p])
+                same = same & ~self.planes[p]
+        return more | same
 
 
 class CollisionIndex:
-    """Sorted arrays of one block. vectors: (n, d) doubles."""
+    """Sorted arrays of one block. vectors: (n, d) doubles. The vectors up to every STEP-th place of an array are also kept as a set of bits, so a window is the difference of two sets, and collisions on all lines are counted for 64 vectors in a word."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
+        self.vectors, n = vectors, len(vectors)
         square = (vectors**2).sum(axis=1)
         self.length = float(np.sqrt(square.max()))
         more = np.sqrt(np.maximum(self.length**2 - square, 0))[:, None]
         self.lines = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         shadows = np.c_[vectors, more] @ self.lines
-        self.order = np.argsort(shadows, axis=0, kind="stable").T.astype(np.int64).copy()
-        self.sorted = np.sort(shadows, axis=0).T.copy()
+        order = np.argsort(shadows, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(shadows.T, order, 1)
+        parts, words = -(-n // STEP), -(-n // 64)
+        self.upto = np.zeros((PROJECTIONS, parts + 1, words), np.uint64)
+        part = np.arange(n) // STEP
+        for j in range(PROJECTIONS):
+            member = np.zeros((parts, words * 64), bool)
+            member[part, order[j]] = True
+            self.upto[j, 1:] = np.bitwise_or.accumulate(np.packbits(member, axis=1, bitorder="little").view("<u8"), axis=0)
+
+    def _collisions(self, centre: np.ndarray, width: float) -> np.ndarray:
+        """For each query (a column of centre) the set of vectors that lie within width on enough lines."""
+        counter = _Counter()
+        for sorted_, upto, c in zip(self.sorted, self.upto, centre, strict=True):
+            low = np.searchsorted(sorted_, c - width, "left") // STEP
+            high = -(-np.searchsorted(sorted_, c + width, "right") // STEP)
+            counter.add(upto[high] ^ upto[np.minimum(low, high)])
+        return counter.at_least(int(np.ceil(COLLISIONS * PROJECTIONS)))
 
     def candidates(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
         """Rows of the block that reach the collision threshold, of each query."""
-        n = len(self.vectors)
+        n, out = len(self.vectors), [np.zeros(0, np.int64)] * len(queries)
         size = np.sqrt((queries**2).sum(axis=1, keepdims=True))
         centre = (np.c_[queries * (self.length / size), np.zeros(len(queries))] @ self.lines).T
-        need, enough, out = int(np.ceil(COLLISIONS * PROJECTIONS)), min(n, k + 1 + int(VERIFIED * n)), []
-        widths, edges = FIRST_WIDTH * self.length, []
-
-        def window(turn: int) -> tuple[np.ndarray, np.ndarray]:
-            while len(edges) <= turn:
-                w = widths * FACTOR ** len(edges)
-                low = np.stack([np.searchsorted(s, c - w, "left") for s, c in zip(self.sorted, centre, strict=True)])
-                high = np.stack([np.searchsorted(s, c + w, "right") for s, c in zip(self.sorted, centre, strict=True)])
-                edges.append((low, high))
-            return edges[turn]
-
-        lines = range(PROJECTIONS)
-        for q in range(len(queries)):
-            counts, turn = np.zeros(n, np.int64), 0
-            low, high = (x[:, q] for x in window(0))
-            fresh = [self.order[j, low[j] : high[j]] for j in lines]
-            while True:
-                counts += np.bincount(np.concatenate(fresh), minlength=n)
-                hit = np.flatnonzero(counts >= need)
-                if len(hit) >= enough or len(hit) == n:
-                    out.append(hit)
-                    break
-                turn += 1
-                wider_low, wider_high = (x[:, q] for x in window(turn))
-                fresh = [self.order[j, a:b] for j in lines for a, b in ((wider_low[j], low[j]), (high[j], wider_high[j])) if b > a]
-                fresh = fresh or [np.zeros(0, np.int64)]
-                low, high = wider_low, wider_high
+        enough, first = min(n, 8 * k + int(VERIFIED * n)), FIRST_WIDTH * self.length
+        for at in range(0, len(queries), CHUNK):
+            open_, width, ends = np.arange(at, min(at + CHUNK, len(queries))), first, []
+            while open_.size:
+                hit = self._collisions(centre[:, open_], width)
+                done = np.bitwise_count(hit).sum(axis=1, dtype=np.int64) >= enough
+                for q, bits in zip(open_[done], hit[done], strict=True):
+                    out[q] = np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+                ends += [width] * int(done.sum())
+                open_, width = open_[~done], width * FACTOR
+            first = float(np.quantile(ends, 0.1))  # the next queries' windows begin where few of these ended
         return out
 
 
@@ -88,7 +135,12 @@ def _search(k: int):
         got: tuple[list, list, list] = ([], [], [])
         for q, found in enumerate(CollisionIndex(rows).candidates(queries, k)):
             found = found[own[found] != asked[q]]
-            score = (rows[found] * queries[q]).sum(axis=1)
+            near = rows[found]
+            rough = near @ queries[q]
+            if len(found) > k:  # the last kept and all that rounding could put before it
+                kept = np.flatnonzero(rough >= np.partition(rough, -k)[-k] - 1e-9 * max(1.0, np.abs(rough).max()))
+                found, near = found[kept], near[kept]
+            score = (near * queries[q]).sum(axis=1)
             best = np.lexsort((own[found], -score))[:k]
             got[0].append(np.full(len(best), asked[q]))
             got[1].append(own[found[best]])
