@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches end at this many bytes, so that a Python worker's memory does not follow the length of texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Words are maximal runs without these characters, which are also those that bytes.split() splits at.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 

@@ -67,7 +67,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
         for doc, h, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
-            rows = lines(text)
+            rows = lines(text or b"")
             out += [(doc, h, s["start"], s["n"], b"\n".join(rows[s["start"] : s["start"] + s["n"]])) for s in spans]
         cols = list(zip(*out, strict=True)) or [()] * 5
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -95,10 +95,11 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "lines")
     rows = docs.select("doc_id", "text")
-    return cut_out(rows, repeated_chunks(rows, work), lines, b"\n", "lines", False).withColumnRenamed("kept", "text")
+    cut = cut_out(rows, repeated_chunks(rows, work), lines, b"\n", False)
+    return cut.select(F.col("_rest.doc_id").cast("long").alias("doc_id"), F.col("n").alias("n_lines"), "n_removed", "text")
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """docs with those lines removed, all columns kept; every row stays."""
-    cut = cut_out(docs, repeated_chunks(docs, Workspace(docs.sparkSession, "lines")), lines, b"\n", "lines", True)
-    return with_text(cut, docs.columns)
+    spans = repeated_chunks(docs.select("doc_id", "text"), Workspace(docs.sparkSession, "lines"))
+    return with_text(cut_out(docs, spans, lines, b"\n", True), docs.columns)

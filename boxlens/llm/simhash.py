@@ -251,5 +251,5 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """docs with one row of each component: the one whose id names it, one of them where rows repeat that id. Rows with a null id stay. All columns stay."""
-    kept = near_duplicates(docs, width).where("doc_id = component_id").select("doc_id").distinct()
+    kept = near_duplicates(docs, width).where("doc_id = component_id").select("doc_id").distinct().hint("merge")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)

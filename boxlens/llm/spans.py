@@ -24,9 +24,10 @@ def by_document(spans: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Rows of docs, whole under _row, with their spans."""
-    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return whole.join(by_document(spans), F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("h") == F.col("s_h")), how)
+    """(doc_id, h, text, _rest, spans): rows of docs, the columns but the text under _rest. Both sides are always shuffled: what spans hold follows the input, so a plan that broadcasts them on less of it tells nothing."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"), rest)
+    return whole.join(by_document(spans).hint("merge"), F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("h") == F.col("s_h")), how)
 
 
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -37,34 +38,34 @@ def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def cut_out(docs: DataFrame, spans: DataFrame, split: Callable[[bytes], list[bytes]], glue: bytes, name: str, row: bool) -> DataFrame:
-    """Every row of docs with the pieces of its text that no span covers, glued: (_row if row, doc_id, n_{name}, n_removed, kept)."""
-    out = T.StructType([*([T.StructField("_row", docs.schema)] if row else []), T.StructField("doc_id", T.LongType()), T.StructField(f"n_{name}", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+def cut_out(docs: DataFrame, spans: DataFrame, split: Callable[[bytes], list[bytes]], glue: bytes, keep_whole: bool) -> DataFrame:
+    """Every row of docs: (_rest, n, n_removed, text), the pieces of its text that no span covers, glued. keep_whole: a text of which nothing is removed stays as it is, white space and null included."""
+    both = joined(docs, spans, "left").select("_rest", "text", "spans")
+    out = T.StructType([both.schema["_rest"], T.StructField("n", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, removed, kept = [], [], []
             found = b.column("spans")
-            values, offsets = found.values, found.offsets.to_numpy()
+            values, offsets, some = found.values, found.offsets.to_numpy(), found.is_valid().to_numpy(zero_copy_only=False)
             starts, lengths = (values.field(f).to_numpy(zero_copy_only=False) for f in ("start", "n"))
-            for k, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
-                parts = split(text)
-                total.append(len(parts))
-                lo, hi = offsets[k], offsets[k + 1]
-                if found[k].is_valid and hi > lo and parts:
-                    gone = covered(len(parts), starts[lo:hi], lengths[lo:hi])
-                    parts = [p for p, g in zip(parts, gone.tolist(), strict=True) if not g]
-                removed.append(total[-1] - len(parts))
-                kept.append(glue.join(parts).decode("utf-8", "replace"))
-            own = [b.column("_row")] if row else []
-            yield pa.RecordBatch.from_arrays([*own, b.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*(["_row"] if row else []), "doc_id", f"n_{name}", "n_removed", "kept"])
-
-    both = joined(docs, spans, "left").select(*(["_row"] if row else []), "doc_id", "text", "spans")
+            for k, text in enumerate(b.column("text").cast(pa.binary())):
+                text = text.as_py()
+                parts = split(text or b"")
+                lo, hi, n = offsets[k], offsets[k + 1], len(parts)
+                if some[k] and hi > lo and n:
+                    gone = covered(n, starts[lo:hi], lengths[lo:hi]).tolist()
+                    parts = [p for p, g in zip(parts, gone, strict=True) if not g]
+                total.append(n)
+                removed.append(n - len(parts))
+                kept.append(text if keep_whole and len(parts) == n else glue.join(parts))
+            yield pa.RecordBatch.from_arrays([b.column("_rest"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["_rest", "n", "n_removed", "text"])
+
     return arrow_map(both, run, out)
 
 
 def with_text(cut: DataFrame, columns: list[str]) -> DataFrame:
-    """The original columns, with the kept text and its length where something was removed."""
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("_row.text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in columns else None}
-    return cut.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in columns])
+    """The original columns, with the kept text, and its length in n_chars where something was removed."""
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_rest.n_chars")) if "n_chars" in columns else None
+    new = {"text": F.col("text"), "n_chars": length}
+    return cut.select(*[new[c].alias(c) if c in new else F.col(f"_rest.`{c}`").alias(c) for c in columns])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlens.llm.common import Workspace, arrow_map, slices
+from boxlens.llm.common import Workspace, arrow_map, as_bytes, slices
 from boxlens.llm.spans import cut_out, joined, keyed, with_text
 
 WINDOW, GRAM = 35, 6
@@ -100,7 +100,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         docs, hs = b.column(0).to_pylist(), b.column(1).to_pylist()
-        texts, spans = b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist()
+        texts, spans = as_bytes(b.column(2)), b.column(3).to_pylist()
         for s in slices([len(t) + 600 * len(x) for t, x in zip(texts, spans, strict=True)], SLICE_BYTES):
             out: list[tuple] = []
             digests: list[bytes] = []
@@ -180,9 +180,10 @@ def remove_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
     window stay. No rows: no rows. Extra columns are ignored.
     """
     rows = docs.select("doc_id", "text")
-    return cut_out(rows, _spans(rows, batches), words, b" ", "words", False).withColumnRenamed("kept", "text")
+    cut = cut_out(rows, _spans(rows, batches), words, b" ", False)
+    return cut.select(F.col("_rest.doc_id").cast("long").alias("doc_id"), F.col("n").alias("n_words"), "n_removed", "text")
 
 
 def stage(docs: DataFrame, batches: int = 2) -> DataFrame:
     """docs with those words removed, all columns kept; every row stays, and a text without repeats stays as it is."""
-    return with_text(cut_out(docs, _spans(docs.select("doc_id", "text"), batches), words, b" ", "words", True), docs.columns)
+    return with_text(cut_out(docs, _spans(docs.select("doc_id", "text"), batches), words, b" ", True), docs.columns)
