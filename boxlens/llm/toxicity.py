@@ -30,7 +30,7 @@ from boxlens.llm.common import arrow_map, slices
 
 #: Labelled texts that training reads, in expectation (all, where there are fewer).
 TOXIC_TEXTS, CLEAN_TEXTS = 1500, 3000
-ORDER, SPAN, DECAY = 4, 7, 0.5
+ORDER, SPAN, DECAY = 4, 7, 0.75
 #: A telling word is so many times as common in toxic texts. They are chosen until one explains fewer new toxic texts than
 #: LEAST_GAIN, or there are MOST_TELLING; a text is explained by DEPTH of them.
 ODDS, LEAST_GAIN, DEPTH, MOST_TELLING, CLEAN_WORDS, LANDMARKS = 15, 3, 3, 300, 4000, 400
@@ -154,7 +154,7 @@ def summed_up(values: np.ndarray, bias: float) -> np.ndarray:
     """Worst, second and third worst word, number of bad ones and of all."""
     top = np.sort(np.partition(values, -3)[-3:] if len(values) > 3 else values)[::-1]
     top = np.r_[top, np.full(3 - len(top), bias)]
-    return np.r_[np.clip(top, -2, 2), np.log1p((values > 0).sum()), np.log1p(len(values))]
+    return np.r_[np.clip(top, -2, 1), np.log1p((values > 0).sum()), np.log1p(len(values))]
 
 
 def text_words(text: str) -> set[bytes]:
@@ -269,7 +269,7 @@ def train(toxic: list[str], clean: list[str]) -> StringKernelSvm:
     values_, vectors = np.linalg.eigh(phi @ phi.T)
     good = values_ > 1e-8 * values_.max()
     whiten = vectors[:, good] / np.sqrt(values_[good])
-    positives = names + _disturbed(names, rng) + _disturbed(names, rng)
+    positives = names + [w for _ in range(4) for w in _disturbed(names, rng)]
     for _ in range(ROUNDS):  # each with the clean words that come nearest after the one before
         z = mapped(positives + some, whiten)
         y = np.r_[np.ones(len(positives)), -np.ones(len(some))]
