@@ -28,7 +28,7 @@ def curve(outcomes: DataFrame, npos: DataFrame, keys: list[str], order: list) ->
 
 def average_precision(points: DataFrame, npos: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the monotone envelope: each true positive adds the best precision from it on, over the number of positives. 0 without true positives; groups without positives are left out."""
-    after = Window.partitionBy(*keys).orderBy("rn").rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
     best = points.withColumn("envelope", F.max("precision").over(after)).where(F.col("outcome") == "tp")
     ap = best.groupBy(*keys).agg(F.sum(F.col("envelope") / F.col("npos")).alias("ap"))
     return npos.where("npos > 0").join(ap, keys, "left").select(*keys, "npos", F.coalesce("ap", F.lit(0.0)).alias("ap"))
@@ -53,7 +53,7 @@ def bootstrap_ap(det: DataFrame, gt: DataFrame, draws: DataFrame) -> DataFrame:
     is_ = lambda x: F.when(F.col("outcome") == x, F.col("times")).otherwise(0)
     points = drawn.withColumn("rn", F.row_number().over(w)).withColumn("tp", F.sum(is_("tp")).over(upto)).withColumn("fp", F.sum(is_("fp")).over(upto))
     points = points.withColumn("precision", F.when(F.col("tp") + F.col("fp") > 0, F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))))
-    after = Window.partitionBy("replicate", "cls_id").orderBy("rn").rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy("replicate", "cls_id").orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
     best = points.withColumn("envelope", F.max("precision").over(after)).where(F.col("outcome") == "tp")
     ap = best.groupBy("replicate", "cls_id").agg(F.sum(F.col("envelope") * F.col("times")).alias("s"))
     return npos.where("npos > 0").join(ap, ["replicate", "cls_id"], "left").select("replicate", "cls_id", "npos", (F.coalesce("s", F.lit(0.0)) / F.col("npos")).alias("ap"))
