@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boxlens.operators.running import range_cuts, running
+
 KEY = ["dataid", "scale", "x", "y"]
 SUPPORT_MARGIN = 1e-4
 
@@ -73,11 +75,10 @@ def retained(rows: DataFrame, most_bytes: int, most_examples: int) -> DataFrame:
     fixed = rows.where("is_mined = 0")
     mined = rows.where("is_mined = 1 and is_belief = 0")
     used = fixed.agg(F.coalesce(F.sum("byte_size"), F.lit(0)).alias("used_bytes"), F.countDistinct(F.struct(*KEY)).alias("used_examples"))
-    order = Window.orderBy("margin", "eid")
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = mined.withColumn("_first", (F.row_number().over(Window.partitionBy(*KEY).orderBy("margin", "eid")) == 1).cast("long"))
-    ranked = ranked.withColumn("_bytes", F.coalesce(F.sum("byte_size").over(upto), F.lit(0))).withColumn("_examples", F.sum("_first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    room = ranked.crossJoin(F.broadcast(used))  # one row
+    turn = F.row_number().over(Window.partitionBy(*KEY).orderBy("margin", "eid"))
+    ranked = mined.withColumn("_first", (turn == 1).cast("long"))
+    ranked = running(ranked, [], "margin", [F.col("margin"), F.col("eid")], range_cuts(mined, "margin"), {"_upto": F.col("byte_size"), "_examples": F.col("_first")}, descending=False)
+    room = ranked.withColumn("_bytes", F.col("_upto") - F.col("byte_size")).crossJoin(F.broadcast(used))  # one row
     fits = (F.col("_bytes") < F.greatest(F.lit(0), (F.lit(most_bytes) - F.col("used_bytes")) / 2)) & (F.col("_examples") <= F.greatest(F.lit(0), (F.lit(most_examples) - F.col("used_examples")) / 2))
     kept = room.where(fits | (F.col("margin") <= SUPPORT_MARGIN))
     beliefs = rows.where("is_mined = 1 and is_belief = 1").join(kept.select(*KEY).distinct(), KEY, "left_semi")

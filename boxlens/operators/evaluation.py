@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlens.operators.matching import claims
+from boxlens.operators.running import best_from_here, range_cuts, running
 
 
 def positives(gt: DataFrame, keys: list[str]) -> DataFrame:
     return gt.groupBy(*keys).agg(F.sum(F.when(~F.col("difficult"), 1).otherwise(0)).cast("long").alias("npos"))
 
 
-def running_counts(outcomes: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """tp and fp up to each row of a group."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    is_ = lambda x: (F.col("outcome") == x).cast("long")
-    return outcomes.withColumn("rn", F.row_number().over(w)).withColumn("tp", F.sum(is_("tp")).over(upto)).withColumn("fp", F.sum(is_("fp")).over(upto))
+def counted(outcomes: DataFrame, keys: list[str], cuts: list[float], times=None) -> DataFrame:
+    """rn, tp and fp up to each row in order of score. cuts: of the scores, which split a group's rows into ranges."""
+    one = F.lit(1).cast("long") if times is None else F.col(times)
+    is_ = lambda x: F.when(F.col("outcome") == x, one).otherwise(0)
+    return running(outcomes, keys, "score", score_order(), cuts, {"tp": is_("tp"), "fp": is_("fp")}, number="rn")
 
 
-def curve(outcomes: DataFrame, npos: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """recall and precision at each row; precision is null while every row so far was ignored."""
-    counted = running_counts(outcomes, keys, order).join(F.broadcast(npos), keys)  # a row a group
-    return counted.withColumn("recall", F.col("tp").cast("double") / F.col("npos")).withColumn("precision", F.when(F.col("tp") + F.col("fp") > 0, F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))))
+def with_precision(points: DataFrame) -> DataFrame:
+    """Null while every row so far was ignored."""
+    return points.withColumn("precision", F.when(F.col("tp") + F.col("fp") > 0, F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))))
 
 
-def average_precision(points: DataFrame, npos: DataFrame, keys: list[str]) -> DataFrame:
+def curve(outcomes: DataFrame, npos: DataFrame, keys: list[str], cuts: list[float]) -> DataFrame:
+    """recall and precision at each row."""
+    points = counted(outcomes, keys, cuts).join(F.broadcast(npos), keys)  # a row a group
+    return with_precision(points.withColumn("recall", F.col("tp").cast("double") / F.col("npos")))
+
+
+def average_precision(points: DataFrame, npos: DataFrame, keys: list[str], times=None) -> DataFrame:
     """Area under the monotone envelope: each true positive adds the best precision from it on, over the number of positives. 0 without true positives; groups without positives are left out."""
-    after = Window.partitionBy(*keys).orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
-    best = points.withColumn("envelope", F.max("precision").over(after)).where(F.col("outcome") == "tp")
-    ap = best.groupBy(*keys).agg(F.sum(F.col("envelope") / F.col("npos")).alias("ap"))
-    return npos.where("npos > 0").join(ap, keys, "left").select(*keys, "npos", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    one = F.lit(1) if times is None else F.col(times)
+    best = best_from_here(points, keys, "rn", "precision", "envelope").where(F.col("outcome") == "tp")
+    total = best.groupBy(*keys).agg(F.sum(F.col("envelope") * one).alias("s"))
+    return npos.where("npos > 0").join(total, keys, "left").select(*keys, "npos", (F.coalesce("s", F.lit(0.0)) / F.col("npos")).alias("ap"))
 
 
 def score_order() -> list:
@@ -40,23 +45,15 @@ def score_order() -> list:
 
 def ap_per_class(det: DataFrame, gt: DataFrame) -> DataFrame:
     npos = positives(gt, ["cls_id"])
-    return average_precision(curve(claims(det, gt), npos, ["cls_id"], score_order()), npos, ["cls_id"])
+    return average_precision(curve(claims(det, gt), npos, ["cls_id"], range_cuts(det, "score")), npos, ["cls_id"])
 
 
 def bootstrap_ap(det: DataFrame, gt: DataFrame, draws: DataFrame) -> DataFrame:
     """AP of each class over resampled images: draws (replicate, image_id, times). A drawn image counts as often as it was drawn. Outcomes are found once, not for each replicate."""
-    outcomes = claims(det, gt)
-    npos = gt.join(F.broadcast(draws), "image_id").groupBy("replicate", "cls_id").agg(F.sum(F.when(~F.col("difficult"), F.col("times")).otherwise(0)).cast("long").alias("npos"))
-    drawn = outcomes.join(F.broadcast(draws), "image_id")
-    w = Window.partitionBy("replicate", "cls_id").orderBy(*score_order())
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    is_ = lambda x: F.when(F.col("outcome") == x, F.col("times")).otherwise(0)
-    points = drawn.withColumn("rn", F.row_number().over(w)).withColumn("tp", F.sum(is_("tp")).over(upto)).withColumn("fp", F.sum(is_("fp")).over(upto))
-    points = points.withColumn("precision", F.when(F.col("tp") + F.col("fp") > 0, F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))))
-    after = Window.partitionBy("replicate", "cls_id").orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, 0)
-    best = points.withColumn("envelope", F.max("precision").over(after)).where(F.col("outcome") == "tp")
-    ap = best.groupBy("replicate", "cls_id").agg(F.sum(F.col("envelope") * F.col("times")).alias("s"))
-    return npos.where("npos > 0").join(ap, ["replicate", "cls_id"], "left").select("replicate", "cls_id", "npos", (F.coalesce("s", F.lit(0.0)) / F.col("npos")).alias("ap"))
+    keys = ["replicate", "cls_id"]
+    npos = gt.join(draws, "image_id").groupBy(*keys).agg(F.sum(F.when(~F.col("difficult"), F.col("times")).otherwise(0)).cast("long").alias("npos"))
+    drawn = claims(det, gt).join(draws, "image_id")
+    return average_precision(with_precision(counted(drawn, keys, range_cuts(det, "score"), "times")), npos, keys, "times")
 
 
 def paired_sign_test(differences: DataFrame, unit: str, flips: int, seed: int = 1) -> DataFrame:

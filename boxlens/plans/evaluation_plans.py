@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxlens.operators import evaluation, matching, suppression
+from boxlens.operators.running import range_cuts
 from boxlens.operators.selection import clip
 from boxlens.plans.detection_plans import BEST_SQL, CLAIM_SQL, PAIRS_SQL
 from boxlens.plans.registry import query
@@ -23,8 +24,8 @@ aps AS (SELECT cls_id, npos, coalesce(ap, 0) AS ap FROM npos LEFT JOIN sums USIN
 
 @query(f"{BASE_SQL}, {NPOS_SQL}, {CURVE_SQL} SELECT cls_id, det_id, tp, fp, round(recall, 9) AS recall, round(prec, 9) AS prec FROM curve")
 def pr_curve(spark, sf_dir):
-    g = gt(spark, sf_dir)
-    points = evaluation.curve(matching.claims(det(spark, sf_dir), g), evaluation.positives(g, ["cls_id"]), ["cls_id"], evaluation.score_order())
+    d, g = det(spark, sf_dir), gt(spark, sf_dir)
+    points = evaluation.curve(matching.claims(d, g), evaluation.positives(g, ["cls_id"]), ["cls_id"], range_cuts(d, "score"))
     return points.select("cls_id", "det_id", "tp", "fp", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("prec"))
 
 
