@@ -261,3 +261,60 @@ def derive(outputs: DataFrame, rules: DataFrame, choices: DataFrame, depth: int)
         node = chosen.join(F.broadcast(rules), "rule").select("det_id", F.concat_ws(".", "node", "pos").alias("node"), F.col("node").alias("parent"), F.col("rhs").alias("symbol"), "image_id", (F.col("level") - F.col("dl")).alias("level"), (F.col("y") * F.pow(F.lit(2), "ds") + F.col("ay")).cast("long").alias("y"), (F.col("x") * F.pow(F.lit(2), "ds") + F.col("ax")).cast("long").alias("x"))
         found = found.unionByName(node)
     return found
+
+
+# --- further grammars -----------------------------------------------------------------------------------
+
+
+def visibility_model(name: str, parts: list[np.ndarray], occluder: np.ndarray, costs: list[float]) -> Model:
+    """A body seen from the top down to some part: production k has the first k + 1 parts and the occluder below them; the last has all parts and none. Parts are shared by all productions and may move."""
+    m = Model(name)
+    m.start = m.add_symbol("N")
+    movable = []
+    for f in [*parts, occluder]:
+        t, n = m.add_terminal(f), m.add_symbol("N")
+        m.add_deformation(n, t, costs)
+        movable.append(n)
+    for k in range(len(parts)):
+        seen = list(range(k + 1)) + ([len(parts)] if k < len(parts) - 1 else [])
+        anchors, at = [], 0
+        for j in seen:
+            anchors.append((at, 0, 0))
+            at += ([*parts, occluder])[j].shape[0]
+        m.add_structure(m.start, [movable[j] for j in seen], anchors, (at, parts[0].shape[1]))
+    return m
+
+
+def slice_model(name: str, slices: list[tuple[np.ndarray, np.ndarray]], stretches: list[int]) -> Model:
+    """Vertical slices side by side, each from the side or from the front, in some stretches (columns between slices) and both directions; the mirrored direction shares all blocks."""
+    m = Model(name)
+    m.start = m.add_symbol("N")
+    kinds = []
+    for side, front in slices:
+        n = m.add_symbol("N")
+        for f in (side, front):
+            m.add_structure(n, [m.add_terminal(f)], [(0, 0, 0)], f.shape[:2])
+        kinds.append(n)
+    mirrored = []
+    for k, (side, front) in enumerate(slices):
+        n = m.add_symbol("N")
+        for j, f in enumerate((side, front)):
+            m.add_structure(n, [m.add_terminal(f, 2 * k + j)], [(0, 0, 0)], f.shape[:2], mirror_of=m.rules[2 * k + j])
+        mirrored.append(n)
+    for gap in stretches:
+        at, anchors = 0, []
+        for side, _ in slices:
+            anchors.append((0, at, 0))
+            at += side.shape[1] + gap
+        window = (slices[0][0].shape[0], at - gap)
+        rule = m.add_structure(m.start, kinds, anchors, window)
+        flipped = [(0, window[1] - ax - s.shape[1], 0) for (_, ax, _), (s, _) in zip(anchors, slices, strict=True)]
+        m.add_structure(m.start, mirrored, flipped, window, mirror_of=rule)
+    return m
+
+
+def difference(a: Model, b: Model) -> dict[int, float]:
+    """Norm of the difference of each block of two models of one shape."""
+    if [x.weights.size for x in a.blocks] != [x.weights.size for x in b.blocks]:
+        raise ValueError("the models' shapes differ")
+    return {k: float(np.linalg.norm(x.weights - y.weights)) for k, (x, y) in enumerate(zip(a.blocks, b.blocks, strict=True))}
