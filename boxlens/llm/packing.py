@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +29,7 @@ CAPACITY = 2048
 #: Pieces a shard, on average. A shard wastes a bin at most against packing it together with the others.
 SHARD_PIECES = 8192
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 4
+ROWS_PER_TASK = 8
 
 Bin = tuple[int, ...]
 
@@ -35,7 +38,7 @@ Bin = tuple[int, ...]
 
 
 @lru_cache(2)
-def _encoder(spec: str):
+def _encoder(spec: str) -> tuple:
     """The byte-level BPE of a tokenizers file as tiktoken ranks: the same ids in a fifth of the time (tests hold the two against each other). And its special strings."""
     import tiktoken
 
@@ -54,8 +57,6 @@ def token_ids(spec: str, text: str) -> list[int]:
     encoding, special = _encoder(spec)
     if not any(s in text for s in special):
         return encoding.encode_ordinary(text)
-    import re
-
     ids: list[int] = []
     for part in re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text):
         ids += [special[part]] if part in special else encoding.encode_ordinary(part)
@@ -79,8 +80,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), as_texts(b.column(1)), strict=True):
-                ids = np.asarray([*token_ids(spec.value, text), end_id], "<u4")
-                out += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), capacity))]
+                ids = np.array(array("I", [*token_ids(spec.value, text), end_id]), "<u4")
+                out += [(doc, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cut(len(ids), capacity))]
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -143,9 +144,18 @@ def crossover(a: list[Bin], b: list[Bin], available: Counter, capacity: int, rng
         left.subtract(x)
     kept: list[Bin] = []
     for x in sorted(a, key=sum, reverse=True):
-        if all(left[n] >= c for n, c in Counter(x).items()) and (sum(x) >= 0.9 * capacity or rng.random() < 0.5):
-            left.subtract(x)
+        taken = 0
+        if sum(x) >= 0.9 * capacity or rng.random() < 0.5:
+            for n in x:  # a bin that would hold a piece twice goes
+                if left[n] <= 0:
+                    break
+                left[n] -= 1
+                taken += 1
+        if taken == len(x):
             kept.append(x)
+        else:
+            for n in x[:taken]:
+                left[n] += 1
     displaced = sorted(left.elements(), reverse=True)
     return best_fit(displaced, injected + kept, capacity)
 
@@ -153,23 +163,27 @@ def crossover(a: list[Bin], b: list[Bin], available: Counter, capacity: int, rng
 def evolve(lengths: list[int], immigrant: list[Bin] | None, seed: int, capacity: int = CAPACITY) -> list[Bin]:
     """One island's epoch; gives its elite. Stops at the lower bound."""
     bound = lower_bound(lengths, capacity)
+    if immigrant is not None and len(immigrant) <= bound:
+        return immigrant
     elite = best_fit(sorted(lengths, reverse=True), [], capacity)
     if immigrant is not None:
         elite = max(elite, immigrant, key=lambda x: fitness(x, capacity))
     if len(elite) <= bound:
         return elite
     rng, available = random.Random(seed), Counter(lengths)
-    people = [elite] + ([immigrant] if immigrant is not None else [])
+    rated = lambda x: (fitness(x, capacity), x)
+    people = [rated(elite)] + ([rated(immigrant)] if immigrant is not None else [])
     while len(people) < POPULATION:
         order = sorted(lengths, key=lambda n: -n * rng.uniform(0.9, 1.1))
-        people.append(best_fit(order, [], capacity))
+        people.append(rated(best_fit(order, [], capacity)))
     for _ in range(GENERATIONS):
-        people.sort(key=lambda x: fitness(x, capacity), reverse=True)
-        if len(people[0]) <= bound:
+        people.sort(reverse=True)
+        best = people[0][1]
+        if len(best) <= bound:
             break
-        children = [crossover(people[0], rng.choice(people[1:]), available, capacity, rng), crossover(rng.choice(people[1:]), people[0], available, capacity, rng)]
-        people = [*people[: POPULATION - 2], *children]
-    return max(people, key=lambda x: fitness(x, capacity))
+        children = [crossover(best, rng.choice(people[1:])[1], available, capacity, rng), crossover(rng.choice(people[1:])[1], best, available, capacity, rng)]
+        people = [*people[: POPULATION - 2], *map(rated, children)]
+    return max(people)[1]
 
 
 # --- all shards -----------------------------------------------------------------------------------------
@@ -229,13 +243,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, shard_p
     # a shard is shard_pieces on average whatever the input: its lengths, 4 bytes each, fit one row
     state = dealt.groupBy("shard").agg(F.collect_list(F.col("length").cast("int")).alias("lengths")).select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", F.lit(None).cast("array<int>").alias("flat"), F.lit(None).cast("array<int>").alias("sizes"))
     for epoch in range(EPOCHS):
-        spread = state.repartition(max(1, min(4096, shards * ISLANDS)), "shard", "island")
+        spread = state.repartition(max(1, shards * ISLANDS // ROWS_PER_TASK), "shard", "island")
         state = work.write(spread.mapInPandas(_epoch(epoch, capacity), _STATE), f"epoch{epoch}")
         if epoch == EPOCHS - 1 or not state.where(~F.col("optimal")).head(1):
             break
-        # the elite of each island goes to the next one of its shard
-        elite = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "flat", "sizes")
-        state = state.select("shard", "island", "lengths").join(elite, ["shard", "island"])
-    best = state.groupBy("shard").agg(F.max_by(F.struct("flat", "sizes"), F.struct(-F.col("n_bins"), "fill")).alias("b")).select("shard", "b.flat", "b.sizes")
+        # the elite of each island goes to the next one of its shard, if that is not optimal
+        resting = state.where("optimal") if epoch == 0 else resting.unionByName(state.where("optimal"))
+        moving = state.where("not optimal")
+        elite = moving.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "flat", "sizes")
+        state = moving.select("shard", "island", "lengths").join(elite, ["shard", "island"], "left")
+    best = (state if epoch == 0 else state.unionByName(resting)).groupBy("shard").agg(F.max_by(F.struct("flat", "sizes"), F.struct(-F.col("n_bins"), "fill")).alias("b")).select("shard", "b.flat", "b.sizes")
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(_place(capacity), out)
