@@ -181,26 +181,27 @@ def fit(labelled: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE) -> By
     return train(np.array(windows), np.array(labels), languages) if windows else None
 
 
-def identify(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
-    """docs with lang_pred and score added after all columns (which must not have these names)."""
+def identify(docs: DataFrame, net: ByteCnn | None, keep_text: bool = True) -> DataFrame:
+    """docs with lang_pred and score added after all columns (which must not have these names); without the text unless it is kept."""
     from pyspark.sql import types as T
 
     net = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the network's size
     columns = docs.columns
     at = columns.index("text")
+    kept = [k for k in range(len(columns)) if keep_text or k != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = predict(net.value, [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(columns[k] for k in kept), "lang_pred", "score"])
 
-    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*(docs.schema.fields[k] for k in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return arrow_map(docs, run, out)
 
 
 def predicted(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of docs, learnt from labelled. Null and letterless texts: undetermined, 0. Rows with the same or a null id stay rows of their own; extra columns are ignored."""
-    return identify(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(labelled)).drop("text")
+    return identify(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(labelled), keep_text=False)
 
 
 def stage(docs: DataFrame, labelled: DataFrame, least_score: float = 0.3) -> DataFrame:

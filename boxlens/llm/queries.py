@@ -23,7 +23,7 @@ def _path(name: str) -> str:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.pmod(crc32_of_id(), F.lit(4)) == 2, F.lit(False)))
     net = language_id.fit(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
-    return language_id.identify(docs.select("doc_id", "held_out", "text"), net).drop("text")
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), net, keep_text=False)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,7 +237,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
 def train(toxic: list[str], clean: list[str]) -> StringKernelSvm:
     """Without telling words (or without texts of a class) every text gets the share of toxic ones."""
     rng = np.random.default_rng(SEED)
-    in_toxic, in_clean = [text_words(t) for t in toxic], [text_words(t) for t in clean]
+    pool: dict[bytes, bytes] = {}  # each word once in memory
+    in_toxic, in_clean = ([{pool.setdefault(w, w) for w in text_words(t)} for t in texts] for texts in (toxic, clean))
+    del pool
     telling = telling_words(in_toxic, in_clean)
     flat = StringKernelSvm(np.zeros(1 << 20, np.float32), 0.0, np.zeros(5), float(np.log((len(toxic) + 1) / (len(clean) + 1))))
     common = Counter(w for words in in_clean for w in words)
