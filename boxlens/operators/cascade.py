@@ -78,3 +78,40 @@ def principal(gram_matrix: np.ndarray, k: int) -> np.ndarray:
     values, vectors = np.linalg.eigh(gram_matrix)
     v = vectors[:, np.argsort(-values, kind="stable")[:k]]
     return v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+
+
+def star_cascade(candidates: DataFrame, costs: np.ndarray, hypothesis: list[float], deformation: list[float], final: float) -> DataFrame:
+    """Star models: (det_id, score, evaluated, passed). candidates: det_id, root, and parts, for each part in order its appearance at each place around its anchor; costs: of those places.
+
+    Before each part a candidate whose score is under the part's hypothesis threshold goes; then a place is only looked at if
+    the score less its cost reaches the deformation threshold. evaluated counts places looked at. final is met at equality too.
+    """
+
+    def run(batches):
+        for d in batches:
+            n = len(d)
+            score, alive, looked = d["root"].to_numpy(np.float64).copy(), np.ones(n, bool), np.zeros(n, np.int64)
+            parts = np.array([np.stack(r) for r in d["parts"]]).reshape(n, *costs.shape) if n else np.zeros((0, *costs.shape))
+            for k, cost in enumerate(costs):
+                alive &= score >= hypothesis[k]
+                at = np.flatnonzero(alive)
+                open_ = score[at, None] - cost >= deformation[k]
+                looked[at] += open_.sum(axis=1)
+                score[at] += np.where(open_, parts[at, k] - cost, -np.inf).max(axis=1)
+            yield pd.DataFrame({"det_id": d["det_id"], "score": score, "evaluated": looked, "passed": alive & (score >= final)})
+
+    return candidates.select("det_id", "root", "parts").mapInPandas(run, "det_id long, score double, evaluated long, passed boolean")
+
+
+def projected(levels: DataFrame, basis: np.ndarray) -> DataFrame:
+    """Feature levels with each cell projected on a basis (dims, k)."""
+
+    def run(batches):
+        for d in batches:
+            if len(d):
+                d = d.copy()
+                d["feat"] = [(np.asarray(f, np.float64).reshape(-1, basis.shape[0]) @ basis).astype(np.float32).ravel().tolist() for f in d["feat"]]
+                d["dims"] = basis.shape[1]
+            yield d
+
+    return levels.mapInPandas(run, levels.schema)

@@ -228,3 +228,14 @@ def responses(levels: DataFrame, filters: list[np.ndarray]) -> DataFrame:
                     yield pd.DataFrame({"symbol": k, "image_id": r.image_id, "level": r.level, "y": y.ravel(), "x": x.ravel(), "score": out.ravel()})
 
     return levels.mapInPandas(run, "symbol long, image_id long, level long, y long, x long, score double")
+
+
+def warped_rows(boxes: DataFrame, size: tuple[int, int], cell: int = CELL) -> DataFrame:
+    """Features of each box of an image, brought to a filter's size: boxes has dataid, h, w, pixels and the sides. (dataid, feat), a row a box."""
+
+    def run(batches):
+        for d in batches:
+            rows = [(r.dataid, hog(warp(np.array(r.pixels).reshape(r.h, r.w), (r.x1, r.y1, r.x2, r.y2), size, cell), cell).astype(np.float32).ravel().tolist()) for r in d.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["dataid", "feat"])
+
+    return boxes.select("dataid", "h", "w", "pixels", "x1", "y1", "x2", "y2").mapInPandas(run, "dataid long, feat array<float>")

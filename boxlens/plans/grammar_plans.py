@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from boxlens.operators import grammar, kernels, selection
+from boxlens.operators import cascade, grammar, kernels, selection
 from boxlens.plans.registry import query
 from boxlens.sources.fixtures import DET_SQL, GT_SQL, det, gt
 
@@ -155,3 +155,21 @@ def part_model_detect(spark, sf_dir):
     both = scores.where("symbol = 0").unionByName(moved.withColumn("symbol", F.lit(1).cast("long")).select(scores.columns))
     whole = grammar.structural(both, [(0, 0, 0, 0), (1, 0, 1, 1), (1, 2, 4, 1)], 0.1, interval)
     return grammar.to_pixels(grammar.top_outputs(whole, -1e6, 10), 1.0, 8, 1, 1, 3, 4)
+
+
+STAR_COSTS = [[0.0, 0.5, 2.0], [0.0, 1.0, 4.0]]
+STAR_SQL = """s AS (SELECT det_id, CAST(x1 % 9 AS DOUBLE) AS root, [CAST(y1 % 7 AS DOUBLE), CAST(x2 % 5 AS DOUBLE), CAST(y2 % 11 AS DOUBLE)] AS a, [CAST(det_id % 6 AS DOUBLE), CAST((x1 + y1) % 8 AS DOUBLE), CAST((x2 + y2) % 13 AS DOUBLE)] AS b FROM det),
+one AS (SELECT *, root >= 1 AS go1, list_filter([0.0::DOUBLE, 0.5::DOUBLE, 2.0::DOUBLE], lambda c: root - c >= 0) AS open1 FROM s),
+p1 AS (SELECT *, greatest(a[1], CASE WHEN root - 0.5 >= 0 THEN a[2] - 0.5 ELSE -1e300 END, CASE WHEN root - 2 >= 0 THEN a[3] - 2 ELSE -1e300 END) + root AS s1 FROM one WHERE go1),
+p2 AS (SELECT *, greatest(b[1], CASE WHEN s1 - 1 >= 2 THEN b[2] - 1 ELSE -1e300 END, CASE WHEN s1 - 4 >= 2 THEN b[3] - 4 ELSE -1e300 END) + s1 AS s2, list_filter([0.0::DOUBLE, 1.0::DOUBLE, 4.0::DOUBLE], lambda c: s1 - c >= 2) AS open2 FROM p1 WHERE s1 >= 3)"""
+
+
+@query(f"WITH {DET_SQL}, {STAR_SQL} SELECT det_id, s2 AS score, CAST(len(open1) + len(open2) AS BIGINT) AS evaluated FROM p2 WHERE s2 >= 9")
+def star_cascade_detect(spark, sf_dir):
+    """Two parts with three places each; only what passes all stages."""
+    whole = lambda e: e.cast("double")
+    d = det(spark, sf_dir)
+    parts = F.array(F.array(whole(F.col("y1") % 7), whole(F.col("x2") % 5), whole(F.col("y2") % 11)), F.array(whole(F.col("det_id") % 6), whole((F.col("x1") + F.col("y1")) % 8), whole((F.col("x2") + F.col("y2")) % 13)))
+    rows = d.select("det_id", whole(F.col("x1") % 9).alias("root"), parts.alias("parts"))
+    found = cascade.star_cascade(rows, np.array(STAR_COSTS), [1.0, 3.0], [0.0, 2.0], 9.0)
+    return found.where("passed").select("det_id", "score", "evaluated")

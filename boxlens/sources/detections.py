@@ -61,3 +61,22 @@ def load_or_compute(spark: SparkSession, root: str, name: str, config: dict, com
     except AnalysisException:
         compute().write.mode("errorifexists").parquet(path)
         return spark.read.parquet(path)
+
+
+def read_pixels(spark: SparkSession, path: str, mirrored: bool = False) -> DataFrame:
+    """Decoded images (image_id, h, w, pixels) as grey values row by row, undecodable ones left out; mirrored: left to right."""
+    import numpy as np
+    import pandas as pd
+
+    found = spark.read.format("image").option("dropInvalid", True).load(path)
+    raw = found.select(F.substring_index("image.origin", "/", -1).alias("image_id"), "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches):
+        for d in batches:
+            rows = []
+            for r in d.itertuples(index=False):
+                im = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)[:, :, :3].astype(float).mean(axis=2)
+                rows.append((r.image_id, r.height, r.width, (im[:, ::-1] if mirrored else im).ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["image_id", "h", "w", "pixels"])
+
+    return raw.mapInPandas(run, "image_id string, h long, w long, pixels array<double>")

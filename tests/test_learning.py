@@ -209,3 +209,27 @@ def test_config_and_report(spark):
     rows = [(r["name"], r["percent"]) for r in reports.report(aps).collect()]
     assert rows == [("1", 50.0), ("2", None), ("3", 25.0), ("mean", 37.5)]
     assert reports.compare(aps.where("cls_id = 1"), aps).first()["diff"] == 0
+
+
+def test_star_cascade_without_thresholds_is_the_best_placement(spark):
+    rng = np.random.default_rng(13)
+    costs = rng.uniform(0, 2, (2, 4))
+    rows = [(k, float(rng.normal()), rng.normal(size=(2, 4)).tolist()) for k in range(40)]
+    df = spark.createDataFrame(rows, "det_id long, root double, parts array<array<double>>")
+    none = [-np.inf, -np.inf]
+    got = {r["det_id"]: r for r in cascade.star_cascade(df, costs, none, none, 0.5).collect()}
+    for k, root, parts in rows:
+        want = root + (np.array(parts) - costs).max(axis=1).sum()
+        assert got[k]["score"] == pytest.approx(want) and got[k]["passed"] == (want >= 0.5) and got[k]["evaluated"] == 8
+
+
+def test_projected_and_warped_rows(spark):
+    rng = np.random.default_rng(14)
+    im = rng.uniform(0, 255, (48, 48))
+    images = spark.createDataFrame([(1, 48, 48, im.ravel().tolist())], "image_id long, h long, w long, pixels array<double>")
+    levels = kernels.image_levels(images, 2)
+    basis = np.linalg.qr(rng.normal(size=(32, 5)))[0]
+    a, b = levels.where("level = 1").first(), cascade.projected(levels, basis).where("level = 1").first()
+    assert b["dims"] == 5 and np.allclose(np.array(a["feat"]).reshape(-1, 32) @ basis, np.array(b["feat"]).reshape(-1, 5), atol=1e-4)
+    boxes = images.selectExpr("image_id AS dataid", "h", "w", "pixels", "5D AS x1", "5D AS y1", "30D AS x2", "30D AS y2")
+    assert len(kernels.warped_rows(boxes, (3, 4)).first()["feat"]) == 3 * 4 * 32
