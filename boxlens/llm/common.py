@@ -42,12 +42,13 @@ def _setting(spark: SparkSession, key: str, value: str):
 
 
 class Workspace:
-    """Written intermediate tables of one call, in the shared folder. Spark's file system removes them when the application ends; drop() removes one earlier."""
+    """Written intermediate tables of one call, in the shared folder. Spark's file system removes them when the application ends; drop() removes one earlier. Under a root of the caller's they stay."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        path = self._path(self.root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        self.spark, self.root = spark, root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if root is None:
+            path = self._path(self.root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def _path(self, p: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)

@@ -118,12 +118,14 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, c1, c2, occurrences, doc_id, h, start, n), the last four one of the places."""
+    """Sorted immutable runs of (anchor, c1, c2, occurrences, doc_id, h, start, n), the last four one of the places. More than MOST_RUNS are compacted."""
+
+    MOST_RUNS = 8
 
     def __init__(self, spark: SparkSession, work: Workspace):
         self.spark, self.work, self.names, self.number = spark, work, [], count()
 
-    def _merged(self, parts: DataFrame) -> DataFrame:
+    def _merge(self, parts: DataFrame) -> DataFrame:
         """first() of every column of a group is from one of its rows: which does not matter."""
         place = [F.first(c).alias(c) for c in ("doc_id", "h", "start", "n")]
         return parts.groupBy(*KEY).agg(F.sum("occurrences").alias("occurrences"), *place)
@@ -135,32 +137,47 @@ class FingerprintIndex:
 
     def append(self, marks: DataFrame) -> None:
         """A new batch's fingerprints become a run; older runs stay as they are."""
-        self._write(self._merged(marks.withColumn("occurrences", F.lit(1).cast("long"))))
+        self._write(self._merge(marks.withColumn("occurrences", F.lit(1).cast("long"))))
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.work.root}/{n}" for n in self.names])
 
+    def merged(self) -> DataFrame:
+        """A row a context. Several runs are merged as they are read."""
+        return self.rows() if len(self.names) == 1 else self.work.write(self._merge(self.rows()), f"merged{next(self.number)}")
+
     def compact(self) -> None:
         """Merges all runs into one, which then takes their place."""
         if len(self.names) > 1:
             old = list(self.names)
-            self._write(self._merged(self.rows()))
+            self._write(self._merge(self.rows()))
             self.names = self.names[-1:]
             for n in old:
                 self.work.drop(n)
 
+    def ingest(self, docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """Adds a batch; gives (doc_id, h, start, n) of its windows that also start elsewhere in it or in history, the documents that came before, of which only those are read whose windows are in doubt."""
+        rows = docs.select("doc_id", "text")
+        marks = self.work.write(fingerprints(rows), f"marks{next(self.number)}")
+        self.append(marks)
+        if len(self.names) > self.MOST_RUNS:
+            self.compact()
+        found = self.repeated(rows if history is None else history.select("doc_id", "text").unionByName(rows), marks)
+        own = keyed(rows).select(F.col("doc_id").alias("o_doc"), F.col("h").alias("o_h")).distinct()
+        return found.join(own, F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("h") == F.col("o_h")), "left_semi")
+
     def repeated(self, docs: DataFrame, marks: DataFrame) -> DataFrame:
-        """(doc_id, h, start, n): windows of docs, whose fingerprints are marks, that the index has elsewhere too. docs must hold the places that the index names, or what is open in it stays unverified."""
-        index, work = self.rows(), self.work
+        """(doc_id, h, start, n): windows of documents, whose fingerprints are marks, that the index has elsewhere too; and of docs where contexts had to be opened. docs hold every place that the index names."""
+        index, work, turn = self.merged(), self.work, next(self.number)
         whole = marks.join(index.where("occurrences > 1").select(*KEY), KEY).select("doc_id", "h", "start", "n")
-        shared = work.write(index.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor"), "shared")
-        opened = work.write(index.join(shared, "anchor").select("doc_id", "h", "start", "n", "occurrences"), "opened")
+        shared = work.write(index.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor"), f"shared{turn}")
+        opened = work.write(index.join(shared, "anchor").select("doc_id", "h", "start", "n", "occurrences"), f"opened{turn}")
         # a context that occurs once is alone with its windows if no other context of the anchor has them; rows equal
         # in id and text open a place twice, but then every window of theirs is repeated
-        windows = work.write(arrow_map(joined(docs, opened.select("doc_id", "h", "start", "n"), "inner").select("doc_id", "h", "text", "spans"), _open, "doc_id long, h long, start int, w1 long, w2 long"), "windows")
-        several = work.write(windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2"), "several")
+        windows = work.write(arrow_map(joined(docs, opened.select("doc_id", "h", "start", "n"), "inner").select("doc_id", "h", "text", "spans"), _open, "doc_id long, h long, start int, w1 long, w2 long"), f"windows{turn}")
+        several = work.write(windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2"), f"several{turn}")
         single = windows.join(several, ["w1", "w2"]).select("doc_id", "h", "start", F.lit(1).alias("n"))
-        return work.write(whole, "whole").unionByName(work.write(single, "single"))
+        return work.write(whole, f"whole{turn}").unionByName(work.write(single, f"single{turn}"))
 
 
 def _spans(docs: DataFrame, batches: int) -> DataFrame:

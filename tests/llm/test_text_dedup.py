@@ -48,6 +48,25 @@ def test_index_compacts_to_the_same(spark):
     assert len(index.names) == 1 and sorted(map(tuple, before)) == sorted(map(tuple, after))
 
 
+def test_batches_are_held_against_history(spark, monkeypatch):
+    """Each batch loses what it shares with itself and with the batches before."""
+    monkeypatch.setattr(substring_index.FingerprintIndex, "MOST_RUNS", 2)
+    rows = shuffled_ids(helpers.sample_texts(6, n=45))
+    index = substring_index.FingerprintIndex(spark, Workspace(spark, "test"))
+    before: list = []
+    for k in range(3):
+        batch = rows[k::3]
+        frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+        spans: dict = {}
+        for r in index.ingest(frame(batch), frame(before) if before else None).collect():
+            spans.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n"] + substring_index.WINDOW - 1))
+        want = helpers.without_repeats([t for _, t in batch + before])
+        for (doc, _), (n, kept) in zip(batch, want, strict=False):
+            assert n - len(spans.get(doc, ())) == len(kept)
+        before += batch
+    assert len(index.names) <= 2
+
+
 def test_runs_cover_each_window_once():
     rng = np.random.default_rng(0)
     for size in (35, 36, 80, 300):
