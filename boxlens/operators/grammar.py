@@ -237,13 +237,18 @@ def levels_to_keep(overlaps: DataFrame, least: float, interval: int) -> DataFram
 
 
 def belief_and_rivals(outputs: DataFrame, least_overlap: float, slack: float = 0.01) -> DataFrame:
-    """For each object its belief, the best output that overlaps it enough, and the rivals: outputs whose score and loss come within slack of it, other than the belief's own box. outputs: object_id, output_id, box, score, loss, overlap."""
-    box = ["x1", "y1", "x2", "y2"]
-    best = F.max_by(F.struct("output_id", *box, "score"), F.struct("score", -F.col("output_id")))
-    belief = outputs.where(F.col("overlap") >= least_overlap).groupBy("object_id").agg(best.alias("b"))
-    chosen = belief.select("object_id", "b.*")
-    rivals = outputs.join(belief, "object_id").where(F.col("score") + F.col("loss") >= F.col("b.score") - slack).join(chosen.select("object_id", *box), ["object_id", *box], "left_anti")
-    return chosen.select("object_id", "output_id", "score", F.lit(True).alias("is_belief")).unionByName(rivals.select("object_id", "output_id", (F.col("score") + F.col("loss")).alias("score"), F.lit(False).alias("is_belief")))
+    """For each object its belief, the best output that overlaps it enough, and the rivals: outputs whose score and loss come within slack of it, other than the belief's own box. One pass by object. outputs: object_id, output_id, box, score, loss, overlap."""
+    sides = ["x1", "y1", "x2", "y2"]
+    enough = F.when(F.col("overlap") >= least_overlap, F.struct("score", -F.col("output_id")))
+    best = F.max_by(F.struct("output_id", *sides, "score"), enough).over(Window.partitionBy("object_id"))
+    held = outputs.withColumn("b", best).where("b is not null")
+    own = F.col("output_id") == F.col("b.output_id")
+    same = F.lit(True)
+    for c in sides:
+        same = same & (F.col(c) == F.col(f"b.{c}"))
+    rival = ~same & (F.col("score") + F.col("loss") >= F.col("b.score") - slack)
+    value = F.when(own, F.col("score")).otherwise(F.col("score") + F.col("loss"))
+    return held.where(own | rival).select("object_id", "output_id", value.alias("score"), own.alias("is_belief"))
 
 
 def top_outputs(cells: DataFrame, threshold: float, k: int) -> DataFrame:

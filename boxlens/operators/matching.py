@@ -28,12 +28,11 @@ def best_match(det: DataFrame, gt: DataFrame) -> DataFrame:
 
 def claims(det: DataFrame, gt: DataFrame, least_iou: float = 0.5) -> DataFrame:
     """det with gt_id and outcome: tp for the first detection, in order of score, that matches a ground truth; fp; or ignored, which a match with a difficult one is."""
-    matched = best_match(det, gt).where(F.col("iou") >= least_iou).select("det_id", "gt_id", "difficult")
-    both = det.join(matched, "det_id", "left")
+    matched = best_match(det, gt).where(F.col("iou") >= least_iou)
     turn = F.row_number().over(Window.partitionBy("image_id", "gt_id").orderBy(F.desc("score"), F.desc("det_id")))
-    hit = both.where("gt_id is not null").withColumn("turn", turn)
-    hit = hit.withColumn("outcome", F.when(F.col("difficult"), "ignored").when(F.col("turn") == 1, "tp").otherwise("fp")).drop("turn")
-    return hit.unionByName(both.where("gt_id is null").withColumn("outcome", F.lit("fp"))).drop("difficult")
+    outcome = F.when(F.col("difficult"), "ignored").when(turn == 1, "tp").otherwise("fp")
+    hits = matched.select("det_id", "gt_id", outcome.alias("outcome"))
+    return det.join(hits, "det_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("fp")))
 
 
 def claim_labels(det: DataFrame, gt: DataFrame, difficult_label: int = 1) -> DataFrame:

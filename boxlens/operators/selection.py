@@ -63,13 +63,14 @@ def loss(overlap: Column) -> Column:
 
 
 def output_losses(cells: DataFrame, own: DataFrame, others: DataFrame, least_own: float = 0.1, most_other: float = 0.5) -> DataFrame:
-    """Loss of each candidate window of an example: minus infinity where it overlaps its own box too little or another box too much. cells: example_id, cell_id and a box; own and others: example_id and boxes."""
-    with_own = cells.select("example_id", "cell_id", *[F.col(c).alias("w_" + c) for c in ("x1", "y1", "x2", "y2")])
-    mine = with_own.join(own.select("example_id", *[F.col(c).alias("o_" + c) for c in ("x1", "y1", "x2", "y2")]), "example_id").withColumn("own", iou("w_", "o_"))
-    rest = with_own.join(others.select("example_id", *[F.col(c).alias("r_" + c) for c in ("x1", "y1", "x2", "y2")]), "example_id").where(iou("w_", "r_") >= most_other).select("example_id", "cell_id").distinct().withColumn("_bad", F.lit(True))
-    joined = mine.join(rest, ["example_id", "cell_id"], "left")
-    bad = F.coalesce("_bad", F.lit(False)) | (F.col("own") < least_own)
-    return joined.select("example_id", "cell_id", F.when(bad, F.lit(float("-inf"))).otherwise(loss(F.col("own"))).alias("loss"))
+    """Loss of each candidate window of an example: minus infinity where it overlaps its own box too little or another box too much. cells: example_id, cell_id and a box; own and others: example_id and boxes. One join and one aggregate."""
+    sides = ("x1", "y1", "x2", "y2")
+    boxes = own.withColumn("is_own", F.lit(True)).unionByName(others.withColumn("is_own", F.lit(False)))
+    pairs = cells.select("example_id", "cell_id", *[F.col(c).alias("w_" + c) for c in sides]).join(boxes.select("example_id", "is_own", *[F.col(c).alias("o_" + c) for c in sides]), "example_id")
+    overlap = iou("w_", "o_")
+    found = pairs.groupBy("example_id", "cell_id").agg(F.max(F.when(F.col("is_own"), overlap)).alias("own"), F.max(F.when(~F.col("is_own"), overlap)).alias("other"))
+    bad = F.coalesce(F.col("other") >= most_other, F.lit(False)) | (F.col("own") < least_own)
+    return found.where("own is not null").select("example_id", "cell_id", F.when(bad, F.lit(float("-inf"))).otherwise(loss(F.col("own"))).alias("loss"))
 
 
 def live_blocks(blocks: DataFrame) -> DataFrame:
