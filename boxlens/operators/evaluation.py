@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from boxlens.operators.matching import claims
 from boxlens.operators.running import best_from_here, range_cuts, running
+from boxlens.tables import written
 
 
 def positives(gt: DataFrame, keys: list[str]) -> DataFrame:
     return gt.groupBy(*keys).agg(F.sum(F.when(~F.col("difficult"), 1).otherwise(0)).cast("long").alias("npos"))
 
 
-def counted(outcomes: DataFrame, keys: list[str], cuts: list[float], times=None) -> DataFrame:
-    """rn, tp and fp up to each row in order of score. cuts: of the scores, which split a group's rows into ranges."""
+def outcomes_of(det: DataFrame, gt: DataFrame) -> DataFrame:
+    """claims() without the boxes, as a written table: what follows reads it several times."""
+    return written(claims(det, gt).select("image_id", "cls_id", "det_id", "score", "gt_id", "outcome"), "outcomes")
+
+
+def counted(outcomes: DataFrame, keys: list[str], times=None) -> DataFrame:
+    """rn, tp and fp up to each row in order of score, whose ranges split a group's rows."""
     one = F.lit(1).cast("long") if times is None else F.col(times)
     is_ = lambda x: F.when(F.col("outcome") == x, one).otherwise(0)
-    return running(outcomes, keys, "score", score_order(), cuts, {"tp": is_("tp"), "fp": is_("fp")}, number="rn")
+    return running(outcomes, keys, "score", score_order(), range_cuts(outcomes, "score"), {"tp": is_("tp"), "fp": is_("fp")}, number="rn")
 
 
 def with_precision(points: DataFrame) -> DataFrame:
@@ -25,9 +31,9 @@ def with_precision(points: DataFrame) -> DataFrame:
     return points.withColumn("precision", F.when(F.col("tp") + F.col("fp") > 0, F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))))
 
 
-def curve(outcomes: DataFrame, npos: DataFrame, keys: list[str], cuts: list[float]) -> DataFrame:
+def curve(outcomes: DataFrame, npos: DataFrame, keys: list[str]) -> DataFrame:
     """recall and precision at each row."""
-    points = counted(outcomes, keys, cuts).join(F.broadcast(npos), keys)  # a row a group
+    points = counted(outcomes, keys).join(F.broadcast(npos), keys)  # a row a group
     return with_precision(points.withColumn("recall", F.col("tp").cast("double") / F.col("npos")))
 
 
@@ -45,15 +51,15 @@ def score_order() -> list:
 
 def ap_per_class(det: DataFrame, gt: DataFrame) -> DataFrame:
     npos = positives(gt, ["cls_id"])
-    return average_precision(curve(claims(det, gt), npos, ["cls_id"], range_cuts(det, "score")), npos, ["cls_id"])
+    return average_precision(curve(outcomes_of(det, gt), npos, ["cls_id"]), npos, ["cls_id"])
 
 
 def bootstrap_ap(det: DataFrame, gt: DataFrame, draws: DataFrame) -> DataFrame:
     """AP of each class over resampled images: draws (replicate, image_id, times). A drawn image counts as often as it was drawn. Outcomes are found once, not for each replicate."""
     keys = ["replicate", "cls_id"]
     npos = gt.join(draws, "image_id").groupBy(*keys).agg(F.sum(F.when(~F.col("difficult"), F.col("times")).otherwise(0)).cast("long").alias("npos"))
-    drawn = claims(det, gt).join(draws, "image_id")
-    return average_precision(with_precision(counted(drawn, keys, range_cuts(det, "score"), "times")), npos, keys, "times")
+    drawn = outcomes_of(det, gt).join(draws, "image_id")
+    return average_precision(with_precision(counted(drawn, keys, "times")), npos, keys, "times")
 
 
 def paired_sign_test(differences: DataFrame, unit: str, flips: int, seed: int = 1) -> DataFrame:
@@ -69,7 +75,7 @@ def paired_sign_test(differences: DataFrame, unit: str, flips: int, seed: int =
 
 def error_buckets(det: DataFrame, gt: DataFrame) -> DataFrame:
     """(bucket, cls_id, n): false positives that meet nothing well enough, second detections of a claimed object, and missed objects."""
-    found = claims(det, gt)
+    found = outcomes_of(det, gt)
     wrong = found.where("outcome = 'fp'").select("cls_id", F.when(F.col("gt_id").isNull(), "false_positive").otherwise("multiple_detection").alias("bucket"))
     missed = gt.where(~F.col("difficult")).join(found.where("outcome = 'tp'").select("gt_id"), "gt_id", "left_anti").select("cls_id", F.lit("missed").alias("bucket"))
     return wrong.unionByName(missed).groupBy("bucket", "cls_id").agg(F.count("*").alias("n"))

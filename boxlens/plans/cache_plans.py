@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from boxlens.operators import cache, cascade, rescoring
 from boxlens.plans.detection_plans import PARTS_SQL, parts_of
 from boxlens.plans.registry import query
-from boxlens.sources.fixtures import CACHE_SQL, CLASSES, DET_SQL, GT_SQL, HEIGHT, WIDTH, cache_info, det, gt, read
+from boxlens.sources.fixtures import CACHE_SQL, CLASSES, DET_SQL, HEIGHT, WIDTH, cache_info, det, gt, read
+from boxlens.tables import written
 
 MOST_BYTES, MOST_EXAMPLES = 28_000_000, 60_000
 
@@ -59,7 +60,7 @@ kept AS (SELECT r.* FROM r, used WHERE r.margin <= 1e-4 OR (r.before < greatest(
 SELECT eid FROM fixed UNION ALL SELECT eid FROM kept
 UNION ALL SELECT eid FROM cache_info c WHERE is_mined = 1 AND is_belief = 1 AND EXISTS (SELECT 1 FROM kept k WHERE k.dataid = c.dataid AND k.scale = c.scale AND k.x = c.x AND k.y = c.y)""")
 def cache_retention(spark, sf_dir):
-    return cache.retained(cache_info(spark, sf_dir), MOST_BYTES, MOST_EXAMPLES)
+    return cache.retained(written(cache_info(spark, sf_dir), "cache"), MOST_BYTES, MOST_EXAMPLES)
 
 
 MAXIMA_SQL = "maxima AS (SELECT image_id, " + ", ".join(f"1 / (1 + exp(-1.5 * greatest(-1.1::DOUBLE, coalesce(max(CASE WHEN cls_id = {c} THEN score END), -1.1)))) AS m{c}" for c in range(CLASSES)) + " FROM det GROUP BY image_id)"

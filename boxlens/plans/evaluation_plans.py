@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from boxlens.operators import evaluation, matching, suppression
-from boxlens.operators.running import range_cuts
+from boxlens.operators import evaluation, suppression
 from boxlens.operators.selection import clip
 from boxlens.plans.detection_plans import BEST_SQL, CLAIM_SQL, PAIRS_SQL
 from boxlens.plans.registry import query
 from boxlens.sources.fixtures import DET_SQL, GT_SQL, HEIGHT, IMAGES, WIDTH, det, gt
+from boxlens.tables import written
 
 BASE_SQL = f"WITH {DET_SQL}, {GT_SQL}, {PAIRS_SQL}, {BEST_SQL}, {CLAIM_SQL}"
 NPOS_SQL = "npos AS (SELECT cls_id, CAST(sum(CASE WHEN difficult THEN 0 ELSE 1 END) AS BIGINT) AS npos FROM gt GROUP BY cls_id)"
@@ -25,7 +25,7 @@ aps AS (SELECT cls_id, npos, coalesce(ap, 0) AS ap FROM npos LEFT JOIN sums USIN
 @query(f"{BASE_SQL}, {NPOS_SQL}, {CURVE_SQL} SELECT cls_id, det_id, tp, fp, round(recall, 9) AS recall, round(prec, 9) AS prec FROM curve")
 def pr_curve(spark, sf_dir):
     d, g = det(spark, sf_dir), gt(spark, sf_dir)
-    points = evaluation.curve(matching.claims(d, g), evaluation.positives(g, ["cls_id"]), ["cls_id"], range_cuts(d, "score"))
+    points = evaluation.curve(evaluation.outcomes_of(d, g), evaluation.positives(g, ["cls_id"]), ["cls_id"])
     return points.select("cls_id", "det_id", "tp", "fp", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("prec"))
 
 
@@ -51,6 +51,7 @@ def _other(sql: str) -> str:
 @query(f"{BASE_SQL}, {NPOS_SQL}, {CURVE_SQL}, {AP_SQL}, one AS (SELECT * FROM det WHERE comp = 1), {_other(', '.join([PAIRS_SQL, BEST_SQL, CLAIM_SQL, CURVE_SQL, AP_SQL]))} SELECT a.cls_id, round(a.ap, 9) AS ap_a, round(b.ap, 9) AS ap_b, round(b.ap - a.ap, 9) AS diff FROM aps a JOIN aps_b b USING (cls_id)")
 def compare_runs(spark, sf_dir):
     d, g = det(spark, sf_dir), gt(spark, sf_dir)
+    d = written(d, "det")  # both runs read it
     a = evaluation.ap_per_class(d, g).select("cls_id", F.col("ap").alias("ap_a"))
     b = evaluation.ap_per_class(d.where("comp = 1"), g).select("cls_id", F.col("ap").alias("ap_b"))
     r = lambda e, n: F.round(e, 9).alias(n)
