@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,12 +23,45 @@ def keep(boxes: np.ndarray, scores: np.ndarray, ids: np.ndarray, threshold: floa
     return np.array(kept, np.int64)
 
 
+def _edges(d: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Rows, but the first, where a group begins; null keys are equal."""
+    new = np.zeros(max(len(d) - 1, 0), bool)
+    for k in keys:
+        v, none = d[k].to_numpy(), d[k].isna().to_numpy()
+        new |= (v[1:] != v[:-1]) & ~(none[1:] & none[:-1])
+    return np.flatnonzero(new) + 1
+
+
 def suppress(det: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """Rows of det that survive within their group. Each step depends on those before, so groups (an image's boxes of a class) are the unit of parallelism; only the columns it needs cross to Python, the rest of a row comes along."""
-    schema = det.schema
+    """Rows of det that survive within their group, an image's boxes of a class.
+
+    Groups are dealt to tasks by their keys and come one after another, many to an Arrow batch: a function call for each group
+    would cost more than its boxes. A task holds a batch and its last group.
+    """
+
+    def survivors(d: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        boxes, scores, ids = d[["x1", "y1", "x2", "y2"]].to_numpy(np.float64), d["score"].to_numpy(np.float64), d["det_id"].to_numpy(np.int64)
+        at = [0, *edges.tolist(), len(d)]
+        return d.iloc[np.concatenate([lo + keep(boxes[lo:hi], scores[lo:hi], ids[lo:hi], threshold) for lo, hi in zip(at[:-1], at[1:], strict=True)])]
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        boxes = d[["x1", "y1", "x2", "y2"]].to_numpy(np.float64)
-        return d.iloc[keep(boxes, d["score"].to_numpy(np.float64), d["det_id"].to_numpy(np.int64), threshold)]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for d in batches:
+            if not len(d):
+                continue
+            if held and not len(_edges(pd.concat([held[-1].tail(1), d.head(1)]), keys)):
+                edges = _edges(d, keys)
+                if not len(edges):
+                    held.append(d)
+                    continue
+            d = pd.concat([*held, d], ignore_index=True)
+            edges = _edges(d, keys)
+            if not len(edges):
+                held = [d]
+                continue
+            yield survivors(d.iloc[: edges[-1]], edges[:-1])
+            held = [d.iloc[edges[-1] :]]
+        if held:
+            yield survivors(pd.concat(held, ignore_index=True), np.zeros(0, np.int64))
 
-    return det.groupBy(*keys).applyInPandas(run, schema)
+    return det.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, det.schema)

@@ -78,6 +78,26 @@ def test_suppression_invariants(rows, threshold):
     assert all(any(cover(i, j) > threshold and before(i, j) for i in kept) for j in range(len(rows)) if j not in kept)
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10000])
+def test_suppression_over_batch_ends(spark, batch):
+    """Groups that go over the ends of Arrow batches, null keys and an empty table."""
+    det, _ = random_tables(9, n=150)
+    det = [(*d[:1], None if d[1] == 2 else d[1], *d[2:]) for d in det]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(det, DET)
+        got = sorted(r["det_id"] for r in suppression.suppress(df, ["image_id", "cls_id"], 0.3).collect())
+        assert suppression.suppress(df.where("det_id < 0"), ["image_id"]).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for group in {d[1:3] for d in det}:
+        rows = [d for d in det if d[1:3] == group]
+        b = np.array([r[3:7] for r in rows], float)
+        want += [rows[k][0] for k in suppression.keep(b, np.array([r[7] for r in rows]), np.array([r[0] for r in rows]), 0.3)]
+    assert got == sorted(want)
+
+
 def test_equal_scores_prefer_the_larger_id():
     b = np.array([[1, 1, 10, 10], [1, 1, 10, 10]], float)
     assert suppression.keep(b, np.array([1.0, 1.0]), np.array([4, 9]), 0.5).tolist() == [1]
