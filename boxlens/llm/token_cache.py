@@ -88,7 +88,8 @@ class TokenCache:
         counted = arrow_map(texts.select("content_digest", "text"), _counter(spec), "content_digest binary, n_tokens long")
         run = counted.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
         run.select(F.lit(self.version).alias("tokenizer_digest"), "content_digest", "n_tokens").write.mode("append").parquet(f"{self.path}")
-        return keyed.join(self.stored(), "content_digest", "left").select("doc_id", "n_bytes", "n_tokens")
+        counts = work.write(self.stored(), "counts")  # a table, so that Spark can split a hot digest's rows in the join
+        return keyed.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
 def fresh_cache(spark: SparkSession, tokenizer_path: str, collapse_space: bool) -> TokenCache:
