@@ -1,70 +1,23 @@
-"""What the operators share: the folder for intermediate tables, written tables, Arrow maps."""
+"""What the operators share: reading tables, Arrow maps, slices."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxlens.tables import Workspace  # noqa: F401
+
 #: Arrow batches end at this many bytes, so that a Python worker's memory does not follow the length of texts.
 BATCH_BYTES = 2 << 20
-#: Words are maximal runs without these characters, which are also those that bytes.split() splits at.
-WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares. One is made only where the session names none, as in tests."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    if not (base := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="boxlens-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
-
-
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-class Workspace:
-    """Written intermediate tables of one call, in the shared folder. Spark's file system removes them when the application ends; drop() removes one earlier. Under a root of the caller's they stay."""
-
-    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
-        self.spark, self.root = spark, root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        if root is None:
-            path = self._path(self.root)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-
-    def _path(self, p: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(p)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes a table and reads it again. Shuffle files that only the write needed go with it."""
-        path = f"{self.root}/{name}"
-        with _setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-            df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        path = self._path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
