@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -72,17 +73,22 @@ def test_counts_as_the_library_and_the_cache_is_used(spark, tmp_path):
     assert cache.count(docs.where("doc_id = -9")).collect() == []
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.characters(codec="utf-8"), max_size=60))
-def test_collapsed_space_gives_the_same_count(text):
+@pytest.fixture(scope="module")
+def word_library():
     from tokenizers import Tokenizer
 
-    import re
+    return Tokenizer.from_file(public_tokenizers.path(WORD_TOKENIZER))
+
+
+PARTS = st.lists(st.one_of(st.sampled_from([" ", "\n", "\t ", "\x0b", "\x1c", "\x85", "\u00a0", "\u3000", "\u0301", "'s", "'", "<|endoftext|>", "<|startoftext|>", "<|", "\u03a3", "\u0130", "a", "1"]), st.text(alphabet=st.characters(codec="utf-8"), max_size=6)), max_size=14).map("".join)
+
 
-    if not hasattr(test_collapsed_space_gives_the_same_count, "t"):
-        test_collapsed_space_gives_the_same_count.t = Tokenizer.from_file(public_tokenizers.path(WORD_TOKENIZER))
-    count = lambda s: len(test_collapsed_space_gives_the_same_count.t.encode(s, add_special_tokens=False).ids)
-    assert count(text) == count(re.sub("[ \t\n\r]+", " ", text).strip(" "))
+@settings(max_examples=400, deadline=None)
+@given(PARTS)
+def test_counts_by_word_are_the_librarys(word_library, text):
+    want = len(word_library.encode(text, add_special_tokens=False).ids)
+    assert token_cache.WordCounts(word_library).count([text.encode()]) == [want]
+    assert len(word_library.encode(re.sub("[ \t\n\r]+", " ", text).strip(" "), add_special_tokens=False).ids) == want
 
 
 def test_packing_ids_are_the_tokenizers():
