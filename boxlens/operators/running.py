@@ -14,8 +14,8 @@ RANGES = 64
 
 def range_cuts(df: DataFrame, by: str, ranges: int = RANGES) -> list[float]:
     """Cut points of a number column at equal shares, approximately; exactness does not matter, only that all rows use the same ones."""
-    found = df.approxQuantile(by, [i / ranges for i in range(1, ranges)], 0.005)
-    return sorted(set(found))
+    found = df.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 500)).first()[0]
+    return sorted(set(found or []))
 
 
 def range_of(by: str, cuts: list[float], descending: bool) -> Column:
