@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from boxlens.llm.common import Workspace, arrow_map, as_bytes, slices
 from boxlens.llm.components import connected_components
+from boxlens.llm.near_copies import WIDTH, representatives
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 SLICE_BYTES = 1 << 18
@@ -249,7 +250,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return marked.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component: the one whose id names it, one of them where rows repeat that id. Rows with a null id stay. All columns stay."""
-    kept = near_duplicates(docs, width).where("doc_id = component_id").select("doc_id").distinct().hint("merge")
+def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with one row of each group of near copies (near_copies: five words, similarity 0.8 or more): the one of the least id, one of them where rows repeat that id. Rows with a null id stay. All columns stay."""
+    kept = representatives(docs, width).select("doc_id").distinct().hint("merge")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -19,7 +19,7 @@ def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, whole."""
+    """One document of each group of near copies (five words, similarity 0.8 or more) stays, whole."""
     return simhash.keep_one(docs)
 
 

@@ -194,3 +194,27 @@ def test_components_of_long_paths_and_hubs(spark):
 def test_kept_digest_of_the_query(spark):
     got = substring_index.remove_repeats(spark.createDataFrame([(1, " a  b\n c ")], "doc_id long, text string")).select(F.sha2(F.col("text").cast("binary"), 256)).first()[0]
     assert got == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_near_copies_against_plain_jaccard(spark):
+    """Pairs of similarity 0.8 or more are linked, no others are; several words changed put most of them more than 3 bits apart."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(150)]
+        for changes in (0, 1, 3, 3, 6, 12):
+            w = list(base)
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    rows = shuffled_ids(texts)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in rows]
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    fps = [helpers.simhash(t) for _, t in rows]
+    assert sum(bin(fps[i] ^ fps[j]).count("1") > 3 for i, j in close) > 0.5 * len(close)
+    least: dict = {}
+    for (doc, _), r in zip(rows, helpers.components(len(rows), close), strict=True):
+        least[r] = min(doc, least.get(r, doc))
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], helpers.DOCS)
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(least.values())
