@@ -1,9 +1,9 @@
 """Repeated multi-line chunks.
 
-A rolling hash of the last two lines' hashes ends a chunk where its lowest bits are zero, not before the
-second line: ends depend on the lines around them only, so an inserted line shifts none further on. Chunks
-with an equal digest are candidates; grouping them by their bytes compares those, and all but the first of
-a group (least doc_id, then least line; null ids last) are removed.
+Every two neighbouring lines are a chunk, so no boundary depends on where another chunk starts, and whatever
+run of lines two places share is made of chunks that they share: it goes whole, from its first line to its
+last. Chunks with an equal digest are candidates; grouping them by their bytes compares those, and all but the
+first of a group (least doc_id, then least line; null ids last) are removed.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from boxlens.llm.common import Workspace, arrow_map
 from boxlens.llm.spans import cut_out, joined, keyed, with_text
 
-#: A chunk has MIN_LINES at least and on average DIVISOR - 1 more, a power of two.
-MIN_LINES, DIVISOR = 2, 2
-MULTIPLIER = 0x9E3779B97F4A7C15
+#: Lines of a chunk, and the fewest of a run that goes.
+MIN_LINES = 2
 
 
 def lines(text: bytes) -> list[bytes]:
@@ -30,20 +29,7 @@ def lines(text: bytes) -> list[bytes]:
 
 def chunks(rows: list[bytes]) -> list[tuple[int, int]]:
     """(start, n) of the chunks of a document's lines."""
-    from xxhash import xxh3_64_intdigest
-
-    found, start, before = [], 0, 0
-    for i, line in enumerate(rows):
-        own = xxh3_64_intdigest(line)
-        rolled = (before * MULTIPLIER + own) & 0xFFFFFFFFFFFFFFFF
-        rolled = (rolled ^ rolled >> 29) * MULTIPLIER & 0xFFFFFFFFFFFFFFFF
-        if i - start + 1 >= MIN_LINES and (rolled >> 40) % DIVISOR == 0:
-            found.append((start, i + 1 - start))
-            start = i + 1
-        before = own
-    if start < len(rows):
-        found.append((start, len(rows) - start))
-    return found
+    return [(k, MIN_LINES) for k in range(len(rows) - MIN_LINES + 1)]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

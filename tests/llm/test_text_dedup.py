@@ -218,3 +218,19 @@ def test_near_copies_against_plain_jaccard(spark):
         least[r] = min(doc, least.get(r, doc))
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], helpers.DOCS)
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(least.values())
+
+
+@pytest.mark.parametrize("size", [2, 3, 4, 6, 8, 12, 20])
+def test_lines_of_short_blocks_go_whole(spark, size):
+    """A block of two lines or more that an earlier document has goes whole, whatever lines stand around it; lines of no repeated run stay."""
+    rng = random.Random(size)
+    own = lambda: [f"own {rng.random()}" for _ in range(rng.randint(1, 9))]
+    rows, want = [], {}
+    for k in range(0, 40, 2):
+        block = [f"block {rng.random()}" for _ in range(size)]
+        for doc in (k, k + 1):
+            before, after = own(), own()
+            rows.append((doc, "\n".join([*before, *block, *after])))
+            want[doc] = "\n".join([*before, *(block if doc == k else []), *after])
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
