@@ -59,11 +59,13 @@ def compare_runs(spark, sf_dir):
 
 
 REPLICATES = 5
+#: The reference's resamples and flips. The two queries whose SQL is registered run the smaller numbers.
+ALL_REPLICATES, ALL_FLIPS = 1000, 100_000
 
 
-def draws(spark):
+def draws(spark, replicates=REPLICATES):
     """As many draws as images, with replacement, from a rule both engines share: (replicate, image_id, times)."""
-    grid = spark.range(REPLICATES * IMAGES).select((F.col("id") / IMAGES).cast("long").alias("replicate"), (F.col("id") % IMAGES).alias("k"))
+    grid = spark.range(replicates * IMAGES).select((F.col("id") / IMAGES).cast("long").alias("replicate"), (F.col("id") % IMAGES).alias("k"))
     drawn = F.floor(F.pmod((F.col("replicate") * 7919 + F.col("k") + 1) * 2654435761, F.lit(4294967296)) / 65536) % IMAGES
     return grid.select("replicate", drawn.alias("image_id")).groupBy("replicate", "image_id").agg(F.count("*").alias("times"))
 
@@ -83,14 +85,29 @@ def bootstrap_ap(spark, sf_dir):
     return evaluation.bootstrap_ap(det(spark, sf_dir), gt(spark, sf_dir), draws(spark)).withColumn("ap", F.round("ap", 9))
 
 
+@query()
+def bootstrap_ap_whole(spark, sf_dir):
+    """With as many resamples as the reference draws."""
+    return evaluation.bootstrap_ap(det(spark, sf_dir), gt(spark, sf_dir), draws(spark, ALL_REPLICATES)).withColumn("ap", F.round("ap", 9))
+
+
 @query(f"""WITH {DET_SQL}, diffs AS (SELECT cls_id, round(avg(CASE WHEN comp = 1 THEN score END) - avg(CASE WHEN comp = 2 THEN score END), 6) AS diff FROM det GROUP BY cls_id),
 o AS (SELECT avg(diff) AS observed FROM diffs),
 m AS (SELECT r, avg(CASE WHEN ((r * 2654435761 + cls_id * 40503 + 1) % 4294967296 // 65536) % 2 = 0 THEN diff ELSE -diff END) AS m FROM diffs, (SELECT CAST(range AS BIGINT) AS r FROM range(2000)) GROUP BY r)
 SELECT round(observed, 9) AS observed, CAST(sum(CASE WHEN abs(m) >= abs(observed) - 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS extreme, sum(CASE WHEN abs(m) >= abs(observed) - 1e-12 THEN 1 ELSE 0 END) / 2000.0::DOUBLE AS p FROM m, o GROUP BY observed""")
 def paired_sign_flip(spark, sf_dir):
+    return evaluation.paired_sign_test(differences(spark, sf_dir), "cls_id", 2000).withColumn("observed", F.round("observed", 9))
+
+
+def differences(spark, sf_dir):
     mean = lambda c: F.avg(F.when(F.col("comp") == c, F.col("score")))
-    diffs = det(spark, sf_dir).groupBy("cls_id").agg(F.round(mean(1) - mean(2), 6).alias("diff"))
-    return evaluation.paired_sign_test(diffs, "cls_id", 2000).withColumn("observed", F.round("observed", 9))
+    return det(spark, sf_dir).groupBy("cls_id").agg(F.round(mean(1) - mean(2), 6).alias("diff"))
+
+
+@query()
+def paired_sign_flip_whole(spark, sf_dir):
+    """With as many flips as the reference makes."""
+    return evaluation.paired_sign_test(differences(spark, sf_dir), "cls_id", ALL_FLIPS).withColumn("observed", F.round("observed", 9))
 
 
 @query(f"""{BASE_SQL} SELECT bucket, cls_id, count(*) AS n FROM (
