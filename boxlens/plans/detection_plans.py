@@ -42,6 +42,12 @@ def negative_images(spark, sf_dir):
     return selection.negative_images(det(spark, sf_dir), gt(spark, sf_dir).where("gt_id % 5 = 0"), CLASSES)
 
 
+@query()
+def negative_images_whole(spark, sf_dir):
+    """By all objects."""
+    return selection.negative_images(det(spark, sf_dir), gt(spark, sf_dir), CLASSES)
+
+
 @query(f"""WITH {GT_SQL} SELECT image_id, cls_id, count(*) AS n,
   string_agg(gt_id || ':' || x1 || ',' || y1 || ',' || x2 || ',' || y2, ' ' ORDER BY gt_id) AS boxes FROM gt WHERE NOT difficult GROUP BY image_id, cls_id""")
 def positive_images(spark, sf_dir):

@@ -45,6 +45,12 @@ def deformation_bounded(spark, sf_dir):
     return grammar.deform(one, 0.5, 0.25, 0.75, -0.5)
 
 
+@query()
+def deformation_bounded_whole(spark, sf_dir):
+    """On all images of the grid."""
+    return grammar.deform(cells(spark).where("symbol = 0"), 0.5, 0.25, 0.75, -0.5)
+
+
 @query(f"WITH {CELLS_SQL} SELECT image_id, level, y, x, symbol AS rule, score FROM (SELECT *, row_number() OVER (PARTITION BY image_id, level, y, x ORDER BY score DESC, symbol) AS k FROM cells) WHERE k = 1")
 def symbol_max(spark, sf_dir):
     return grammar.symbol_best(cells(spark).withColumnRenamed("symbol", "rule"))
@@ -115,9 +121,20 @@ bad AS (SELECT DISTINCT a.example_id, a.cell_id FROM c a JOIN gt b ON a.image_id
 SELECT c.example_id, c.cell_id, CASE WHEN own < 0.1 OR bad.cell_id IS NOT NULL THEN -1e9 WHEN own < 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS loss FROM c LEFT JOIN bad ON c.example_id = bad.example_id AND c.cell_id = bad.cell_id""")
 def loss_field(spark, sf_dir):
     """Every third object is an example, the detections of its image and class its windows. Minus infinity is shown as -1e9."""
-    d, g = det(spark, sf_dir), gt(spark, sf_dir)
+    g = gt(spark, sf_dir)
+    return losses(det(spark, sf_dir), g, g.where("gt_id % 3 = 0"))
+
+
+@query()
+def loss_field_whole(spark, sf_dir):
+    """Every object is an example."""
+    g = gt(spark, sf_dir)
+    return losses(det(spark, sf_dir), g, g)
+
+
+def losses(d, g, examples):
     sides = ["x1", "y1", "x2", "y2"]
-    own = g.where("gt_id % 3 = 0").withColumnRenamed("gt_id", "example_id")
+    own = examples.withColumnRenamed("gt_id", "example_id")
     windows = d.join(own.select("example_id", "image_id", "cls_id"), ["image_id", "cls_id"]).select("example_id", F.col("det_id").alias("cell_id"), *sides)
     others = own.select("example_id", "image_id", "cls_id").join(g, ["image_id", "cls_id"]).where("gt_id <> example_id").select("example_id", *sides)
     found = selection.output_losses(windows, own.select("example_id", *sides), others)

@@ -27,3 +27,39 @@ def test_flips_are_all_made(spark):
     extreme = int((np.abs(means) >= abs(values.mean()) - 1e-12).sum())
     got = QUERIES["paired_sign_flip_whole"](spark, SF).first()
     assert (got["extreme"], got["p"]) == (extreme, pytest.approx(extreme / 100_000))
+
+
+def test_negative_images_by_all_objects(spark):
+    images = {r[0] for r in det(spark, SF).select("image_id").distinct().collect()}
+    held = {tuple(r) for r in gt(spark, SF).select("cls_id", "image_id").collect()}
+    got = [(r["cls_id"], r["image_id"]) for r in QUERIES["negative_images_whole"](spark, SF).collect()]
+    assert sorted(got) == sorted((c, i) for c in range(CLASSES) for i in images if (c, i) not in held)
+
+
+def iou(a, b):
+    w, h = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]) + 1, min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]) + 1
+    size = lambda r: (r["x2"] - r["x1"] + 1) * (r["y2"] - r["y1"] + 1)
+    both = max(0, w) * max(0, h)
+    return both / (size(a) + size(b) - both)
+
+
+def test_losses_of_all_objects(spark):
+    place = lambda r: (r["image_id"], r["cls_id"])
+    windows, objects, want = {}, {}, {}
+    for r in det(spark, SF).collect():
+        windows.setdefault(place(r), []).append(r)
+    for r in gt(spark, SF).collect():
+        objects.setdefault(place(r), []).append(r)
+    for at, here in objects.items():
+        for e in here:
+            for d in windows.get(at, []):
+                own, other = iou(d, e), any(iou(d, o) >= 0.5 for o in here if o["gt_id"] != e["gt_id"])
+                want[e["gt_id"], d["det_id"]] = -1e9 if own < 0.1 or other else float(own < 0.5)
+    assert {(r["example_id"], r["cell_id"]): r["loss"] for r in QUERIES["loss_field_whole"](spark, SF).collect()} == want
+
+
+def test_deformation_of_all_images(spark):
+    rows = QUERIES["deformation_bounded_whole"](spark, SF).collect()
+    assert {r["image_id"] for r in rows} == set(range(8))
+    few = {(r["image_id"], r["level"], r["y"], r["x"], r["score"]) for r in QUERIES["deformation_bounded"](spark, SF).collect()}
+    assert {(r["image_id"], r["level"], r["y"], r["x"], r["score"]) for r in rows if r["image_id"] < 3} == few
