@@ -155,6 +155,15 @@ def gram_matrix(spark, sf_dir):
     return spark.createDataFrame([(i + 1, j + 1, float(g[i, j])) for i in range(16) for j in range(16)], "i int, j int, g double").withColumn("g", F.round("g", 6))
 
 
+@query()
+def gram_matrix_whole(spark, sf_dir):
+    """Of all dimensions."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("embedding").alias("v"))
+    n = rows.agg(F.max(F.size("v"))).first()[0]
+    g = cascade.gram(rows, "v", n)
+    return spark.createDataFrame([(i + 1, j + 1, float(g[i, j])) for i in range(n) for j in range(n)], "i int, j int, g double").withColumn("g", F.round("g", 6))
+
+
 @query(f"""WITH {DET_SQL}, n AS (SELECT comp, sum((cls_id + 1) * (cls_id + 1)) AS s FROM (SELECT DISTINCT comp, cls_id FROM det) GROUP BY comp), t AS (SELECT max(s * 0.5::DOUBLE / 1000) AS m FROM n)
 SELECT round(m + ln(sum(exp(1000.0::DOUBLE * (s * 0.5::DOUBLE / 1000 - m)))) / 1000.0::DOUBLE, 9) AS value FROM n, t GROUP BY m""")
 def component_regulariser(spark, sf_dir):

@@ -63,3 +63,10 @@ def test_deformation_of_all_images(spark):
     assert {r["image_id"] for r in rows} == set(range(8))
     few = {(r["image_id"], r["level"], r["y"], r["x"], r["score"]) for r in QUERIES["deformation_bounded"](spark, SF).collect()}
     assert {(r["image_id"], r["level"], r["y"], r["x"], r["score"]) for r in rows if r["image_id"] < 3} == few
+
+
+def test_gram_matrix_of_all_dimensions(spark):
+    v = np.array([r[0] for r in read(spark, SF, "embeddings").select("embedding").collect()], np.float64)
+    got = {(r["i"] - 1, r["j"] - 1): r["g"] for r in QUERIES["gram_matrix_whole"](spark, SF).collect()}
+    want = v.T @ v / len(v)
+    assert len(got) == 64 * 64 and all(abs(g - want[k]) < 2e-6 for k, g in got.items())
