@@ -81,13 +81,13 @@ def context_features(spark, sf_dir):
 
 @query()
 def context_rescore(spark, sf_dir):
-    """Trained on the labels of the even images, applied to all."""
+    """Trained on the labels of all images and applied to them."""
     from boxlens.operators.matching import claim_labels
 
     d = det(spark, sf_dir)
     rows = rescoring.context_features(d, rescoring.class_maxima(d, CLASSES), WIDTH, HEIGHT, CLASSES)
-    labelled = rows.join(claim_labels(d.where("image_id % 2 = 0"), gt(spark, sf_dir)), "det_id")
-    return rescoring.rescore(rows, rescoring.fit_context(labelled, steps=4))
+    labelled = written(rows.join(claim_labels(d, gt(spark, sf_dir)), "det_id"), "labelled")  # each step reads it
+    return rescoring.rescore(rows, rescoring.fit_context(labelled))
 
 
 @query(f"""WITH {DET_SQL}, {PARTS_SQL}, r AS (SELECT * FROM parts WHERE filter_id = 0)

@@ -70,3 +70,19 @@ def test_gram_matrix_of_all_dimensions(spark):
     got = {(r["i"] - 1, r["j"] - 1): r["g"] for r in QUERIES["gram_matrix_whole"](spark, SF).collect()}
     want = v.T @ v / len(v)
     assert len(got) == 64 * 64 and all(abs(g - want[k]) < 2e-6 for k, g in got.items())
+
+
+def test_context_scores_against_numpy(spark):
+    d = det(spark, SF)
+    rows = rescoring.context_features(d, rescoring.class_maxima(d, CLASSES), WIDTH, HEIGHT, CLASSES)
+    x = {r["det_id"]: r["x"] for r in rows.collect()}
+    labels = {r["det_id"]: r["label"] for r in claim_labels(d, gt(spark, SF)).collect() if r["label"]}
+    z, y = rescoring.expanded(np.array([x[k] for k in labels])), np.array(list(labels.values()), float)
+    w = speed = np.zeros(z.shape[1])
+    for _ in range(40):
+        c = np.where(y > 0, 2.0, 1.0) * np.maximum(0, 1 - y * (z @ w))
+        speed = 0.9 * speed - 0.1 * (-(c * y) @ z / len(y) + 1e-3 * w)
+        w = w + speed
+    got = {r["det_id"]: r["score"] for r in QUERIES["context_rescore"](spark, SF).collect()}
+    assert set(got) == set(x)
+    assert np.allclose([got[k] for k in x], rescoring.expanded(np.array(list(x.values()))) @ w, rtol=1e-6, atol=1e-6)
