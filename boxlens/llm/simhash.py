@@ -251,6 +251,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with one row of each group of near copies (near_copies: five words, similarity 0.8 or more): the one of the least id, one of them where rows repeat that id. Rows with a null id stay. All columns stay."""
-    kept = representatives(docs, width).select("doc_id").distinct().hint("merge")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """docs with one row of each group of near copies (near_copies: five words, similarity 0.8 or more): the one of the least id, then least text hash; of rows equal in both, one. Rows with a null id stay. All columns stay."""
+    kept = representatives(docs, width).select(F.col("doc_id").alias("k_doc"), F.col("h").alias("k_h")).hint("merge")
+    h = F.xxhash64(F.col("text").cast("string"))
+    one = docs.withColumn("_h", h).join(kept, (F.col("doc_id").cast("long") == F.col("k_doc")) & (F.col("_h") == F.col("k_h")), "left_semi").dropDuplicates(["doc_id", "_h"])
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))

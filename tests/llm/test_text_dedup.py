@@ -234,3 +234,10 @@ def test_lines_of_short_blocks_go_whole(spark, size):
             want[doc] = "\n".join([*before, *(block if doc == k else []), *after])
     got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_keep_one_of_repeated_ids_with_different_texts(spark):
+    """Rows that share an id are copies of one another only if their texts are."""
+    rows = [(1, "one two three four five six"), (2, "other words stand in this text"), (2, "one two three four five six"), (2, "a third text has nothing in common")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], helpers.DOCS)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == sorted([rows[0], rows[1], rows[3]])
