@@ -3,7 +3,7 @@
 A text's set is its distinct hashes of WIDTH words. BANDS keys, each of ROWS least hashes under functions of
 their own, file a set; two sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, 0.9996 at
 0.8. What shares a key is compared set by set: first with the least set of its bucket, then every pair of a
-bucket that these links have not connected yet, so a bucket of near copies takes no square of its size.
+bucket that these links have not connected yet. Only a large group just below the similarity takes its square.
 """
 
 from __future__ import annotations
