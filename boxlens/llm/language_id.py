@@ -23,6 +23,8 @@ TEXTS_PER_LANGUAGE, WINDOWS = 1000, 3
 LENGTH, EMBED, WIDTHS, FILTERS = 256, 4, (2, 3, 4), 16
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 7
 WIDEST, PAD, CHUNK = max(WIDTHS), 256, 64
+#: Windows of a text that are held at once.
+BLOCK = 256
 UNDETERMINED = "und"
 
 
@@ -67,6 +69,26 @@ class ByteCnn:
             out.append(softmax(hidden @ self.dense + self.dense_bias))
         return np.concatenate([np.zeros((0, len(self.languages)), np.float32), *out])
 
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the cross entropy of windows x with labels y, summed with that weight each."""
+        cols, conv = self.pooled(x)
+        place = conv.argmax(axis=1)
+        rows, n = np.arange(len(x))[:, None], conv.shape[2]
+        raw = conv[rows, place, np.arange(n)[None, :]] + self.bias
+        hidden = np.maximum(raw, 0)
+        p = softmax(hidden @ self.dense + self.dense_bias)
+        p[np.arange(len(x)), y] -= 1
+        p *= weight[:, None]
+        back = (p @ self.dense.T) * (raw > 0)
+        under = cols[rows, place]  # (batch, filters, widest * embed)
+        grads = {"dense": hidden.T @ p, "dense_bias": p.sum(axis=0), "bias": back.sum(axis=0), "filters": np.einsum("bf,bfk->kf", back, under) * self.mask()}
+        at_bytes = x[rows[:, :, None], place[:, :, None] + np.arange(WIDEST)[None, None, :]]
+        to_bytes = (back[:, :, None] * self.filters.T[None]).reshape(-1, EMBED)
+        grads["embedding"] = np.zeros_like(self.embedding)
+        np.add.at(grads["embedding"], at_bytes.reshape(-1), to_bytes)
+        grads["embedding"][PAD] = 0
+        return grads
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
@@ -81,7 +103,6 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Byte
     first, second, t = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0
     count = np.bincount(labels, minlength=len(languages))
     weight = (len(labels) / np.maximum(count, 1) / max(1, (count > 0).sum())).astype(np.float32)
-    mask = net.mask()
     for epoch in range(EPOCHS):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
@@ -90,22 +111,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Byte
             short = rng.random(len(x)) < 0.25
             ends = np.where(short, rng.integers(6, LENGTH, len(x)), x.shape[1])
             x[np.arange(x.shape[1])[None, :] >= ends[:, None]] = PAD
-            cols, conv = net.pooled(x)
-            place = conv.argmax(axis=1)
-            rows, n = np.arange(len(x))[:, None], conv.shape[2]
-            raw = conv[rows, place, np.arange(n)[None, :]] + net.bias
-            hidden = np.maximum(raw, 0)
-            p = softmax(hidden @ net.dense + net.dense_bias)
-            p[np.arange(len(x)), y] -= 1
-            p *= (weight[y] / len(x))[:, None]
-            back = (p @ net.dense.T) * (raw > 0)
-            under = cols[rows, place]  # (batch, filters, widest * embed)
-            grads = {"dense": hidden.T @ p, "dense_bias": p.sum(axis=0), "bias": back.sum(axis=0), "filters": np.einsum("bf,bfk->kf", back, under) * mask}
-            at_bytes = x[rows[:, :, None], place[:, :, None] + np.arange(WIDEST)[None, None, :]]
-            to_bytes = (back[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
-            grads["embedding"] = np.zeros_like(net.embedding)
-            np.add.at(grads["embedding"], at_bytes.reshape(-1), to_bytes)
-            grads["embedding"][PAD] = 0
+            grads = net.gradients(x, y, weight[y] / len(x))
             t += 1
             rate = RATE * (1 - epoch / EPOCHS) + 1e-3
             for k in names:
@@ -116,17 +122,19 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Byte
     return net
 
 
-def cut_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that cover every text: (windows, the text each is of, its bytes). A filter at a window's end sees the next window's first bytes."""
+def cut_windows(texts: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that cover every text, of its first most bytes if given: (windows, the text each is of, its bytes). A filter at a window's end sees the bytes that follow."""
     flat = np.frombuffer(b"".join(texts) + b"\0" * (LENGTH + WIDEST), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     end = np.cumsum(size)
-    number = -(-size // LENGTH)
+    begin = end - size
+    covered = size if most is None else np.minimum(size, most)
+    number = -(-covered // LENGTH)
     of = np.repeat(np.arange(len(texts)), number)
-    starts = (end - size)[of] + LENGTH * (np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number))
+    starts = begin[of] + LENGTH * (np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number))
     at = starts[:, None] + np.arange(LENGTH + WIDEST - 1)[None, :]
     windows = np.where(at < end[of][:, None], flat[np.minimum(at, len(flat) - 1)].astype(np.int16), PAD)
-    return windows, of, np.minimum(LENGTH, end[of] - starts)
+    return windows, of, np.minimum(LENGTH, (begin + covered)[of] - starts)
 
 
 def has_letter(text: bytes) -> bool:
@@ -134,21 +142,21 @@ def has_letter(text: bytes) -> bool:
 
 
 def predict(net: ByteCnn | None, texts: list[bytes]) -> tuple[list[str], list[float]]:
-    """Without a letter (or a net): undetermined, 0. Long texts are cut in blocks, so that memory is bounded."""
+    """Without a letter (or a net): undetermined, 0. Long texts are cut in blocks, so that memory is bounded; a block brings the bytes that its last filters see, so blocks give what the whole text gives."""
     names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     if net is None:
         return names, scores
     use = [k for k, t in enumerate(texts) if has_letter(t)]
     total = np.zeros((len(use), len(net.languages)))
-    block = 256 * LENGTH
-    pieces = [(j, texts[k][s : s + block]) for j, k in enumerate(use) for s in range(0, len(texts[k]), block)]
+    block = BLOCK * LENGTH
+    pieces = [(j, texts[k][s : s + block + WIDEST - 1]) for j, k in enumerate(use) for s in range(0, len(texts[k]), block)]
     at = 0
     while at < len(pieces):
         end, held = at, 0
         while end < len(pieces) and (end == at or held + len(pieces[end][1]) <= block):
             held += len(pieces[end][1])
             end += 1
-        windows, of, n = cut_windows([p for _, p in pieces[at:end]])
+        windows, of, n = cut_windows([p for _, p in pieces[at:end]], block)
         owner = np.array([j for j, _ in pieces[at:end]])[of]
         np.add.at(total, owner, net.probabilities(windows) * n[:, None])
         at = end
@@ -160,16 +168,17 @@ def predict(net: ByteCnn | None, texts: list[bytes]) -> tuple[list[str], list[fl
 
 
 def fit(labelled: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE) -> ByteCnn | None:
-    """From (doc_id, text, lang). Rows with a null language teach nothing; none at all give no net. The driver gets short cuts of a bounded number of texts, chosen by a hash of the id."""
+    """From (doc_id, text, lang). Rows with a null language or an empty text teach nothing; none at all give no net. The driver gets short cuts of a bounded number of texts, chosen by a hash of id and text; rows equal in id and cuts count once."""
     rows = labelled.where("lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where("length(text) > 0")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     rate = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, texts_per_language / n))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     room = F.greatest(F.length("text") - LENGTH, F.lit(1))
     cuts = [F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(k)), room) + 1).cast("int"), F.lit(LENGTH + WIDEST)) for k in range(WINDOWS)]
-    picked = rows.where("length(text) > 0").where(chance < rate[F.col("lang")]).select("lang", *[c.alias(f"c{k}") for k, c in enumerate(cuts)]).orderBy("lang", "c0", "c1").collect()
+    picked = rows.where(chance < rate[F.col("lang")]).select("doc_id", "lang", *[c.alias(f"c{k}") for k, c in enumerate(cuts)]).distinct().orderBy("lang", *[f"c{k}" for k in range(WINDOWS)]).collect()
     languages = sorted(counts)
     windows, labels = [], []
     for r in picked:
@@ -182,10 +191,11 @@ def fit(labelled: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE) -> By
 
 
 def identify(docs: DataFrame, net: ByteCnn | None, keep_text: bool = True) -> DataFrame:
-    """docs with lang_pred and score added after all columns (which must not have these names); without the text unless it is kept."""
+    """docs with lang_pred and score added after all columns, of which those so named go; without the text unless it is kept. Null and letterless texts: undetermined, 0. No rows: no rows."""
     from pyspark.sql import types as T
 
     net = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the network's size
+    docs = docs.drop("lang_pred", "score")
     columns = docs.columns
     at = columns.index("text")
     kept = [k for k in range(len(columns)) if keep_text or k != at]
@@ -200,12 +210,12 @@ def identify(docs: DataFrame, net: ByteCnn | None, keep_text: bool = True) -> Da
 
 
 def predicted(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of docs, learnt from labelled. Null and letterless texts: undetermined, 0. Rows with the same or a null id stay rows of their own; extra columns are ignored."""
+    """(doc_id, lang_pred, score) of every row of docs, learnt from labelled. Null and letterless texts: undetermined, 0. Rows with the same or a null id stay rows of their own; extra columns are ignored. No rows: no rows."""
     return identify(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(labelled), keep_text=False)
 
 
-def stage(docs: DataFrame, labelled: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """docs without those whose language is undetermined or has a lower score. All columns stay."""
+def stage(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """docs without those whose language is undetermined: null, empty and letterless texts. All columns stay. No rows: no rows."""
     whole = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"))
-    found = identify(whole, fit(labelled)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    found = identify(whole, fit(labelled)).where(F.col("lang_pred") != UNDETERMINED)
     return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlens.llm.common import arrow_map, slices
+from boxlens.llm.common import Workspace, arrow_map, slices
 
 #: Labelled texts that training reads, in expectation (all, where there are fewer).
 TOXIC_TEXTS, CLEAN_TEXTS = 1500, 3000
@@ -34,7 +34,7 @@ ORDER, SPAN, DECAY = 4, 7, 0.75
 #: A telling word is so many times as common in toxic texts. They are chosen until one explains fewer new toxic texts than
 #: LEAST_GAIN, or there are MOST_TELLING; a text is explained by DEPTH of them.
 ODDS, LEAST_GAIN, DEPTH, MOST_TELLING, CLEAN_WORDS, LANDMARKS = 15, 3, 3, 300, 4000, 400
-MOST_NORM_LENGTH, ROUNDS, SEED, THRESHOLD = 10, 5, 11, 0.7
+ROUNDS, SEED, THRESHOLD = 5, 11, 0.7
 SLICE_CHARS = 1 << 17
 #: The code that every word begins with.
 START = 31
@@ -62,33 +62,51 @@ def _codes() -> np.ndarray:
     return table
 
 
-def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The words' codes, START first in each, and the length of each. Signs inside a word are dropped; a run of one-letter words is one word."""
+def letter_codes(text: str) -> np.ndarray:
+    """A code for each character that is not dropped."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
     high = points >= TABLE
     codes = _codes()[np.where(high, 0, points)]
     if high.any():
         codes = np.where(high, 27 + points % 4, codes).astype(np.uint8)
-    codes = codes[codes != DROP]
-    if not codes.size:
-        return codes, np.zeros(0, np.int64)
+    return codes[codes != DROP]
+
+
+def split_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words' codes, START first in each, the length of each, and where the last word begins. A run of one-letter words is one word."""
     letter = codes != SPACE
     edge = np.flatnonzero(np.diff(np.r_[False, letter, False].astype(np.int8)))
     size = edge[1::2] - edge[::2]
+    if not len(size):
+        return codes[:0], size, len(codes)
     alone = size == 1
     fresh = np.ones(len(size), bool)
     fresh[1:] = ~(alone[1:] & alone[:-1])
-    if not len(size):
-        return codes[:0], size
-    size = np.add.reduceat(size, np.flatnonzero(fresh))
-    return np.insert(codes[letter], np.cumsum(size) - size, START), size + 1
+    first = np.flatnonzero(fresh)
+    size = np.add.reduceat(size, first)
+    return np.insert(codes[letter], np.cumsum(size) - size, START), size + 1, int(edge[::2][first[-1]])
+
+
+def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The words' codes and the length of each. Signs inside a word are dropped."""
+    return split_words(letter_codes(text))[:2]
+
+
+def encoded_parts(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """encode() in parts. The last word of a part, which may go on, is taken over into the next, so parts give the words of the whole text."""
+    carried = np.zeros(0, np.uint8)
+    for at in range(0, len(text), SLICE_CHARS):
+        codes = np.concatenate([carried, letter_codes(text[at : at + SLICE_CHARS])])
+        if at + SLICE_CHARS < len(text):
+            last = split_words(codes)[2]
+            codes, carried = codes[:last], codes[last:]
+        yield split_words(codes)[:2]
 
 
 def word_norms(size: np.ndarray) -> np.ndarray:
     """The kernel's norm of a word of that length with no subsequence twice."""
-    lengths = np.arange(MOST_NORM_LENGTH + 1)
-    square = sum(np.maximum(lengths - d, 0) * len(list(combinations(range(d - 1), ORDER - 2))) * DECAY ** (2 * (d + 1 - ORDER)) for d in range(ORDER - 1, SPAN))
-    return np.sqrt(np.maximum(square, 1))[np.minimum(size, MOST_NORM_LENGTH)]
+    square = sum(np.maximum(size - d, 0) * len(list(combinations(range(d - 1), ORDER - 2))) * DECAY ** (2 * (d + 1 - ORDER)) for d in range(ORDER - 1, SPAN))
+    return np.sqrt(np.maximum(square, 1))
 
 
 def subsequences(codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -135,16 +153,8 @@ class StringKernelSvm:
         return total / word_norms(size) + self.bias
 
     def evidence(self, text: str) -> np.ndarray:
-        """Of the whole text; long texts go in parts that end between words."""
-        values, at = [np.zeros(0)], 0
-        while at < len(text):
-            end = at + SLICE_CHARS
-            if end < len(text):
-                cut = text.rfind(" ", at + 1, end)
-                end = cut if cut > at else end
-            values.append(self.values(*encode(text[at:end])))
-            at = end
-        return summed_up(np.concatenate(values), self.bias)
+        """Of the whole text; long texts go in parts."""
+        return summed_up(np.concatenate([np.zeros(0), *(self.values(*part) for part in encoded_parts(text))]), self.bias)
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(((evidence - self.mean) / self.spread) @ self.slope + self.shift, -40, 40)))
@@ -158,9 +168,11 @@ def summed_up(values: np.ndarray, bias: float) -> np.ndarray:
 
 
 def text_words(text: str) -> set[bytes]:
-    codes, size = encode(text)
-    raw, ends = codes.tobytes(), np.cumsum(size)
-    return {raw[e - n : e] for n, e in zip(size.tolist(), ends.tolist(), strict=True) if n >= ORDER}
+    found: set[bytes] = set()
+    for codes, size in encoded_parts(text):
+        raw, ends = codes.tobytes(), np.cumsum(size)
+        found |= {raw[e - n : e] for n, e in zip(size.tolist(), ends.tolist(), strict=True) if n >= ORDER}
+    return found
 
 
 def telling_words(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[tuple[bytes, int]]:
@@ -234,14 +246,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
-def train(toxic: list[str], clean: list[str]) -> StringKernelSvm:
-    """Without telling words (or without texts of a class) every text gets the share of toxic ones."""
+def train(in_toxic: list[set[bytes]], in_clean: list[set[bytes]], evidence: Callable[[StringKernelSvm], tuple[np.ndarray, np.ndarray]]) -> StringKernelSvm:
+    """From the words of each training text; evidence gives what a machine makes of the texts, and their labels. Without telling words (or without texts of a class) every text gets the share of toxic ones."""
     rng = np.random.default_rng(SEED)
-    pool: dict[bytes, bytes] = {}  # each word once in memory
-    in_toxic, in_clean = ([{pool.setdefault(w, w) for w in text_words(t)} for t in texts] for texts in (toxic, clean))
-    del pool
     telling = telling_words(in_toxic, in_clean)
-    flat = StringKernelSvm(np.zeros(1 << 20, np.float32), 0.0, np.zeros(5), float(np.log((len(toxic) + 1) / (len(clean) + 1))))
+    flat = StringKernelSvm(np.zeros(1 << 20, np.float32), 0.0, np.zeros(5), float(np.log((len(in_toxic) + 1) / (len(in_clean) + 1))))
     common = Counter(w for words in in_clean for w in words)
     if not telling or not common:
         return flat
@@ -282,27 +291,59 @@ def train(toxic: list[str], clean: list[str]) -> StringKernelSvm:
         value = net.values(np.frombuffer(b"".join(ordered), np.uint8), np.array([len(x) for x in ordered]))
         known = set(some)
         some += [x for x in (ordered[i] for i in np.argsort(-value, kind="stable")[:1000]) if x not in known]
-    f = np.array([net.evidence(t) for t in toxic + clean])
+    f, y = evidence(net)
     net.mean, net.spread = f.mean(axis=0), f.std(axis=0) + 1e-6
-    net.slope, net.shift = _logistic((f - net.mean) / net.spread, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+    net.slope, net.shift = _logistic((f - net.mean) / net.spread, y)
     return net
 
 
+def train_on_texts(toxic: list[str], clean: list[str]) -> StringKernelSvm:
+    """train() where the texts are at hand."""
+    y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
+    return train([text_words(t) for t in toxic], [text_words(t) for t in clean], lambda net: (np.array([net.evidence(t) for t in toxic + clean]), y))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> StringKernelSvm:
-    """From documents that labels (doc_id, toxic) name with 0 or 1. The ids of a bounded number of rows go to every executor, their texts to the driver. A document labelled twice counts as toxic if one says so."""
+    """From documents that labels (doc_id, toxic) name with 0 or 1. The ids of a bounded number of rows go to every executor; their texts stay there, and their words and evidence go to the driver. A document labelled twice counts as toxic if one says so; rows equal in id and text count once, and of rows that share an id those are read that a hash of id and text picks."""
     rows = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("l_doc")).agg(F.max("toxic").cast("int").alias("l_toxic"))
     counts = {r["l_toxic"]: r["n"] for r in rows.groupBy("l_toxic").agg(F.count("*").alias("n")).collect()}
     rate = F.when(F.col("l_toxic") == 1, min(1.0, TOXIC_TEXTS / max(1, counts.get(1, 0)))).otherwise(min(1.0, CLEAN_TEXTS / max(1, counts.get(0, 0))))
     chance = F.pmod(F.xxhash64("l_doc", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    picked = docs.select("doc_id", "text").join(F.broadcast(rows.where(chance < rate)), F.col("doc_id") == F.col("l_doc")).select("l_doc", "l_toxic", "text")
-    texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in sorted(picked.collect(), key=lambda r: (r["l_doc"], r["text"] or "")):
-        texts[r["l_toxic"]].append(r["text"] or "")
-    return train(texts[1], texts[0])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = texts.join(F.broadcast(rows.where(chance < rate)), F.col("doc_id") == F.col("l_doc")).select("l_doc", "l_toxic", F.coalesce("text", F.lit("")).alias("text"))
+    # ids that stand for many texts give one in expectation
+    several = own.groupBy("l_doc").agg(F.approx_count_distinct(F.xxhash64("text")).alias("k"))
+    among = F.pmod(F.xxhash64("l_doc", "text", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+    picked = own.join(several, "l_doc").where((F.col("k") <= 2) | (among < 1 / F.col("k"))).select("l_toxic", "text", F.xxhash64("l_doc", "text").alias("key")).dropDuplicates(["key"])
+    picked = Workspace(docs.sparkSession, "toxicity").write(picked, "training")
+    words: dict[int, list[set[bytes]]] = {0: [], 1: []}
+    pool: dict[bytes, bytes] = {}  # each word once in memory
+    for r in sorted(arrow_map(picked, _words_of, "key long, l_toxic int, words array<binary>").collect(), key=lambda r: r["key"]):
+        words[r["l_toxic"]].append({pool.setdefault(w, w) for w in map(bytes, r["words"])})
+    del pool
+
+    def evidence(net: StringKernelSvm) -> tuple[np.ndarray, np.ndarray]:
+        shared = docs.sparkSession.sparkContext.broadcast(net)  # 4 MB whatever the input
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [shared.value.evidence(t).tolist() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.float64()))], ["l_toxic", "key", "f"])
+
+        got = sorted(arrow_map(picked, run, "l_toxic int, key long, f array<double>").collect(), key=lambda r: r["key"])
+        return np.array([r["f"] for r in got]), np.array([float(r["l_toxic"]) for r in got])
+
+    return train(words[1], words[0], evidence)
+
+
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [sorted(text_words(t)) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(found, pa.list_(pa.binary()))], ["key", "l_toxic", "words"])
 
 
 def scored(docs: DataFrame, net: StringKernelSvm) -> DataFrame:
-    """(doc_id, score) of every row; null and empty texts have no insult: the score of a text without words. Rows with the same or a null id stay rows of their own; extra columns are ignored."""
+    """(doc_id, score) of every row; null and empty texts have no insult: the score of a text without words. Rows with the same or a null id stay rows of their own; extra columns are ignored. No rows: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # 4 MB whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,6 +46,84 @@ def test_windows_cover_whole_texts():
         assert b"".join(bytes(w[:m].astype(np.uint8)) for w, o, m in zip(windows, of, n, strict=True) if o == k) == t
 
 
+def random_net(seed=0, languages=3):
+    net = language_id.ByteCnn.new([f"l{k}" for k in range(languages)], np.random.default_rng(seed))
+    net.bias = np.random.default_rng(seed).normal(0, 0.1, len(net.bias)).astype(np.float32)
+    return net
+
+
+def plain_probabilities(net, text, start):
+    """One window by plain loops: each width's filters over the bytes from start on, the most of each, softmax."""
+    hidden = []
+    for f in range(net.filters.shape[1]):
+        width, best = language_id.WIDTHS[f // language_id.FILTERS], -np.inf
+        for at in range(start, start + language_id.LENGTH):
+            total = 0.0
+            for k in range(width):
+                byte = text[at + k] if at + k < len(text) else language_id.PAD
+                total += sum(float(net.embedding[byte, e]) * float(net.filters[k * language_id.EMBED + e, f]) for e in range(language_id.EMBED))
+            best = max(best, total)
+        hidden.append(max(0.0, best + float(net.bias[f])))
+    z = np.array(hidden) @ net.dense.astype(float) + net.dense_bias
+    return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+
+def test_language_forward_pass_against_plain_loops():
+    net, text = random_net(), bytes(np.random.default_rng(1).integers(32, 250, 2 * language_id.LENGTH + 60).astype(np.uint8))
+    starts = range(0, len(text), language_id.LENGTH)
+    want = sum(plain_probabilities(net, text, s) * min(language_id.LENGTH, len(text) - s) for s in starts) / len(text)
+    names, scores = language_id.predict(net, [text])
+    assert names == [net.languages[int(want.argmax())]] and np.isclose(scores[0], want.max(), atol=1e-4)
+
+
+def test_language_gradients_against_differences():
+    net = random_net(2)
+    for k in ("embedding", "filters", "bias", "dense", "dense_bias"):
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    rng = np.random.default_rng(3)
+    x = rng.integers(97, 123, (6, language_id.LENGTH + language_id.WIDEST - 1)).astype(np.int16)
+    x[0, 9:] = language_id.PAD
+    y, weight = rng.integers(0, 3, 6), rng.random(6)
+
+    def loss():
+        hidden = np.maximum(net.pooled(x)[1].max(axis=1) + net.bias, 0)
+        return -(weight * np.log(language_id.softmax(hidden @ net.dense + net.dense_bias)[np.arange(6), y])).sum()
+
+    grads = net.gradients(x, y, weight)
+    for name, g in grads.items():
+        for flat in rng.choice(g.size, min(12, g.size), replace=False):
+            at = np.unravel_index(flat, g.shape)
+            if (name == "filters" and net.mask()[at] == 0) or (name == "embedding" and at[0] == language_id.PAD):
+                assert g[at] == 0
+                continue
+            held, sides = getattr(net, name)[at], []
+            for step in (1e-6, -1e-6):
+                getattr(net, name)[at] = held + step
+                sides.append(loss())
+            getattr(net, name)[at] = held
+            assert np.isclose(g[at], (sides[0] - sides[1]) / 2e-6, rtol=1e-3, atol=1e-6), name
+
+
+def test_language_blocks_give_what_the_whole_text_gives(monkeypatch):
+    net, text = random_net(4), bytes(np.random.default_rng(5).integers(65, 250, 5000).astype(np.uint8))
+    whole = language_id.predict(net, [text, text[:700]])
+    monkeypatch.setattr(language_id, "BLOCK", 3)
+    parts = language_id.predict(net, [text, text[:700]])
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], atol=1e-7)
+
+
+def test_language_training_rows(spark):
+    """One row repeated ten thousand times is read once; a language of empty texts only is not learned; a low score is no reason to go."""
+    rows = [(7, "und die nicht das", "de")] * 10_000 + [(1, "the and of that", "en"), (2, "", "fr"), (3, None, "it")]
+    net = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert net.languages == ["de", "en"]
+    many = spark.createDataFrame([(i, chr(97 + i) * 9, f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "zz yy"), (2, "1 2"), (3, None)], "doc_id long, text string")
+    assert [r["doc_id"] for r in language_id.stage(docs, many).collect()] == [1]
+    named = docs.selectExpr("*", "'old' lang_pred", "2 score")
+    assert sorted(r["lang_pred"] for r in language_id.identify(named, net).collect()) != ["old"] * 3
+
+
 def fake(seed, n, share):
     rng = np.random.default_rng(seed)
     words = ["river", "stone", "garden", "window", "paper", "mountain", "walking", "sometimes", "yellow", "under", "lazy", "mornings"]
@@ -62,7 +140,7 @@ def fake(seed, n, share):
 @pytest.fixture(scope="module")
 def net():
     texts = fake(0, 400, 100)
-    return toxicity.train(texts[:100], texts[100:])
+    return toxicity.train_on_texts(texts[:100], texts[100:])
 
 
 def test_toxicity_tolerates_gaps_and_insertions(net):
@@ -82,6 +160,43 @@ def test_toxicity_batches_long_texts_and_nulls(spark, net):
     assert toxicity.scored(spark.createDataFrame([], "doc_id long, text string"), net).collect() == []
 
 
+def test_toxicity_parts_give_what_the_whole_text_gives(monkeypatch):
+    """Runs of one-letter words, words and white space of any kind lie across the cuts."""
+    rng = np.random.default_rng(0)
+    machine = toxicity.StringKernelSvm(rng.normal(size=1 << 20).astype(np.float32), -0.5, np.zeros(5), 0.0)
+    texts = ["a b c d " * 500, "word\n" * 700, "x" * 5000, "a\tb\n" * 900 + "long word", "one two  " * 300, "\u4e2d " * 900, " " * 3000 + "abcdef", "g r o b n i t word " * 200]
+    texts += ["".join(rng.choice(list("abcdefg  \n-!"), 4000)) for _ in range(5)]
+    whole = [(toxicity.encode(t), machine.evidence(t), toxicity.text_words(t)) for t in texts]
+    for size in (7, 64, 1001):
+        monkeypatch.setattr(toxicity, "SLICE_CHARS", size)
+        for t, ((codes, sizes), evidence, words) in zip(texts, whole, strict=True):
+            parts = list(toxicity.encoded_parts(t))
+            assert np.array_equal(np.concatenate([p[0] for p in parts]), codes) and np.array_equal(np.concatenate([p[1] for p in parts]), sizes)
+            assert np.allclose(machine.evidence(t), evidence, atol=1e-5) and toxicity.text_words(t) == words
+
+
+def test_word_norms_are_of_the_kernel():
+    """The norm of a word without repeats is the root of the sum of its squared subsequence values, whatever its length."""
+    for n in (4, 7, 11, 26):
+        _, _, values = toxicity.features([bytes([toxicity.START, *range(1, n)])])
+        assert np.isclose((values**2).sum(), 1)
+
+
+def test_toxicity_training_rows(spark):
+    """An id that stands for ten thousand rows, equal or not, does not send them all to the driver."""
+    docs = spark.createDataFrame([(1, "same text grobnit")] * 10_000 + [(2, f"text {i}") for i in range(2000)] + [(3, "fine")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (None, 1), (9, 1)], "doc_id long, toxic int")
+    sent = []
+    held = toxicity.train
+    try:
+        toxicity.train = lambda a, b, evidence: sent.append((len(a), len(b))) or held(a, b, evidence)
+        net = toxicity.fit(docs, labels)
+    finally:
+        toxicity.train = held
+    assert sent[0][0] == 1 and 1 <= sent[0][1] < 40
+    assert toxicity.scored(docs, net).count() == 12_001
+
+
 def test_kernel_is_what_the_weights_give(net):
     """A trained value equals the sum over landmarks only through subsequences: the weight table and a plain loop agree."""
     from itertools import combinations
@@ -96,7 +211,7 @@ def test_kernel_is_what_the_weights_give(net):
 
 
 def test_untrainable_sets_give_a_share(spark):
-    flat = toxicity.train(["a b"], ["c d", "e f"])
+    flat = toxicity.train_on_texts(["a b"], ["c d", "e f"])
     assert np.isclose(flat.scores(np.array([flat.evidence("any")]))[0], 2 / 5)
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
