@@ -34,7 +34,7 @@ ORDER, SPAN, DECAY = 4, 7, 0.75
 #: A telling word is so many times as common in toxic texts. They are chosen until one explains fewer new toxic texts than
 #: LEAST_GAIN, or there are MOST_TELLING; a text is explained by DEPTH of them.
 ODDS, LEAST_GAIN, DEPTH, MOST_TELLING, CLEAN_WORDS, LANDMARKS = 15, 3, 3, 300, 4000, 400
-ROUNDS, SEED, THRESHOLD = 5, 11, 0.7
+WINDOW, STEP, ROUNDS, SEED, THRESHOLD = 14, 4, 5, 11, 0.7
 SLICE_CHARS = 1 << 17
 #: The code that every word begins with.
 START = 31
@@ -84,7 +84,18 @@ def split_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     fresh[1:] = ~(alone[1:] & alone[:-1])
     first = np.flatnonzero(fresh)
     size = np.add.reduceat(size, first)
-    return np.insert(codes[letter], np.cumsum(size) - size, START), size + 1, int(edge[::2][first[-1]])
+    return *in_windows(np.insert(codes[letter], np.cumsum(size) - size, START), size + 1), int(edge[::2][first[-1]])
+
+
+def in_windows(codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of more than WINDOW codes as windows of that many, STEP apart, the last at the word's end: what an insult is worth does not depend on how long a word it stands in."""
+    if not len(size) or size.max() <= WINDOW:
+        return codes, size
+    number = np.where(size > WINDOW, -(-(size - WINDOW) // STEP) + 1, 1)
+    of = np.repeat(np.arange(len(size)), number)
+    begin = (np.cumsum(size) - size)[of] + np.minimum(STEP * (np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)), np.maximum(size - WINDOW, 0)[of])
+    length = np.minimum(size, WINDOW)[of]
+    return codes[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())], length
 
 
 def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
