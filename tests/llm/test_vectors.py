@@ -23,10 +23,10 @@ def brute_links(vectors, ids, threshold=0.95):
     return {int(ids[i]): (int(s[i].sum()) - 1, int(ids[order[root[rank[i]]]])) for i in range(len(ids))}
 
 
-@pytest.mark.parametrize("cell,block", [(8192, 32768), (20, 32768), (20, 16)])
+@pytest.mark.parametrize("cell,block", [(8192, 1 << 24), (5, 1 << 24), (5, 2048)])
 def test_join_against_brute_force(spark, monkeypatch, cell, block):
     monkeypatch.setattr(embedding_join, "CELL_ROWS", cell)
-    monkeypatch.setattr(embedding_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(embedding_join, "BLOCK_BYTES", block)
     v = helpers.vectors_near(1, spread=0.2)
     v = np.concatenate([v, v[:30], v[:5] * 3])
     ids = np.random.default_rng(0).permutation(1000)[: len(v)]
@@ -40,8 +40,33 @@ def test_join_in_parts_of_pairs(spark, monkeypatch):
     v = helpers.vectors_near(2, clusters=2, each=60, spread=0.1, alone=10)
     ids = np.arange(len(v))
     x = embedding_join.unit(v.ravel(), v.shape[1])
-    pairs = [p for i, j in embedding_join._pairs(x, x.astype(np.float32), ids, ids, 0.95) for p in zip(i.tolist(), j.tolist(), strict=True)]
-    assert sorted(pairs) == sorted(zip(*(a.tolist() for a in np.nonzero(x @ x.T >= 0.95)), strict=True))
+    shadow = embedding_join.shadows(x, np.linalg.qr(np.random.default_rng(0).standard_normal((16, 4)))[0])
+    for s in (None, shadow):
+        pairs = [p for i, j in embedding_join._pairs(x, x.astype(np.float32), s, ids, ids, 0.95) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        assert sorted(pairs) == sorted(zip(*(a.tolist() for a in np.nonzero(x @ x.T >= 0.95)), strict=True))
+
+
+def test_pivots_prune_clustered_vectors():
+    """Default parameters, at a size that once had no pivots: few copies, under a fifth of all pairs. Random vectors keep the fewest pivots. The bound in a cell leaves next to none of random pairs."""
+    radius = float(np.sqrt(0.1))
+    v = helpers.vectors_near(3, dim=64, clusters=60, each=50, spread=0.08, alone=0)
+    x = embedding_join.unit(v[np.random.default_rng(0).permutation(len(v))].ravel(), 64)
+    pivots = embedding_join.cheapest(x[:1024], len(x), radius)
+    copies, share = embedding_join.expected(x, pivots, radius)
+    assert len(pivots) > embedding_join.LEAST_PIVOTS and share < 0.2 and copies < 4
+    x = embedding_join.unit(np.random.default_rng(1).standard_normal(64 * 1000), 64)
+    pivots = embedding_join.cheapest(x, len(x), radius)
+    assert len(pivots) == embedding_join.LEAST_PIVOTS
+    shadow = embedding_join.shadows(x, embedding_join.shadow_basis(pivots))
+    bound = shadow @ shadow.T
+    assert (bound >= x @ x.T - 1e-5).all() and (bound >= 0.95).mean() < 0.01
+
+
+def test_join_of_many_vectors_with_default_parameters(spark):
+    v = np.concatenate([helpers.vectors_near(4, dim=64, clusters=40, each=30, spread=0.1, alone=300), helpers.vectors_near(5, dim=64, clusters=1, each=400, spread=0.2, alone=0)])
+    ids = np.random.default_rng(0).permutation(10_000)[: len(v)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_join.near_vectors(frame(spark, v, ids)).collect()}
+    assert got == brute_links(v, ids)
 
 
 def test_join_odd_rows(spark):
