@@ -116,13 +116,78 @@ def test_search_ties_few_candidates_and_odd_rows(spark):
 
 
 def test_counting_is_exact(monkeypatch):
-    monkeypatch.setattr(vector_search, "STEP", 1)
+    monkeypatch.setattr(vector_search, "PLACES", 10_000)
     rng = np.random.default_rng(4)
     v = rng.standard_normal((333, 8))
     index = vector_search.CollisionIndex(v)
-    more = np.sqrt(np.maximum(index.length**2 - (v**2).sum(axis=1), 0))[:, None]
-    shadow = np.c_[v, more] @ index.lines
-    centre = rng.standard_normal((vector_search.PROJECTIONS, 9)) * 2
-    want = (np.abs(shadow[None] - centre.T[:, None, :]) <= 1.5).sum(axis=2) >= np.ceil(vector_search.COLLISIONS * vector_search.PROJECTIONS)
-    got = np.unpackbits(index._collisions(centre, 1.5).view(np.uint8), axis=1, bitorder="little")[:, :333].astype(bool)
-    assert (got == want).all()
+    size = np.linalg.norm(v, axis=1)
+    shadow = np.c_[v, np.sqrt(np.maximum(size.max() ** 2 - size**2, 0))] / size.max() @ index.lines
+    centre = rng.standard_normal((vector_search.PROJECTIONS, 9))
+    for width in (1.1, rng.uniform(0.5, 2, 9)):
+        want = (np.abs(shadow[None] - centre.T[:, None, :]) <= np.broadcast_to(width, 9)[:, None, None]).sum(axis=2) >= np.ceil(vector_search.COLLISIONS * vector_search.PROJECTIONS)
+        got = np.unpackbits(index._collisions(centre, width).view(np.uint8), axis=1, bitorder="little")[:, :333].astype(bool)
+        assert (got == want).all()
+
+
+def test_windows_collide_as_often_as_they_should():
+    """A vector at distance d collides on the needed lines of windows of window_factor * d with the wanted probability."""
+    rng, lines, needed = np.random.default_rng(0), 128, 99
+    for reliable in (0.5, 0.85, 0.95):
+        width = vector_search.window_factor(lines, needed, reliable)
+        hit = (np.abs(rng.standard_normal((4000, lines))) <= width).sum(axis=1) >= needed
+        assert abs(hit.mean() - reliable) < 0.03
+
+
+def recall_and_share(spark, v, k=20):
+    """Recall against brute force, and the share of all rows that a query verified."""
+    ids = np.arange(len(v))
+    df = spark.createDataFrame([(int(i), [float(x) for x in r], 0) for i, r in zip(ids, v, strict=True)], "vec_id long, embedding array<double>, label int")
+    found = vector_search.written_hits(df, df.where("vec_id % 20 = 0"), k)
+    got: dict = {}
+    for r in vector_search.ranked(found, k).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    scored = v.astype(np.float64)
+    recall = []
+    for q in range(0, len(v), 20):
+        s = scored @ scored[q]
+        s[q] = -np.inf
+        recall.append(len(got[q] & set(np.lexsort((ids, -s))[:k].tolist())) / k)
+    verified = found.where("vec_id is null").agg({"verified": "sum"}).first()[0]
+    return float(np.mean(recall)), verified / (len(recall) * len(v))
+
+
+def test_search_verifies_little_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "CELL_ROWS", 90)
+    v = helpers.vectors_near(6, dim=64, clusters=150, each=60, spread=0.3, alone=0)
+    recall, share = recall_and_share(spark, v[np.random.default_rng(0).permutation(len(v))])
+    assert recall >= 0.9 and share < 0.05
+
+
+def test_search_of_skewed_lengths(spark):
+    """Lengths over many orders of magnitude, one vector far longer than all: cells of like lengths keep the recall, and not all is verified."""
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((2000, 32)) * np.exp(rng.normal(0, 1.0, (2000, 1)))
+    v[77] *= 1e6
+    recall, share = recall_and_share(spark, v)
+    assert recall >= 0.9 and share < 0.6
+
+
+def test_search_of_extreme_finite_values(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((60, 4))
+    v[1] *= 1e200
+    v[20] *= 1e-200
+    v[40] *= 1e200
+    v[3] = 5e-324
+    rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v)] + [(100, [1.7e308] * 4, 0), (101, [1.7e308, -1.7e308, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got: dict = {}
+    for r in sorted(vector_search.nearest(df, df.where("vec_id % 20 = 0")).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {0, 20, 40, 100} and all(len(x) == 20 for x in got.values())
+    x = np.array([r[1] for r in rows])
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q, found in got.items():
+            s = (x * x[[r[0] for r in rows].index(q)]).sum(axis=1)
+            by_id = dict(zip([r[0] for r in rows], np.where(np.isnan(s), -np.inf, s), strict=True))
+            assert all(by_id[i] == y for i, y in found) and [y for _, y in found] == sorted((y for _, y in found), reverse=True)
