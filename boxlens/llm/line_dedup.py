@@ -1,9 +1,14 @@
 """Repeated multi-line chunks.
 
-Every two neighbouring lines are a chunk, so no boundary depends on where another chunk starts, and whatever
-run of lines two places share is made of chunks that they share: it goes whole, from its first line to its
-last. Chunks with an equal digest are candidates; grouping them by their bytes compares those, and all but the
-first of a group (least doc_id, then least line; null ids last) are removed.
+A rolling hash over the hashes of two lines chooses boundaries, which therefore depend on nothing before those lines; between
+two lines of white space there always is one. What lies between boundaries is a chunk. Chunks with an equal digest are
+candidates, and grouping them by their bytes compares them: all but the first of a group (least doc_id, then least
+line; null ids last) are removed.
+
+A repeated run of lines need not hold a whole chunk, and its ends seldom are a chunk's. So the pairs of neighbouring lines
+are compared in the same way: those over a boundary, and those inside the first chunk of each group. The first place of a
+pair is never inside a later chunk, so nothing is lost there, and a chunk that a million documents share gives its pairs
+once. Any run of two lines or more that occurs before goes whole.
 """
 
 from __future__ import annotations
@@ -18,8 +23,10 @@ from pyspark.sql import functions as F
 from boxlens.llm.common import Workspace, arrow_map
 from boxlens.llm.spans import cut_out, joined, keyed, with_text
 
-#: Lines of a chunk, and the fewest of a run that goes.
-MIN_LINES = 2
+#: Lines of a chunk on average; and the fewest of a run that goes.
+AVERAGE, MIN_LINES = 4, 2
+MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+ROW = "doc_id long, h long, start int, n int, c1 long, c2 long, pairs array<struct<p1: bigint, p2: bigint>>"
 
 
 def lines(text: bytes) -> list[bytes]:
@@ -28,25 +35,54 @@ def lines(text: bytes) -> list[bytes]:
 
 
 def chunks(rows: list[bytes]) -> list[tuple[int, int]]:
-    """(start, n) of the chunks of a document's lines."""
-    return [(k, MIN_LINES) for k in range(len(rows) - MIN_LINES + 1)]
+    """(start, n) of the chunks of a document's lines, one after another."""
+    from xxhash import xxh3_64_intdigest
+
+    if not rows:
+        return []
+    hashes = np.fromiter(map(xxh3_64_intdigest, rows), np.uint64, len(rows))
+    rolling = np.r_[np.uint64(0), hashes[:-1]] * MULTIPLIER + hashes
+    rolling = (rolling ^ (rolling >> np.uint64(31))) * MIX
+    blank = np.fromiter((not r.strip() for r in rows), bool, len(rows))
+    ends = (rolling >> np.uint64(40)) % np.uint64(AVERAGE) == 0
+    ends[:-1] |= blank[:-1] & blank[1:]
+    ends[-1] = True
+    edges = np.r_[0, np.flatnonzero(ends) + 1].tolist()
+    return [(s, e - s) for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of several lines with the digests of their pairs of lines; pairs over a boundary, without."""
     from xxhash import xxh3_128_digest
 
+    kind = pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.int64())]))
     for b in batches:
         out: list[tuple] = []
+        digests: list[bytes] = []
+        sizes: list[int | None] = []
+        inner: list[bytes] = []
         for doc, h, text in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
             rows = lines(text)
-            for start, n in chunks(rows) if len(rows) >= MIN_LINES else []:
-                body = b"\n".join(rows[start : start + n])
-                if n >= MIN_LINES and body.strip():
-                    c1, c2 = np.frombuffer(xxh3_128_digest(body), "<i8")
-                    out.append((doc, h, start, n, int(c1), int(c2)))
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "h", "start", "n", "c1", "c2"])
+            if len(rows) < MIN_LINES:
+                continue
+            pairs = [xxh3_128_digest(b"\n".join(rows[k : k + 2])) for k in range(len(rows) - 1)]
+            for start, n in chunks(rows):
+                end = start + n
+                if n >= MIN_LINES:
+                    out.append((doc, h, start, n))
+                    digests.append(pairs[start] if n == 2 else xxh3_128_digest(b"\n".join(rows[start:end])))
+                    inner += pairs[start : end - 1]
+                    sizes.append(n - 1)
+                if end < len(rows) and (rows[end - 1].strip() or rows[end].strip()):
+                    out.append((doc, h, end - 1, 2))
+                    digests.append(pairs[end - 1])
+                    sizes.append(None)
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        keys, of_pairs = (np.frombuffer(b"".join(x), "<i8").reshape(-1, 2) for x in (digests, inner))
+        offsets = pa.array([*(None if n is None else e - n for n, e in zip(sizes, np.cumsum([n or 0 for n in sizes]).tolist(), strict=True)), len(inner)], pa.int32())
+        listed = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(of_pairs[:, k].copy()) for k in (0, 1)], fields=list(kind.value_type)))
+        arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(keys[:, k].copy()) for k in (0, 1)), listed], ["doc_id", "h", "start", "n", "c1", "c2", "pairs"])
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,13 +97,20 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_chunks(docs: DataFrame, work: Workspace) -> DataFrame:
-    """(doc_id, h, start, n) of the chunks that are not the first of their bytes."""
-    schema = "doc_id long, h long, start int, n int"
-    found = work.write(arrow_map(keyed(docs), _digests, schema + ", c1 long, c2 long"), "chunks")
-    several = work.write(found.groupBy("c1", "c2").agg(F.count("*").alias("k")).where("k > 1").select("c1", "c2"), "several")
-    candidates = work.write(found.join(several, ["c1", "c2"]).select("doc_id", "h", "start", "n"), "candidates")
-    bodies = work.write(arrow_map(joined(docs, candidates, "inner").select("doc_id", "h", "text", "spans"), _bodies, schema + ", body binary"), "bodies")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start", "h")
+    """(doc_id, h, start, n) of the chunks and pairs of lines that are not the first of their bytes."""
+    found = work.write(arrow_map(keyed(docs), _digests, ROW), "chunks")
+    none = F.col("doc_id").isNull().alias("none")
+    whole = found.where("pairs is not null")
+    firsts = whole.groupBy("c1", "c2").agg(F.count("*").alias("k"), F.min(F.struct(none, "doc_id", "start", "h", "pairs")).alias("f"))
+    firsts = work.write(firsts, "firsts")
+    inner = firsts.select("f.doc_id", "f.h", "f.start", F.posexplode("f.pairs").alias("at", "p")).select("doc_id", "h", (F.col("start") + F.col("at")).alias("start"), F.col("p.p1").alias("c1"), F.col("p.p2").alias("c2"))
+    pairs = work.write(inner.unionByName(found.where("pairs is null").select("doc_id", "h", "start", "c1", "c2")), "pairs")
+    several = work.write(pairs.groupBy("c1", "c2").agg(F.count("*").alias("k")).where("k > 1").select("c1", "c2"), "several")
+    again = pairs.join(several, ["c1", "c2"]).select("doc_id", "h", "start", F.lit(MIN_LINES).alias("n"))
+    copies = whole.select("doc_id", "h", "start", "n", "c1", "c2").join(firsts.where("k > 1").select("c1", "c2"), ["c1", "c2"]).select("doc_id", "h", "start", "n")
+    candidates = work.write(copies.unionByName(again).distinct(), "candidates")
+    bodies = work.write(arrow_map(joined(docs, candidates, "inner").select("doc_id", "h", "text", "spans"), _bodies, "doc_id long, h long, start int, n int, body binary"), "bodies")
+    place = F.struct(none, "doc_id", "start", "h")
     first = work.write(bodies.groupBy("body").agg(F.min(place).alias("first")), "first")
     late = bodies.join(first, "body").where(place != F.col("first"))
     return work.write(late.select("doc_id", "h", "start", "n").distinct(), "late")
@@ -86,6 +129,6 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """docs with those lines removed, all columns kept; every row stays."""
+    """docs with those lines removed, all columns kept; every row stays. Null and empty texts stay as they are. No rows: no rows."""
     spans = repeated_chunks(docs.select("doc_id", "text"), Workspace(docs.sparkSession, "lines"))
     return with_text(cut_out(docs, spans, lines, b"\n", True), docs.columns)

@@ -71,28 +71,32 @@ def without_repeats(texts, window=35):
 
 
 def without_repeated_chunks(rows):
-    """rows (doc_id, text), ids distinct: the kept lines of each by the same chunk boundaries and plain comparison of their bytes."""
-    from boxlens.llm.line_dedup import MIN_LINES, chunks, lines
-
-    found = []
-    for k, (doc, text) in enumerate(rows):
-        ls = lines((text or "").encode())
-        for start, n in chunks(ls) if len(ls) >= MIN_LINES else []:
-            body = b"\n".join(ls[start : start + n])
-            if n >= MIN_LINES and body.strip():
-                found.append((body, (doc is None, doc or 0, start), k, start, n))
-    first: dict = {}
-    for body, place, *_ in found:
-        first[body] = min(place, first.get(body, place))
+    """rows (doc_id, text), ids distinct: (number of lines, lines kept) of each. A line goes if it is in two neighbouring lines, not both of white space, that came before."""
+    found: dict = {}
+    split = [(t or "").encode().split(b"\n") if t else [] for _, t in rows]
+    for k, ((doc, _), ls) in enumerate(zip(rows, split, strict=True)):
+        for i in range(len(ls) - 1):
+            if (ls[i] + ls[i + 1]).strip():
+                found.setdefault((ls[i], ls[i + 1]), []).append((doc is None, doc or 0, i, k))
     gone: dict = {}
-    for body, place, k, start, n in found:
-        if place != first[body]:
-            gone.setdefault(k, set()).update(range(start, start + n))
-    out = []
-    for k, (_, text) in enumerate(rows):
-        ls = lines((text or "").encode())
-        out.append((len(ls), [x for i, x in enumerate(ls) if i not in gone.get(k, ())]))
-    return out
+    for places in found.values():
+        for *_, i, k in sorted(places)[1:]:
+            gone.setdefault(k, set()).update((i, i + 1))
+    return [(len(ls), [x for i, x in enumerate(ls) if i not in gone.get(k, ())]) for k, ls in enumerate(split)]
+
+
+def near_copies(rows, width=5):
+    """rows (doc_id, text), ids distinct: the least id of those that pairs of similar texts connect, of each row. Similar: Jaccard of the sets of five words 0.8 or more; texts without words are one group."""
+    sets = []
+    for _, t in rows:
+        words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in WORDS.findall((t or "").encode())]
+        sets.append({tuple(words[k : k + width]) for k in range(len(words) - width + 1)} if len(words) > width else {tuple(words)} - {()})
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    least: dict = {}
+    root = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])])
+    for (doc, _), r in zip(rows, root, strict=True):
+        least[r] = min(doc, least.get(r, doc))
+    return [least[r] for r in root]
 
 
 def sample_texts(seed=0, n=60, words=400):
