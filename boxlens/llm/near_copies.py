@@ -1,9 +1,11 @@
 """Near copies by the Jaccard similarity of word shingles, for stages.
 
-A text's set is its distinct hashes of WIDTH words. BANDS keys, each of ROWS least hashes under functions of
-their own, file a set; two sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, 0.9996 at
-0.8. What shares a key is compared set by set: first with the least set of its bucket, then every pair of a
-bucket that these links have not connected yet. Only a large group just below the similarity takes its square.
+A text's set is its distinct hashes of WIDTH words. Two things file a set. Its SimHash fingerprint, with all that Golay keys
+connect to it within three bits; copies with a word or two changed are in one such group. And, as a fingerprint of 64 bits
+does not tell a similarity of 0.8, BANDS keys, each of ROWS least hashes under functions of their own: two sets of similarity
+s share one with probability 1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.8. What shares a file is compared set by set: first with the
+least set of it, then every pair of it that these links have not connected yet. Only a large group just below the
+similarity takes its square.
 """
 
 from __future__ import annotations
@@ -52,11 +54,14 @@ def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
+        from boxlens.llm.simhash import majorities, shingle_hashes
+
         for b in batches:
-            sets = [shingle_set(t, width) for t in as_bytes(b.column(2))]
+            hashes = [shingle_hashes(t, width) for t in as_bytes(b.column(2))]
+            sets = [np.unique(np.array(x, np.uint64)) for x in hashes]
             cls = np.array([xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             keys = [band_keys(s).view(np.int64) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "cls", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(majorities(hashes).view(np.int64))], ["doc_id", "h", "cls", "n", "keys", "fp"])
 
     return run
 
@@ -78,8 +83,14 @@ def _similar_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def links(work: Workspace, docs: DataFrame, classes: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(a, b) of classes (cls, place, n, keys): links that connect what similar pairs with a common key connect. docs: doc_id, h, text."""
-    filed = work.write(classes.select(F.explode("keys").alias("key"), "cls", "n"), "filed")
+    """(a, b) of classes (cls, place, n, keys, fp): links that connect what similar pairs in a common file connect. docs: doc_id, h, text."""
+    from boxlens.llm.simhash import fingerprint_roots
+
+    marked = classes.where("keys is not null")
+    roots = fingerprint_roots(Workspace(work.spark, "fingerprints"), marked.select("fp").distinct())
+    group = F.xxhash64(F.lit("fingerprints"), F.coalesce("root", "fp")).alias("key")
+    by_group = marked.select("cls", "n", "fp").join(roots, F.col("fp") == F.col("node"), "left").select(group, "cls", "n")
+    filed = work.write(marked.select(F.explode("keys").alias("key"), "cls", "n").unionByName(by_group), "filed")
     least = work.write(filed.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.cls").alias("m"), F.col("m.n").alias("m_n")), "least")
     shared = work.write(filed.join(least, "key"), "shared")  # of buckets with several classes
     fits = lambda x, y: F.least(x, y) * SIMILAR[1] >= F.greatest(x, y) * SIMILAR[0]  # noqa: E731  sizes further apart are never similar
@@ -108,8 +119,8 @@ def representatives(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, h) of the least row of each group that similar pairs connect. Rows with a null id are left out; texts without words are one group."""
     work = Workspace(docs.sparkSession, "copies")
     rows = keyed(docs).where("doc_id is not null")
-    marked = work.write(arrow_map(rows, _sketches(width), "doc_id long, h long, cls long, n long, keys array<long>"), "sketches")
-    classes = work.write(marked.groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("place"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    marked = work.write(arrow_map(rows, _sketches(width), "doc_id long, h long, cls long, n long, keys array<long>, fp long"), "sketches")
+    classes = work.write(marked.groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("place"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("fp").alias("fp")), "classes")
     roots = connected_components(work, links(work, rows, classes, width))
     rooted = classes.join(roots, F.col("cls") == F.col("node"), "left").select("place", F.coalesce("root", "cls").alias("root"))
     return work.write(rooted.groupBy("root").agg(F.min("place").alias("place")).select("place.doc_id", "place.h"), "kept")

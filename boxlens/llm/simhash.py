@@ -59,10 +59,13 @@ def shingle_hashes(text: bytes, width: int = SHINGLE) -> list[int]:
 
 
 def fingerprints(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
-    """Bit j is 1 if it is set in over half of a text's shingle hashes. uint64; zero without words."""
-    per_text = [shingle_hashes(t, width) for t in texts]
+    return majorities([shingle_hashes(t, width) for t in texts])
+
+
+def majorities(per_text: list[list[int]]) -> np.ndarray:
+    """Bit j is 1 if it is set in over half of a text's shingle hashes. uint64; zero without any."""
     n = np.array([len(h) for h in per_text], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(per_text), np.uint64)
     if not n.sum():
         return out
     hashes = np.fromiter((h for hs in per_text for h in hs), "<u8", int(n.sum()))
@@ -230,6 +233,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- operator -------------------------------------------------------------------------------------------
 
 
+def fingerprint_roots(work: Workspace, fps: DataFrame) -> DataFrame:
+    """(node, root) of the fingerprints (fp, distinct) that links of RADIUS bits connect to a lesser one, the least."""
+    filed = arrow_map(fps, _file, "key int, fp long")
+    return connected_components(work, arrow_map(filed.repartition("key").sortWithinPartitions("key"), _verify, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: hex of the fingerprint, smallest doc_id that links reach.
 
@@ -241,9 +250,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     marked = work.write(arrow_map(rows, _fingerprint_batches(width), "doc_id long, fp long"), "fingerprints")
     # equal fingerprints count once from here on
     classes = work.write(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "classes")
-    filed = arrow_map(classes.select("fp"), _file, "key int, fp long")
-    links = arrow_map(filed.repartition("key").sortWithinPartitions("key"), _verify, "a long, b long")
-    roots = connected_components(work, links)
+    roots = fingerprint_roots(work, classes.select("fp"))
     rooted = work.write(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_doc", F.coalesce("root", "fp").alias("root")), "rooted")
     named = work.write(rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")), "named")
     of_class = work.write(rooted.join(named, "root").select("fp", "component_id"), "of_class")
@@ -251,7 +258,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with one row of each group of near copies (near_copies: five words, similarity 0.8 or more): the one of the least id, then least text hash; of rows equal in both, one. Rows with a null id stay. All columns stay."""
+    """docs with one row of each group of near copies (five words, similarity 0.8 or more): the one of the least id, then least text hash; of rows equal in both, one. Candidates share a group of fingerprints within RADIUS bits or, for what 64 bits do not reach, a key of near_copies; their sets decide. Rows with a null id stay. All columns stay. No rows: no rows."""
     kept = representatives(docs, width).select(F.col("doc_id").alias("k_doc"), F.col("h").alias("k_h")).hint("merge")
     h = F.xxhash64(F.col("text").cast("string"))
     one = docs.withColumn("_h", h).join(kept, (F.col("doc_id").cast("long") == F.col("k_doc")) & (F.col("_h") == F.col("k_h")), "left_semi").dropDuplicates(["doc_id", "_h"])

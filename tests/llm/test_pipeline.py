@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert rows[2][i]["text"] == (b"\n".join(kept).decode() if len(kept) < n else text)
 
     pairs = sorted((i, r["text"]) for i, r in rows[2].items())
-    assert {i: r["text"] for i, r in rows[3].items()} == {i: rows[2][i]["text"] for i, _, c in helpers.near_duplicates(pairs) if c == i}
+    assert {i: r["text"] for i, r in rows[3].items()} == {i: text for (i, text), c in zip(pairs, helpers.near_copies(pairs), strict=True) if c == i}
 
     pairs = sorted((i, r["text"]) for i, r in rows[3].items())
     for (i, text), (n, kept) in zip(pairs, helpers.without_repeats([t for _, t in pairs]), strict=True):
