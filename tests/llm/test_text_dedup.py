@@ -34,11 +34,15 @@ def test_substrings_repeated_rows_null_ids_and_empty(spark):
     assert substring_index.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_index_compacts_to_the_same(spark):
+def shared_folder(tmp_path, name):
+    return f"file://{tmp_path}/{name}"
+
+
+def test_index_compacts_to_the_same(spark, tmp_path):
     docs = spark.createDataFrame(shuffled_ids(helpers.sample_texts(3, n=30)), "doc_id long, text string")
     work = Workspace(spark, "test")
     marks = work.write(substring_index.fingerprints(docs), "marks")
-    index = substring_index.FingerprintIndex(spark, work)
+    index = substring_index.FingerprintIndex(spark, shared_folder(tmp_path, "index"), work, buckets=3)
     for k in range(3):
         index.append(marks.where(F.pmod("h", F.lit(3)) == k))
     assert len(index.names) == 3
@@ -46,15 +50,31 @@ def test_index_compacts_to_the_same(spark):
     index.compact()
     after = index.rows().select(*substring_index.KEY, "occurrences").collect()
     assert len(index.names) == 1 and sorted(map(tuple, before)) == sorted(map(tuple, after))
+    assert [p.name for p in (tmp_path / "index" / "runs").iterdir()] == index.names
 
 
-def test_batches_are_held_against_history(spark, monkeypatch):
-    """Each batch loses what it shares with itself and with the batches before."""
+def test_a_batch_meets_history_without_a_shuffle_of_it(spark, tmp_path):
+    docs = spark.createDataFrame(shuffled_ids(helpers.sample_texts(3, n=30)), "doc_id long, text string")
+    marks = Workspace(spark, "test").write(substring_index.fingerprints(docs), "marks")
+    index = substring_index.FingerprintIndex(spark, shared_folder(tmp_path, "index"), buckets=3)
+    a, b = (index.append(marks.where(F.pmod("h", F.lit(2)) == k)) for k in range(2))
+    joined = index._run(b).groupBy("anchor").count().join(index._run(a).groupBy("anchor").count().hint("merge"), "anchor")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_batches_are_held_against_history(spark, monkeypatch, tmp_path):
+    """Each batch loses what it shares with itself and with the batches before; the folder is opened anew before the last."""
     monkeypatch.setattr(substring_index.FingerprintIndex, "MOST_RUNS", 2)
     rows = shuffled_ids(helpers.sample_texts(6, n=45))
-    index = substring_index.FingerprintIndex(spark, Workspace(spark, "test"))
+    root = shared_folder(tmp_path, "index")
+    index = substring_index.FingerprintIndex(spark, root, buckets=3)
     before: list = []
     for k in range(3):
+        if k == 2:
+            index.close()
+            index = substring_index.FingerprintIndex(spark, root, buckets=99)
+            assert index.buckets == 3 and len(index.names) == 2
         batch = rows[k::3]
         frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
         spans: dict = {}
@@ -67,6 +87,29 @@ def test_batches_are_held_against_history(spark, monkeypatch):
     assert len(index.names) <= 2
 
 
+def test_two_writers_of_an_index(spark, tmp_path):
+    """The second of two that opened the same state fails and leaves what the first appended."""
+    marks = Workspace(spark, "test").write(substring_index.fingerprints(spark.createDataFrame([(1, "a b " * 40)], "doc_id long, text string")), "marks")
+    one, two = (substring_index.FingerprintIndex(spark, shared_folder(tmp_path, "index"), buckets=2) for _ in range(2))
+    one.append(marks)
+    with pytest.raises(RuntimeError):
+        two.append(marks)
+    assert substring_index.FingerprintIndex(spark, shared_folder(tmp_path, "index")).names == one.names
+
+
+def test_very_long_texts(spark):
+    """Texts of hundreds of thousands of words or lines, one of them twice in itself, are treated whole."""
+    half = " ".join(f"w{i}" for i in range(100_000))
+    rows = [(1, half + " " + half), (2, half + " end"), (3, "\n".join(f"line {i}" for i in range(50_000)) + "\nown"), (4, "\n".join(f"line {i}" for i in range(50_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_index.remove_repeats(docs).collect()}
+    assert cut == {1: (200_000, 200_000), 2: (100_001, 100_000), 3: (100_001, 100_000), 4: (100_000, 100_000)}
+    gone = {r["doc_id"]: r["n_removed"] for r in line_dedup.remove_repeated_lines(docs).collect()}
+    assert gone == {1: 0, 2: 0, 3: 0, 4: 50_000}
+    marked = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert all(marked[i][0] == f"{helpers.simhash(t):016x}" for i, t in rows if i > 1) and marked[4][1] == 3
+
+
 def test_runs_cover_each_window_once():
     rng = np.random.default_rng(0)
     for size in (35, 36, 80, 300):
