@@ -92,7 +92,7 @@ def _loaded(spec: str) -> ByteBpe:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, starts, ends, ids' decoded bytes' length) of each text. Null: no ids. Equal rows stay rows of their own; other columns do not matter."""
+    """(doc_id, ids, starts, ends) of each text. Null: no ids. Equal rows stay rows of their own; other columns do not matter. No rows: no rows."""
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json(ranks_path, pattern))  # bounded by the vocabulary
 
     def run(batches):
@@ -108,7 +108,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, bytes, text) of each row of (doc_id, ids). Null ids: empty."""
+    """(doc_id, bytes, text) of each row of (doc_id, ids). Null ids: empty. No rows: no rows."""
     spec = encoded.sparkSession.sparkContext.broadcast(tokenizer_json(ranks_path, pattern))
 
     def run(batches):
@@ -121,7 +121,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encodes and decodes each whole text in one pass: (doc_id, n_tokens, ids_sha256, decoded_sha256, same). Null text: empty, no tokens."""
+    """Encodes and decodes each whole text in one pass: (doc_id, n_tokens, ids_sha256, decoded_sha256, same). Null text: empty, no tokens. No rows: no rows."""
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json(ranks_path, pattern))
 
     def run(batches):

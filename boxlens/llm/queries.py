@@ -31,7 +31,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = token_cache.fresh_cache(spark, _path(WORD_TOKENIZER), collapse_space=True)
+    cache = token_cache.fresh_cache(spark, _path(WORD_TOKENIZER))
     return cache.count(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 

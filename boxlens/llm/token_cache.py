@@ -7,6 +7,7 @@ joins the digests of its texts to it, encodes one text of each digest that is mi
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 from functools import lru_cache
@@ -41,6 +42,25 @@ def _loaded(spec: str):
     return made
 
 
+def bounded_by_space(spec: str) -> bool:
+    """Whether the tokenizer drops white space and lets no piece go over it, as its file says: then texts are the sum of their words."""
+    import regex
+
+    d = json.loads(spec)
+    steps = d["normalizer"]["normalizers"] if (d["normalizer"] or {}).get("type") == "Sequence" else [d["normalizer"]] if d["normalizer"] else []
+    harmless = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " ") for x in steps)
+    before = d["pre_tokenizer"] or {}
+    parts = before.get("pretokenizers", [before])
+    cut = parts[0]
+    if not harmless or cut.get("type") != "Split" or cut["behavior"] != "Removed" or not cut["invert"] or "Regex" not in cut["pattern"]:
+        return False
+    if any(x.get("type") != "ByteLevel" or x.get("add_prefix_space") for x in parts[1:]) or any(c.isspace() for t in d["added_tokens"] for c in t["content"]):
+        return False
+    space = " \t\n\r\v\f"  # where words end
+    probes = [a + b + c for a in ("x", "7", "'", "-") for b in space for c in ("x", "7", "'s", "-", *space)]
+    return not any(c in space for p in probes for m in regex.findall(cut["pattern"]["Regex"], p) for c in m)
+
+
 class WordCounts:
     """Token counts of texts from those of their words, each of which the library encodes once while it is remembered.
 
@@ -83,9 +103,12 @@ def _counter(spec, by_word: bool):
 
 
 class TokenCache:
-    """collapse_space: the tokenizer drops white space, which bounds its pieces: texts that differ in runs of it only share a digest, and counts are sums over words."""
+    """collapse_space: the tokenizer drops white space, which bounds its pieces (bounded_by_space tells, unless the caller does): texts that differ in runs of it only share a digest, and counts are sums over words."""
 
-    def __init__(self, spark: SparkSession, path: str, tokenizer_path: str, collapse_space: bool):
+    def __init__(self, spark: SparkSession, path: str, tokenizer_path: str, collapse_space: bool | None = None):
+        if collapse_space is None:
+            with open(tokenizer_path, encoding="utf-8") as f:
+                collapse_space = bounded_by_space(f.read())
         self.spark, self.path, self.tokenizer_path, self.collapse_space = spark, path, tokenizer_path, collapse_space
         self.version = tokenizer_digest(tokenizer_path)
 
@@ -102,7 +125,7 @@ class TokenCache:
         return F.btrim(F.regexp_replace(text, "[ \\t\\n\\r]+", " ")) if self.collapse_space else text
 
     def count(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n_bytes, n_tokens) of every row. Null text: 0 and what the tokenizer gives for an empty text. Rows with the same or a null id stay rows of their own; extra columns do not matter."""
+        """(doc_id, n_bytes, n_tokens) of every row. Null text: 0 and what the tokenizer gives for an empty text. Rows with the same or a null id stay rows of their own; extra columns do not matter. No rows: no rows."""
         work = Workspace(self.spark, "token-cache")
         docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
         digest = F.unhex(F.sha2(self._content().cast("binary"), 256))
@@ -121,6 +144,6 @@ class TokenCache:
         return keyed.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
-def fresh_cache(spark: SparkSession, tokenizer_path: str, collapse_space: bool) -> TokenCache:
+def fresh_cache(spark: SparkSession, tokenizer_path: str, collapse_space: bool | None = None) -> TokenCache:
     """An empty cache in the shared folder."""
     return TokenCache(spark, f"{Workspace(spark, 'token-cache').root}/{uuid.uuid4().hex}", tokenizer_path, collapse_space)

@@ -1,3 +1,4 @@
+import json
 import random
 import re
 import zlib
@@ -164,3 +165,26 @@ def test_evolution_gains_on_best_fit():
 
 def test_cut():
     assert packing.cut(2048, 2048) == [(0, 2048)] and packing.cut(2049, 2048) == [(0, 1), (1, 2048)] and packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)]
+
+
+def changed(name, change):
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        d = json.load(f)
+    change(d)
+    return json.dumps(d)
+
+
+def test_shortcuts_only_where_the_tokenizer_file_allows_them():
+    """Another normaliser, pre-tokenizer or order of merges, and the library encodes whole texts."""
+    from tokenizers import Tokenizer
+
+    assert packing.plain_byte_bpe(json.loads(changed(BYTE_TOKENIZER, lambda d: None)))
+    text = " Some  Text's with 12 numbers<|endoftext|> and é"
+    for change in (lambda d: d["pre_tokenizer"].update(add_prefix_space=True), lambda d: d.update(normalizer={"type": "Lowercase"}), lambda d: d["model"].update(merges=d["model"]["merges"][::-1])):
+        spec = changed(BYTE_TOKENIZER, change)
+        assert not packing.plain_byte_bpe(json.loads(spec))
+        assert packing.token_ids(spec, text) == Tokenizer.from_str(spec).encode(text, add_special_tokens=False).ids
+    assert token_cache.bounded_by_space(changed(WORD_TOKENIZER, lambda d: None))
+    assert not token_cache.bounded_by_space(changed(BYTE_TOKENIZER, lambda d: None))
+    assert not token_cache.bounded_by_space(changed(WORD_TOKENIZER, lambda d: d["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex="[^x]+")))
+    assert not token_cache.bounded_by_space(changed(WORD_TOKENIZER, lambda d: d["added_tokens"][0].update(content="a b")))
