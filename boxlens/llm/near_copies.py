@@ -4,8 +4,8 @@ A text's set is its distinct hashes of WIDTH words. Two things file a set. Its S
 connect to it within three bits; copies with a word or two changed are in one such group. And, as a fingerprint of 64 bits
 does not tell a similarity of 0.8, BANDS keys, each of ROWS least hashes under functions of their own: two sets of similarity
 s share one with probability 1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.8. What shares a file is compared set by set: first with the
-least set of it, then every pair of it that these links have not connected yet. Only a large group just below the
-similarity takes its square.
+least set of it; then, where these links leave it in several groups, in blocks, whose sets' overlaps are products of
+matrices within a task. A row is a set in a pair of blocks, never a pair of sets.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from boxlens.llm.spans import keyed
 
 #: Similar is SIMILAR[0] / SIMILAR[1] or more.
 WIDTH, SIMILAR, BANDS, ROWS = 5, (4, 5), 20, 5
+#: Sets of a block, and their bytes; columns of a matrix.
+BLOCK_ROWS, BLOCK_BYTES, COLUMNS = 1024, 4 << 20, 4096
 MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,6 +84,54 @@ def _similar_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column("a").filter(same), b.column("b").filter(same)], ["a", "b"])
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of a shares with each of b."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    flat = [np.concatenate([np.zeros(0, np.uint64), *x]) for x in (a, b)]
+    shared = np.intersect1d(*flat)
+    places = []
+    for r, f in zip(rows, flat, strict=True):
+        column = np.searchsorted(shared, f)
+        both = np.flatnonzero(shared[np.minimum(column, len(shared) - 1)] == f) if len(shared) else np.zeros(0, np.int64)
+        both = both[np.argsort(column[both], kind="stable")]
+        places.append((r[both], column[both]))
+    for at in range(0, len(shared), COLUMNS):
+        sides = []
+        for (r, column), x in zip(places, (a, b), strict=True):
+            lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+            side = np.zeros((len(x), COLUMNS), np.float32)
+            side[r[lo:hi], column[lo:hi] - at] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _compare(t: pa.Table) -> pa.Table:
+    """Links of a pair of blocks of a file (or of one with itself) that connect what its similar sets of different groups connect."""
+    cls, root, own, hi = (t.column(c).to_numpy() for c in ("cls", "root", "block", "hi"))
+    sets = [x.values.to_numpy().view(np.uint64) for x in t.column("hashes").combine_chunks()]
+    size = np.array([len(x) for x in sets])
+    left, right = np.flatnonzero(own != hi), np.flatnonzero(own == hi)
+    left = left if len(left) else right
+    both = overlaps([sets[k] for k in left], [sets[k] for k in right])
+    alike = both * SIMILAR[1] >= (size[left][:, None] + size[right][None, :] - both) * SIMILAR[0]
+    group: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := group.get(x, x)) != x:
+            group[x] = x = group.get(y, y)
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(alike & (root[left][:, None] != root[right][None, :])), strict=True):
+        x, y = top(int(root[left[i]])), top(int(root[right[j]]))
+        if x != y:
+            group[max(x, y)] = min(x, y)
+            found.append((int(cls[left[i]]), int(cls[right[j]])))
+    return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def links(work: Workspace, docs: DataFrame, classes: DataFrame, width: int = WIDTH) -> DataFrame:
     """(a, b) of classes (cls, place, n, keys, fp): links that connect what similar pairs in a common file connect. docs: doc_id, h, text."""
     from boxlens.llm.simhash import fingerprint_roots
@@ -109,10 +159,15 @@ def links(work: Workspace, docs: DataFrame, classes: DataFrame, width: int = WID
     rooted = work.write(shared.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root")), "rooted")
     open_keys = work.write(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "open")
     rest = work.write(rooted.join(open_keys, "key"), "rest")
-    x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "root")]) for s in "ab")
-    pairs = x.join(y, "key").where((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")))
-    fresh = work.write(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
-    return first.unionByName(verified(fresh, "second"))
+    # files of the same sets count once
+    shape = rest.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("hashes"), F.expr("bit_xor(xxhash64(cls))").alias("members"))
+    blocks = F.ceil(F.greatest(F.col("k") / BLOCK_ROWS, F.col("hashes") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")
+    shape = work.write(shape.select("key", "k", "hashes", "members", blocks).groupBy("k", "hashes", "members", "blocks").agg(F.min("key").alias("key")).select("key", "blocks"), "shape")
+    dealt = rest.join(shape, "key").select("key", "cls", "root", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
+    held = dealt.join(sets.hint("merge"), "cls").select("key", "cls", "root", "block", "hashes", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "root", "hashes")
+    second = work.write(pairs.groupBy("key", "lo", "hi").applyInArrow(_compare, "a long, b long"), "second")
+    return first.unionByName(second)
 
 
 def representatives(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boxlens.llm import line_dedup, simhash, substring_index
+from boxlens.llm import line_dedup, near_copies, simhash, substring_index
 from boxlens.llm.common import Workspace
 from boxlens.llm.components import connected_components
 from tests.llm import helpers
@@ -239,11 +239,19 @@ def test_kept_digest_of_the_query(spark):
     assert got == hashlib.sha256(b"a b c").hexdigest()
 
 
-def test_near_copies_against_plain_jaccard(spark):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_near_copies_against_plain_jaccard(spark, monkeypatch, block):
     """Pairs of similarity 0.8 or more are linked, no others are; several words changed put most of them more than 3 bits apart."""
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", block)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     texts = []
+    common = [word() for _ in range(150)]
+    for k in range(60):  # one large group just below the similarity
+        w = list(common)
+        for _ in range(4):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
     for _ in range(25):
         base = [word() for _ in range(150)]
         for changes in (0, 1, 3, 3, 6, 12):
@@ -279,6 +287,14 @@ def test_lines_of_short_blocks_go_whole(spark, size):
     assert got == want
 
 
+def test_overlaps_against_plain_sets(monkeypatch):
+    monkeypatch.setattr(near_copies, "COLUMNS", 8)
+    rng = np.random.default_rng(0)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(n)] for n in (9, 5))
+    assert near_copies.overlaps(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    assert near_copies.overlaps(a, [np.zeros(0, np.uint64)]).tolist() == [[0]] * 9
+
+
 def test_keep_one_of_repeated_ids_with_different_texts(spark):
     """Rows that share an id are copies of one another only if their texts are."""
     rows = [(1, "one two three four five six"), (2, "other words stand in this text"), (2, "one two three four five six"), (2, "a third text has nothing in common")]
