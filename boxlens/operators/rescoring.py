@@ -75,11 +75,15 @@ def fit_context(rows: DataFrame, positive_weight: float = 2.0, steps: int = 40,
 
     def gradient(w):
         def run(batches):
+            total, n = None, 0.0
             for d in batches:
                 if len(d):
                     z, y = expanded(np.stack(d["x"].to_numpy())), d["label"].to_numpy(np.float64)
                     c = np.where(y > 0, positive_weight, 1.0) * np.maximum(0, 1 - y * (z @ w)) if w is not None else np.where(y > 0, positive_weight, 1.0)
-                    yield pd.DataFrame({"g": [(-(c * y) @ z).tolist()], "n": [float(len(d))]})
+                    part = -(c * y) @ z
+                    total, n = part if total is None else total + part, n + len(d)
+            if n:
+                yield pd.DataFrame({"g": [total.tolist()], "n": [n]})
 
         return data.mapInPandas(run, "g array<double>, n double")
 

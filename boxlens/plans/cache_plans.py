@@ -148,15 +148,8 @@ def filter_response(spark, sf_dir):
     return rows.crossJoin(F.broadcast(filters)).select("vec_id", "filter", F.round(dot, 6).alias("response"))
 
 
-@query("""SELECT i, j, round(avg(CAST(embedding[i] AS DOUBLE) * CAST(embedding[j] AS DOUBLE)), 6) AS g FROM embeddings, (SELECT CAST(range AS INT) + 1 AS i FROM range(16)) a, (SELECT CAST(range AS INT) + 1 AS j FROM range(16)) b GROUP BY i, j""")
+@query("""SELECT i, j, round(avg(CAST(embedding[i] AS DOUBLE) * CAST(embedding[j] AS DOUBLE)), 6) AS g FROM embeddings, (SELECT CAST(range AS INT) + 1 AS i FROM range(64)) a, (SELECT CAST(range AS INT) + 1 AS j FROM range(64)) b GROUP BY i, j""")
 def gram_matrix(spark, sf_dir):
-    """Of the first 16 dimensions."""
-    g = cascade.gram(read(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 16).alias("v")), "v", 16)
-    return spark.createDataFrame([(i + 1, j + 1, float(g[i, j])) for i in range(16) for j in range(16)], "i int, j int, g double").withColumn("g", F.round("g", 6))
-
-
-@query()
-def gram_matrix_whole(spark, sf_dir):
     """Of all dimensions."""
     rows = read(spark, sf_dir, "embeddings").select(F.col("embedding").alias("v"))
     n = rows.agg(F.max(F.size("v"))).first()[0]

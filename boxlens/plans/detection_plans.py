@@ -36,15 +36,8 @@ def mirror_positives(spark, sf_dir):
 
 
 @query(f"""WITH {DET_SQL}, {GT_SQL}, images AS (SELECT DISTINCT image_id FROM det), classes AS (SELECT CAST(range AS BIGINT) AS cls_id FROM range(20))
-SELECT c.cls_id, i.image_id FROM images i, classes c WHERE NOT EXISTS (SELECT 1 FROM gt WHERE gt.image_id = i.image_id AND gt.cls_id = c.cls_id AND gt.gt_id % 5 = 0)""")
+SELECT c.cls_id, i.image_id FROM images i, classes c WHERE NOT EXISTS (SELECT 1 FROM gt WHERE gt.image_id = i.image_id AND gt.cls_id = c.cls_id)""")
 def negative_images(spark, sf_dir):
-    """A fifth of the objects, so that some images are without a class at every scale."""
-    return selection.negative_images(det(spark, sf_dir), gt(spark, sf_dir).where("gt_id % 5 = 0"), CLASSES)
-
-
-@query()
-def negative_images_whole(spark, sf_dir):
-    """By all objects."""
     return selection.negative_images(det(spark, sf_dir), gt(spark, sf_dir), CLASSES)
 
 

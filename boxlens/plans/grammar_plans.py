@@ -37,17 +37,10 @@ def structural_rule(spark, sf_dir):
     return grammar.structural(cells(spark), CHILDREN, 0.5, INTERVAL)
 
 
-@query(f"""WITH {CELLS_SQL}, one AS (SELECT * FROM cells WHERE symbol = 0 AND image_id < 3)
+@query(f"""WITH {CELLS_SQL}, one AS (SELECT * FROM cells WHERE symbol = 0)
 SELECT a.image_id, a.level, a.y, a.x, max(b.score - 0.5 * (a.x - b.x) * (a.x - b.x) - 0.25 * (a.x - b.x) - 0.75 * (a.y - b.y) * (a.y - b.y) + 0.5 * (a.y - b.y))::DOUBLE AS score
 FROM one a JOIN one b ON a.image_id = b.image_id AND a.level = b.level AND abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 4 GROUP BY a.image_id, a.level, a.y, a.x""")
 def deformation_bounded(spark, sf_dir):
-    one = cells(spark).where("symbol = 0 and image_id < 3")
-    return grammar.deform(one, 0.5, 0.25, 0.75, -0.5)
-
-
-@query()
-def deformation_bounded_whole(spark, sf_dir):
-    """On all images of the grid."""
     return grammar.deform(cells(spark).where("symbol = 0"), 0.5, 0.25, 0.75, -0.5)
 
 
@@ -115,19 +108,12 @@ def belief_select(spark, sf_dir):
     return grammar.belief_and_rivals(outputs(spark, sf_dir), 0.3).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {DET_SQL}, {GT_SQL}, e AS (SELECT gt_id AS example_id, * FROM gt WHERE gt_id % 3 = 0),
+@query(f"""WITH {DET_SQL}, {GT_SQL}, e AS (SELECT gt_id AS example_id, * FROM gt),
 c AS (SELECT e.example_id, a.det_id AS cell_id, a.*, {IOU_SQL.replace('b.', 'e.')} AS own FROM det a JOIN e ON a.image_id = e.image_id AND a.cls_id = e.cls_id),
 bad AS (SELECT DISTINCT a.example_id, a.cell_id FROM c a JOIN gt b ON a.image_id = b.image_id AND a.cls_id = b.cls_id AND b.gt_id <> a.example_id WHERE {IOU_SQL} >= 0.5)
 SELECT c.example_id, c.cell_id, CASE WHEN own < 0.1 OR bad.cell_id IS NOT NULL THEN -1e9 WHEN own < 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS loss FROM c LEFT JOIN bad ON c.example_id = bad.example_id AND c.cell_id = bad.cell_id""")
 def loss_field(spark, sf_dir):
-    """Every third object is an example, the detections of its image and class its windows. Minus infinity is shown as -1e9."""
-    g = gt(spark, sf_dir)
-    return losses(det(spark, sf_dir), g, g.where("gt_id % 3 = 0"))
-
-
-@query()
-def loss_field_whole(spark, sf_dir):
-    """Every object is an example."""
+    """Every object is an example, the detections of its image and class its windows. Minus infinity is shown as -1e9."""
     g = gt(spark, sf_dir)
     return losses(det(spark, sf_dir), g, g)
 

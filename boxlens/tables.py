@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares. One is made only where the session names none, as in tests."""
+    """The folder that the cluster shares. One is made only where the session names none and is local, as in tests."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
     if not (base := spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="boxlens-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
