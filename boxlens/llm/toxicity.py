@@ -329,9 +329,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> StringKernelSvm:
     picked = Workspace(docs.sparkSession, "toxicity").write(picked, "training")
     words: dict[int, list[set[bytes]]] = {0: [], 1: []}
     pool: dict[bytes, bytes] = {}  # each word once in memory
-    for r in sorted(arrow_map(picked, _words_of, "key long, l_toxic int, words array<binary>").collect(), key=lambda r: r["key"]):
-        words[r["l_toxic"]].append({pool.setdefault(w, w) for w in map(bytes, r["words"])})
-    del pool
+    sent = sorted(arrow_map(picked, _words_of, "key long, l_toxic int, words binary").collect(), key=lambda r: r["key"])
+    for r in sent:
+        words[r["l_toxic"]].append({pool.setdefault(w, w) for w in bytes(r["words"]).split(bytes([SPACE])) if w})
+    del pool, sent
 
     def evidence(net: StringKernelSvm) -> tuple[np.ndarray, np.ndarray]:
         shared = docs.sparkSession.sparkContext.broadcast(net)  # 4 MB whatever the input
@@ -349,8 +350,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> StringKernelSvm:
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [sorted(text_words(t)) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(found, pa.list_(pa.binary()))], ["key", "l_toxic", "words"])
+        found = [bytes([SPACE]).join(sorted(text_words(t))) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(found, pa.binary())], ["key", "l_toxic", "words"])
 
 
 def scored(docs: DataFrame, net: StringKernelSvm) -> DataFrame:
