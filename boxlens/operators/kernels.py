@@ -88,19 +88,16 @@ def shrink(image: np.ndarray, scale: float) -> np.ndarray:
 
 
 def pyramid(image: np.ndarray, interval: int = 10, cell: int = CELL, pad: tuple[int, int] = (0, 0), extra_octave: bool = False) -> list[tuple[float, np.ndarray]]:
-    """(scale, features) of each level: an octave at half cells (two of them at most, with extra_octave at quarter cells first), then whole cells down to 5 cells. Padding is zeros with the truncation flag set."""
+    """(scale, features) of each level: an octave of `interval` levels at half cells (with extra_octave one at quarter cells first), then whole cells down to 5 cells, an octave at least. The first octave is resized from the image, each later one is half of the one before. Padding is zeros with the truncation flag set."""
     im = as_colour(image)
     step = 2 ** (1 / interval)
-    levels = 1 + int(math.floor(math.log(min(im.shape[:2]) / (5 * cell)) / math.log(step)))
-    fine, coarse = ([(4, cell // 4)] if extra_octave else []) + [(2, cell // 2)], []
-    out: list[tuple[float, np.ndarray]] = []
-    small = {}
+    levels = max(interval, 1 + int(math.floor(math.log(min(im.shape[:2]) / (5 * cell)) / math.log(step))))
+    small: list[np.ndarray] = []
     for i in range(levels):
-        small[i] = shrink(im, 1 / step**i)
-    for factor, size in fine:
-        out += [(factor / step**i, hog(small[i], size)) for i in range(min(interval, levels))]
-    for i in range(levels):
-        coarse.append((1 / step**i, hog(small[i], cell)))
+        small.append(shrink(im, 1 / step**i) if i < interval else shrink(small[i - interval], 0.5))
+    sizes = ([(4, cell // 4)] if extra_octave else []) + [(2, cell // 2)]
+    out = [(factor / step**i, hog(small[i], size)) for factor, size in sizes for i in range(interval)]
+    coarse = [(1 / step**i, hog(small[i], cell)) for i in range(levels)]
     return [(s, padded(f, pad)) for s, f in out + coarse]
 
 
@@ -201,13 +198,19 @@ def overlap_field(shape: tuple[int, int], window: tuple[int, int], scale: float,
 # --- over tables ----------------------------------------------------------------------------------------
 
 
+def image_of(row) -> np.ndarray:
+    """The image of a row with h, w and pixels: grey or, with three times as many values, colour, channels last."""
+    pixels = np.asarray(row.pixels, np.float64)
+    return pixels.reshape((row.h, row.w) if pixels.size == row.h * row.w else (row.h, row.w, 3))
+
+
 def image_levels(images: DataFrame, interval: int = 10, cell: int = CELL, pad: tuple[int, int] = (0, 0)) -> DataFrame:
     """images (image_id, h, w, pixels): a row for each level, with its features flattened."""
 
     def run(batches):
         for d in batches:
             for r in d.itertuples(index=False):
-                im = np.array(r.pixels).reshape(r.h, r.w)
+                im = image_of(r)
                 yield pd.DataFrame([(r.image_id, k + 1, s, *f.shape, f.astype(np.float32).ravel().tolist()) for k, (s, f) in enumerate(pyramid(im, interval, cell, pad))], columns=["image_id", "level", "scale", "h", "w", "dims", "feat"])
 
     return images.select("image_id", "h", "w", "pixels").mapInPandas(run, "image_id long, level long, scale double, h long, w long, dims long, feat array<float>")
@@ -235,7 +238,7 @@ def warped_rows(boxes: DataFrame, size: tuple[int, int], cell: int = CELL) -> Da
 
     def run(batches):
         for d in batches:
-            rows = [(r.dataid, hog(warp(np.array(r.pixels).reshape(r.h, r.w), (r.x1, r.y1, r.x2, r.y2), size, cell), cell).astype(np.float32).ravel().tolist()) for r in d.itertuples(index=False)]
+            rows = [(r.dataid, hog(warp(image_of(r), (r.x1, r.y1, r.x2, r.y2), size, cell), cell).astype(np.float32).ravel().tolist()) for r in d.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["dataid", "feat"])
 
     return boxes.select("dataid", "h", "w", "pixels", "x1", "y1", "x2", "y2").mapInPandas(run, "dataid long, feat array<float>")

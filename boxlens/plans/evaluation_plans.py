@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from boxlens.operators import evaluation, suppression
 from boxlens.operators.selection import clip
-from boxlens.plans.detection_plans import BEST_SQL, CLAIM_SQL, PAIRS_SQL
+from boxlens.plans.detection_plans import BEST_SQL, CLAIM_SQL, NMS_SQL, PAIRS_SQL
 from boxlens.plans.registry import query
-from boxlens.sources.fixtures import DET_SQL, GT_SQL, HEIGHT, IMAGES, WIDTH, det, gt
+from boxlens.sources.fixtures import CLIP_SQL, DET_SQL, GT_SQL, HEIGHT, IMAGES, WIDTH, det, gt
 from boxlens.tables import written
 
 BASE_SQL = f"WITH {DET_SQL}, {GT_SQL}, {PAIRS_SQL}, {BEST_SQL}, {CLAIM_SQL}"
@@ -117,8 +117,13 @@ def error_buckets(spark, sf_dir):
     return evaluation.error_buckets(det(spark, sf_dir), gt(spark, sf_dir))
 
 
-@query()
+SUPPRESSED_SQL = NMS_SQL.format(keys="image_id, cls_id", wkeys="r.image_id, r.cls_id", on="w.image_id = r.image_id AND w.cls_id = r.cls_id", source="clip")
+KEPT_SQL = f"""{DET_SQL.replace("det AS (", "every AS (", 1)}, {CLIP_SQL.replace("FROM det", "FROM every")}, {SUPPRESSED_SQL.replace("SELECT image_id, cls_id, unnest", "survivors AS (SELECT unnest").replace(")\nsurvivors", "),\nsurvivors")}),
+det AS (SELECT clip.* FROM clip JOIN survivors USING (det_id))"""
+
+
+@query(f"WITH RECURSIVE {KEPT_SQL}, {GT_SQL}, {PAIRS_SQL}, {BEST_SQL}, {CLAIM_SQL}, {NPOS_SQL}, {CURVE_SQL}, {AP_SQL} SELECT cls_id, npos, round(ap, 9) AS ap FROM aps")
 def detect_and_evaluate(spark, sf_dir):
     """The whole chain: clip, suppress, match, average precision."""
     kept = suppression.suppress(clip(det(spark, sf_dir), WIDTH, HEIGHT), ["image_id", "cls_id"])
-    return evaluation.ap_per_class(kept, gt(spark, sf_dir))
+    return evaluation.ap_per_class(kept, gt(spark, sf_dir)).withColumn("ap", F.round("ap", 9))

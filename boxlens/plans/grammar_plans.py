@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from boxlens.operators import cascade, grammar, kernels, selection
+from boxlens.operators import cascade, grammar, inference, kernels, selection
 from boxlens.plans.registry import query
 from boxlens.sources.fixtures import DET_SQL, GT_SQL, det, gt
 
@@ -160,6 +160,71 @@ def part_model_detect(spark, sf_dir):
     return grammar.to_pixels(grammar.top_outputs(whole, -1e6, 10), 1.0, 8, 1, 1, 3, 4)
 
 
+GRID_PAD = (1, 2)
+
+
+def grid_model():
+    """Symbols 0 to 2 are the grid's; 3 and 4 move 1 and 2; two rules of the start symbol 5, the second with one part at the root's level. Costs are exact in binary."""
+    m = grammar.Model("grid")
+    root, a, b = (m.add_symbol("T") for _ in range(3))
+    first, second = m.add_symbol("N"), m.add_symbol("N")
+    m.start = m.add_symbol("N")
+    m.add_deformation(first, a, [0.5, 0.25, 0.75, -0.5], bias=0.05)
+    m.add_deformation(second, b, [0.5, 0.0, 0.25, 0.0])
+    m.add_structure(m.start, [root, first, second], [(0, 0, 0), (1, 0, 1), (0, 3, 1)], (4, 5), bias=0.025).location = m.add_block([1.0, 2.0, -1.0])
+    m.add_structure(m.start, [root, first], [(0, 0, 0), (1, 1, 0)], (4, 5), bias=0.4)
+    return m
+
+
+def _moved(name: str, symbol: int, cost: str) -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT a.image_id, a.level, a.y, a.x, b.y AS py, b.x AS px, b.score + {cost} AS score,
+  row_number() OVER (PARTITION BY a.image_id, a.level, a.y, a.x ORDER BY b.score + {cost} DESC, b.x, b.y) AS k
+  FROM cells a JOIN cells b ON a.symbol = {symbol} AND b.symbol = {symbol} AND a.image_id = b.image_id AND a.level = b.level AND abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 4) WHERE k = 1)"""
+
+
+GRID_SQL = f"""WITH {CELLS_SQL}, {_moved("f", 1, "(0.5 - 0.5 * (a.x - b.x) * (a.x - b.x) - 0.25 * (a.x - b.x) - 0.75 * (a.y - b.y) * (a.y - b.y) + 0.5 * (a.y - b.y))")},
+{_moved("g", 2, "(-0.5 * (a.x - b.x) * (a.x - b.x) - 0.25 * (a.y - b.y) * (a.y - b.y))")},
+matched AS (
+  SELECT r.image_id, r.level, r.y, r.x, 2 AS rule, r.score + f.score + g.score + 0.25 + CASE WHEN r.level <= {INTERVAL} THEN 1 WHEN r.level <= {2 * INTERVAL} THEN 2 ELSE -1 END AS score, f.y AS fy, f.x AS fx, f.py AS fpy, f.px AS fpx, g.y AS gy, g.x AS gx, g.py AS gpy, g.px AS gpx
+  FROM cells r JOIN f ON f.image_id = r.image_id AND f.level = r.level - {INTERVAL} AND f.y = 2 * r.y + 1 - {GRID_PAD[0]} AND f.x = 2 * r.x - {GRID_PAD[1]}
+  JOIN g ON g.image_id = r.image_id AND g.level = r.level - {INTERVAL} AND g.y = 2 * r.y - {GRID_PAD[0]} AND g.x = 2 * r.x + 3 - {GRID_PAD[1]} WHERE r.symbol = 0
+  UNION ALL SELECT r.image_id, r.level, r.y, r.x, 3, r.score + f.score + 4, f.y, f.x, f.py, f.px, NULL, NULL, NULL, NULL
+  FROM cells r JOIN f ON f.image_id = r.image_id AND f.level = r.level AND f.y = r.y + 1 AND f.x = r.x + 1 WHERE r.symbol = 0),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, level, y, x ORDER BY score DESC, rule) AS c FROM matched) WHERE c = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, level, y, x) AS rank FROM one WHERE score > 10)"""
+
+
+@query(f"{GRID_SQL} SELECT image_id, rank, CAST(rule AS BIGINT) AS rule, level, y, x, CAST(score AS DOUBLE) AS score FROM top")
+def model_detect(spark, sf_dir):
+    """A grammar evaluated on the grid, with location scores, virtual padding and moving parts: all outputs over the threshold."""
+    found = inference.detect_on_cells(cells(spark), grid_model(), INTERVAL, GRID_PAD, 10.0)
+    return found.select("image_id", "rank", "rule", "level", "y", "x", "score")
+
+
+@query(f"""{GRID_SQL} SELECT image_id, rank, '0' AS node, NULL AS parent, CAST(5 AS BIGINT) AS symbol, level, y, x FROM top
+UNION ALL SELECT image_id, rank, '0.0', '0', 0, level, y, x FROM top
+UNION ALL SELECT image_id, rank, '0.1', '0', 3, level - CASE rule WHEN 2 THEN {INTERVAL} ELSE 0 END, fy, fx FROM top
+UNION ALL SELECT image_id, rank, '0.1.0', '0.1', 1, level - CASE rule WHEN 2 THEN {INTERVAL} ELSE 0 END, fpy, fpx FROM top
+UNION ALL SELECT image_id, rank, '0.2', '0', 4, level - {INTERVAL}, gy, gx FROM top WHERE rule = 2
+UNION ALL SELECT image_id, rank, '0.2.0', '0.2', 2, level - {INTERVAL}, gpy, gpx FROM top WHERE rule = 2""")
+def model_derivation(spark, sf_dir):
+    """The derivations of the same outputs, parts at the cells they moved to."""
+    found = inference.detect_on_cells(cells(spark), grid_model(), INTERVAL, GRID_PAD, 10.0)
+    return found.select("image_id", "rank", F.explode("nodes").alias("n")).select("image_id", "rank", *[F.col(f"n.{c}").alias(c) for c in ("node", "parent", "symbol", "level", "y", "x")])
+
+
+@query()
+def single_image(spark, sf_dir):
+    """The whole way from pixels to suppressed boxes, for each of the synthetic images."""
+    return inference.process(tiny_images(spark), synthetic_model(), 0.0, 4)
+
+
+def synthetic_model():
+    rng = np.random.default_rng(3)
+    root, parts = rng.normal(size=(3, 4, kernels.DIMS)) * 0.1, [rng.normal(size=(2, 2, kernels.DIMS)) * 0.1 for _ in range(2)]
+    return grammar.star_model("synthetic", root, [(parts[0], (0, 1, 1), [0.05, 0, 0.05, 0]), (parts[1], (2, 4, 1), [0.05, 0, 0.05, 0])], mirrored=True)
+
+
 STAR_COSTS = [[0.0, 0.5, 2.0], [0.0, 1.0, 4.0]]
 STAR_SQL = """s AS (SELECT det_id, CAST(x1 % 9 AS DOUBLE) AS root, [CAST(y1 % 7 AS DOUBLE), CAST(x2 % 5 AS DOUBLE), CAST(y2 % 11 AS DOUBLE)] AS a, [CAST(det_id % 6 AS DOUBLE), CAST((x1 + y1) % 8 AS DOUBLE), CAST((x2 + y2) % 13 AS DOUBLE)] AS b FROM det),
 one AS (SELECT *, root >= 1 AS go1, list_filter([0.0::DOUBLE, 0.5::DOUBLE, 2.0::DOUBLE], lambda c: root - c >= 0) AS open1 FROM s),
