@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxlens.operators.running import range_cuts, range_of
+from boxlens.tables import written
+
 _BOUNDS: dict[tuple, tuple] = {}
 
 
 def number_rows(df: DataFrame, order: list[str], name: str, memo: tuple | None = None) -> DataFrame:
-    """Row numbers from 1 over the whole table in a total order whose first column is a number, without one task that holds all rows.
+    """Row numbers from 1 over the whole table in a total order whose first column is a number, without one task that holds all rows. memo: what names the table and its version, so that its bounds are found once.
 
     Ranges of the first column (their bounds and counts, a few numbers each, pass through the driver) are numbered apart. Rows
     equal in the first column share a range.
@@ -58,21 +61,28 @@ def low_percentile(df: DataFrame, keys: list[str], by: str, share: float, name:
     return df.groupBy(*keys).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {by})").alias(name))
 
 
+def _counts_upto(df: DataFrame, by: str) -> tuple[DataFrame, int]:
+    """(by, upto): each distinct value and how many rows are at most it; and how many rows there are. Ranges of the values are summed apart; only a number a range, RANGES at most, passes through the driver."""
+    counts = written(df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("c")), "counts")
+    ranged = counts.withColumn("_range", range_of(by, range_cuts(counts, by), descending=False))
+    before, total = {}, 0
+    for r in sorted(ranged.groupBy("_range").agg(F.sum("c").alias("c")).collect(), key=lambda r: r["_range"]):
+        before[r["_range"]], total = total, total + r["c"]
+    inside = Window.partitionBy("_range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = F.create_map(*[F.lit(x) for pair in (before or {0: 0}).items() for x in pair])
+    return ranged.select(by, (F.sum("c").over(inside) + ahead[F.col("_range")]).alias("upto")), total
+
+
 def floor_element(df: DataFrame, by: str, tie: str, share: float, low: float, high: float) -> DataFrame:
-    """Element floor(share * n) of the sorted values, at least the first, held in [low, high]. One row; counts per value, not rows, meet in one task."""
-    counts = df.groupBy(by).agg(F.count("*").alias("c"))
-    w = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(1))))
-    place = F.greatest(F.floor(F.lit(share) * F.col("n")), F.lit(1))
-    return ranked.where(F.col("upto") >= place).agg(F.greatest(F.lit(low), F.least(F.lit(high), F.min(F.col(by).cast("double")))).alias("value"))
+    """Element floor(share * n) of the sorted values, at least the first, held in [low, high]. One row; nulls do not count."""
+    upto, n = _counts_upto(df, by)
+    return upto.where(F.col("upto") >= F.greatest(F.floor(F.lit(share) * n), F.lit(1))).agg(F.greatest(F.lit(low), F.least(F.lit(high), F.min(F.col(by).cast("double")))).alias("value"))
 
 
 def quantile_buckets(df: DataFrame, by: str, buckets: int) -> DataFrame:
-    """bucket (from 1) by cut points at elements ceil((i-1) n / buckets) + 1, the last open: equal values share one, unlike ntile. Cut points come from counts per value."""
-    counts = df.groupBy(by).agg(F.count("*").alias("c"))
-    w = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    upto = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(F.lit(1))))
-    cuts = [F.min(F.when(F.col("upto") >= F.ceil(F.lit(i) * F.col("n") / buckets) + 1, F.col(by))).alias(f"_cut{i}") for i in range(1, buckets)]
+    """bucket (from 1) by cut points at elements ceil((i-1) n / buckets) + 1, the last open: equal values share one, unlike ntile. Cut points come from counts per value; a null is in the first."""
+    upto, n = _counts_upto(df, by)
+    cuts = [F.min(F.when(F.col("upto") >= F.ceil(F.lit(i) * n / buckets) + 1, F.col(by))).alias(f"_cut{i}") for i in range(1, buckets)]
     bounds = upto.agg(*cuts)  # one row
     bucket = F.lit(1)
     for i in range(1, buckets):

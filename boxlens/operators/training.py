@@ -64,28 +64,36 @@ def lbfgs(objective: Objective, start: np.ndarray, lower: np.ndarray | None = No
 
 
 def latent_objective(cache: DataFrame, c: float, regularisation: np.ndarray) -> Objective:
-    """c times the sum over examples of (best of score + loss, less the belief's score), and half the squared weights. cache: example_id, is_belief, loss, x; its rows should be partitioned by example. Each call is one pass: a gradient a task comes to the driver."""
-    grouped = cache.select("example_id", "is_belief", "loss", "x").repartition("example_id").sortWithinPartitions("example_id").cache()
+    """c times the sum over examples of (best of score + loss, less the belief's score), and half the squared weights. cache: example_id, is_belief, loss, x. Its rows are dealt and sorted by example and kept until the objective's release() is called; each call is one pass that holds a batch and the example left open by the one before, and a gradient a task comes to the driver."""
+    grouped = cache.select("example_id", "is_belief", "loss", "x").repartition("example_id").sortWithinPartitions("example_id").persist()
 
     def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
         def run(batches):
-            frames = [d for d in batches if len(d)]
-            if not frames:
-                return
-            d = pd.concat(frames)
-            x, ids = np.stack(d["x"].to_numpy()), d["example_id"].to_numpy()
-            score, belief = x @ w, d["is_belief"].to_numpy(bool)
-            raised = np.where(belief, score, score + d["loss"].to_numpy(float))
-            order = np.lexsort((-raised, ids))
-            first = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
-            own = order[belief[order]]
-            yield pd.DataFrame({"v": [float(raised[first].sum() - score[own].sum())], "g": [(x[first].sum(axis=0) - x[own].sum(axis=0)).tolist()]})
+            value, g = 0.0, np.zeros(len(w))
+            last, raised, top = None, 0.0, None  # the open example, its best score and that row
+            for d in batches:
+                if not len(d):
+                    continue
+                x, ids, belief = np.stack(d["x"].to_numpy()), d["example_id"].to_numpy(), d["is_belief"].to_numpy(bool)
+                score = x @ w
+                value, g = value - float(score[belief].sum()), g - x[belief].sum(axis=0)
+                lossy = np.where(belief, score, score + d["loss"].to_numpy(float))
+                order = np.lexsort((-lossy, ids))
+                for i in order[np.r_[True, ids[order][1:] != ids[order][:-1]]]:
+                    if top is not None and ids[i] == last and lossy[i] <= raised:
+                        continue
+                    if top is not None and ids[i] != last:
+                        value, g = value + raised, g + top
+                    last, raised, top = ids[i], float(lossy[i]), x[i]
+            if top is not None:
+                yield pd.DataFrame({"v": [value + raised], "g": [(g + top).tolist()]})
 
         parts = grouped.mapInPandas(run, "v double, g array<double>").toPandas()
         value = 0.5 * float((regularisation * w * w).sum()) + c * float(parts["v"].sum())
         g = regularisation * w + (c * np.sum([np.array(v) for v in parts["g"]], axis=0) if len(parts) else 0)
         return value, g
 
+    objective.release = grouped.unpersist
     return objective
 
 
@@ -111,8 +119,12 @@ def train(initial: np.ndarray, relabel: Callable[[np.ndarray], DataFrame], mine:
             if path:
                 cache.write.mode("overwrite").parquet(f"{path}/{turn}-{step}")
                 cache = cache.sparkSession.read.parquet(f"{path}/{turn}-{step}")
-            w, value, _ = lbfgs(latent_objective(cache, c, regularisation), w)
-            full, _ = latent_objective(cache.unionByName(mine(w)).distinct(), c, regularisation)(w)
+            held = latent_objective(cache, c, regularisation)
+            w, value, _ = lbfgs(held, w)
+            held.release()
+            mined = latent_objective(cache.unionByName(mine(w)).distinct(), c, regularisation)
+            full, _ = mined(w)
+            mined.release()
             if converged(full, value):
                 break
         if value / last > 0.999 if np.isfinite(last) else False:

@@ -42,8 +42,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def version(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a path's files, so that what is remembered of it ends when it is written anew."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(at))
+
+
 def det(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = number_rows(read(spark, sf_dir, "lineitem"), DET_ORDER, "det_id", memo=("det", sf_dir, spark.conf.get("spark.sql.shuffle.partitions")))
+    memo = ("det", spark.conf.get("spark.sql.shuffle.partitions"), *version(spark, f"{sf_dir}/lineitem.parquet"))
+    rows = number_rows(read(spark, sf_dir, "lineitem"), DET_ORDER, "det_id", memo=memo)
     return rows.selectExpr(
         "det_id", "l_orderkey % 200 AS image_id", "l_suppkey % 20 AS cls_id", "CAST(l_linenumber % 3 + 1 AS BIGINT) AS comp",
         "(l_partkey * 7) % 520 - 20 AS x1", "(l_suppkey * 13 + l_linenumber * 37) % 400 - 20 AS y1",

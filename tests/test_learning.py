@@ -127,6 +127,25 @@ def test_latent_objective(spark):
     assert np.allclose(step, g, atol=1e-4)
 
 
+def test_latent_objective_over_batches(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(e), bool(k == 0), float(k % 3), rng.normal(size=3).tolist()) for e in range(5) for k in range(40)]
+    cache, w = spark.createDataFrame(rows, "example_id long, is_belief boolean, loss double, x array<double>"), rng.normal(size=3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        f = training.latent_objective(cache, 1.0, np.zeros(3))
+        value, g = f(w)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    x, want, slope = np.array([r[3] for r in rows]).reshape(5, 40, 3), 0.0, np.zeros(3)
+    for e in range(5):
+        scores = x[e] @ w + np.array([0.0 if k == 0 else k % 3 for k in range(40)])
+        want, slope = want + scores.max() - x[e, 0] @ w, slope + x[e, scores.argmax()] - x[e, 0]
+    assert value == pytest.approx(want) and np.allclose(g, slope)
+    f.release()
+    assert training.latent_objective(cache.limit(0), 1.0, np.ones(3))(w)[0] == pytest.approx(0.5 * float(w @ w))
+
+
 def test_splits_and_softmax():
     assert training.split_aspects(np.array([1, 1, 1, 2, 3, 4.0]), 3).tolist() == [0, 0, 0, 1, 2, 2] or len(set(training.split_aspects(np.array([1, 1, 1, 2, 3, 4.0]), 3)[:3])) == 1
     rng = np.random.default_rng(8)

@@ -56,3 +56,13 @@ def test_stream_suppression(spark, tmp_path):
     streams.suppress_each_batch(stream, ["image_id", "cls_id"], str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = sorted(r["det_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(r["det_id"] for r in suppress(d, ["image_id", "cls_id"]).collect())
+
+
+def test_rewritten_table_is_numbered_anew(spark, tmp_path):
+    from boxlens.sources import fixtures
+
+    whole = fixtures.read(spark, "/root/testdata/sf0.001", "lineitem")
+    for rows in (whole.where("l_linenumber = 1"), whole):
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        ids = [r["det_id"] for r in fixtures.det(spark, str(tmp_path)).collect()]
+        assert sorted(ids) == list(range(1, rows.count() + 1))
