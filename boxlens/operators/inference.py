@@ -21,7 +21,7 @@ from boxlens.operators.grammar import Model, Rule
 #: What each rule's bias is multiplied by, a fixed value of the model format.
 BIAS_FEATURE = 10.0
 NODES = "array<struct<node string, parent string, symbol long, rule long, level long, y long, x long, x1 double, y1 double, x2 double, y2 double>>"
-OUTPUTS = f"image_id long, rank long, score double, rule long, level long, y long, x long, x1 double, y1 double, x2 double, y2 double, nodes {NODES}"
+OUTPUTS = f"rank long, score double, rule long, level long, y long, x long, x1 double, y1 double, x2 double, y2 double, nodes {NODES}"
 
 
 @dataclass
@@ -133,7 +133,7 @@ def derivation(model: Model, chart: Chart, level: int, y: int, x: int, interval:
             left += [(f"{node}.{j}", node, c, level - interval * a[2], *child_place(y, x, a, pad)) for j, (c, a) in enumerate(zip(rule.children, rule.anchors, strict=True))]
 
 
-def _rows(image_id: int, model: Model, terminals: dict, scales: list[float], interval: int, pad: tuple[int, int], threshold: float, most: int | None) -> pd.DataFrame:
+def _rows(image_id, model: Model, terminals: dict, scales: list[float], interval: int, pad: tuple[int, int], threshold: float, most: int | None) -> pd.DataFrame:
     sizes, rows = {f.symbol: f.size for f in model.filters}, []
 
     def sides(level, y, x, size):
@@ -150,6 +150,10 @@ def _rows(image_id: int, model: Model, terminals: dict, scales: list[float], int
     return pd.DataFrame(rows, columns=["image_id", "rank", "score", "rule", "level", "y", "x", "x1", "y1", "x2", "y2", "nodes"])
 
 
+def _schema(df: DataFrame) -> str:
+    return f"image_id {df.schema['image_id'].dataType.simpleString()}, {OUTPUTS}"
+
+
 def detect(images: DataFrame, model: Model, threshold: float, interval: int = 10, most: int | None = None) -> DataFrame:
     """Outputs of a model on images (image_id, h, w, pixels): the window in pixels, its rank in its image, and the nodes of its derivation with the boxes of all filters. pixels: grey, h * w values, or colour, h * w * 3."""
     pad = padding(model)
@@ -160,7 +164,7 @@ def detect(images: DataFrame, model: Model, threshold: float, interval: int = 10
                 levels = kernels.pyramid(kernels.image_of(r), interval, kernels.CELL, pad)
                 yield _rows(r.image_id, model, terminal_scores(model, [f for _, f in levels]), [s for s, _ in levels], interval, pad, threshold, most)
 
-    return images.select("image_id", "h", "w", "pixels").mapInPandas(run, OUTPUTS)
+    return images.select("image_id", "h", "w", "pixels").mapInPandas(run, _schema(images))
 
 
 def detect_on_cells(cells: DataFrame, model: Model, interval: int, pad: tuple[int, int], threshold: float, most: int | None = None) -> DataFrame:
@@ -173,14 +177,14 @@ def detect_on_cells(cells: DataFrame, model: Model, interval: int, pad: tuple[in
         terminals = {k: [np.full(s, -np.inf) for s in shapes] for k, kind in enumerate(model.symbols) if kind == "T"}
         for (symbol, level), part in d.groupby(["symbol", "level"]):
             terminals[symbol][level - 1][part["y"], part["x"]] = part["score"]
-        return _rows(int(d["image_id"].iloc[0]), model, terminals, [2 / 2 ** (k / interval) for k in range(len(shapes))], interval, pad, threshold, most)
+        return _rows(d["image_id"].iloc[0], model, terminals, [2 / 2 ** (k / interval) for k in range(len(shapes))], interval, pad, threshold, most)
 
-    return cells.select("image_id", "symbol", "level", "y", "x", "score").groupBy("image_id").applyInPandas(run, OUTPUTS)
+    return cells.select("image_id", "symbol", "level", "y", "x", "score").groupBy("image_id").applyInPandas(run, _schema(cells))
 
 
 def process(images: DataFrame, model: Model, threshold: float, interval: int = 10, regression: DataFrame | None = None, overlap: float = 0.5) -> DataFrame:
-    """What a user asks of an image: outputs above the threshold, cut to the image, moved by the regression where there is one (rescoring.fit_boxes; comp is the start symbol's rule) and cut again, then suppressed. (image_id, det_id, comp, score, sides); det_id falls with the rank."""
-    found = detect(images, model, threshold, interval).withColumn("det_id", F.col("image_id") * 2**32 - F.col("rank"))
+    """What a user asks of an image: outputs above the threshold, cut to the image, moved by the regression where there is one (rescoring.fit_boxes; comp is the start symbol's rule) and cut again, then suppressed. (image_id, rank, comp, score, sides), rank among all outputs of the image."""
+    found = detect(images, model, threshold, interval).withColumn("det_id", F.concat_ws(":", "image_id", "rank"))
     sides = ["x1", "y1", "x2", "y2"]
     size = images.select("image_id", F.col("h").alias("_h"), F.col("w").alias("_w"))
 
@@ -188,9 +192,9 @@ def process(images: DataFrame, model: Model, threshold: float, interval: int = 1
         inside = {"x1": F.greatest("x1", F.lit(1.0)), "y1": F.greatest("y1", F.lit(1.0)), "x2": F.least("x2", "_w"), "y2": F.least("y2", "_h")}
         return d.join(size, "image_id").select(*[inside.get(c, F.col(c)).alias(c) for c in d.columns]).where("x2 >= x1 and y2 >= y1")
 
-    boxes = cut(found.select("image_id", "det_id", F.col("rule").alias("comp"), "score", *sides))
+    boxes = cut(found.select("image_id", "rank", "det_id", F.col("rule").alias("comp"), "score", *sides))
     if regression is not None:
         filters = F.expr("filter(nodes, n -> n.x1 IS NOT NULL)")
         parts = found.select("det_id", F.posexplode(filters).alias("filter_id", "n")).select("det_id", "filter_id", *[F.col(f"n.{c}").alias(c) for c in sides])
         boxes = cut(rescoring.apply_boxes(boxes, rescoring.part_features(parts), regression))
-    return suppression.suppress(boxes, ["image_id"], overlap)
+    return suppression.suppress(boxes.withColumn("det_id", -F.col("rank")), ["image_id"], overlap).drop("det_id")

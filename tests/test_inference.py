@@ -87,6 +87,11 @@ def test_process(spark):
     kept = inference.process(images, model, -1.0, 4).collect()
     assert kept and all(1 <= r["x1"] <= r["x2"] <= 96 and 1 <= r["y1"] <= r["y2"] <= 64 for r in kept)
     assert inference.process(images.limit(0), model, -1.0, 4).count() == 0
+    rules = [k for k, r in enumerate(model.rules) if r.lhs == model.start]
+    still = spark.createDataFrame([(k, t, [0.0] * 5) for k in rules for t in ("x1", "y1", "x2", "y2")], "comp long, target string, beta array<double>")
+    assert {tuple(r) for r in inference.process(images, model, -1.0, 4, regression=still).collect()} == {tuple(r) for r in kept}
+    named = images.withColumn("image_id", images["image_id"].cast("string"))
+    assert {(int(r["image_id"]), *r[1:]) for r in inference.process(named, model, -1.0, 4).collect()} == {tuple(r) for r in kept}
 
 
 def test_no_rule_and_padding():

@@ -66,3 +66,14 @@ def test_rewritten_table_is_numbered_anew(spark, tmp_path):
         rows.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
         ids = [r["det_id"] for r in fixtures.det(spark, str(tmp_path)).collect()]
         assert sorted(ids) == list(range(1, rows.count() + 1))
+
+
+def test_colour_is_kept(spark, tmp_path):
+    import struct
+
+    rows = [[(10, 20, 30), (40, 50, 60)], [(70, 80, 90), (100, 110, 120)]]  # red, green, blue
+    data = b"".join(b"".join(bytes(p[::-1]) for p in row) + b"\0\0" for row in rows[::-1])
+    (tmp_path / "a.bmp").write_bytes(b"BM" + struct.pack("<IHHI", 54 + len(data), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 2, 1, 24, 0, len(data), 0, 0, 0, 0) + data)
+    got = detections.read_pixels(spark, str(tmp_path)).first()
+    assert (got["h"], got["w"]) == (2, 2) and got["pixels"] == [float(v) for row in rows for p in row for v in p]
+    assert detections.read_pixels(spark, str(tmp_path), mirrored=True).first()["pixels"][:3] == [40.0, 50.0, 60.0]
