@@ -26,11 +26,12 @@ OUTPUTS = f"rank long, score double, rule long, level long, y long, x long, x1 d
 
 @dataclass
 class Chart:
-    """Of each symbol a table of scores a level; of nonterminals the rule chosen at each cell; of deformation rules the row and column each cell moves to."""
+    """Of each symbol a table of scores a level; of nonterminals the rule chosen at each cell; of deformation rules the row and column each cell moves to; of the start symbol's rules their own scores."""
 
     scores: dict[int, list[np.ndarray]]
     chosen: dict[int, list[np.ndarray]] = field(default_factory=dict)
     moves: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    by_rule: dict[int, list[np.ndarray]] = field(default_factory=dict)
 
 
 def padding(model: Model) -> tuple[int, int]:
@@ -100,6 +101,8 @@ def evaluate(model: Model, terminals: dict[int, list[np.ndarray]], interval: int
             moved = [kernels.distance_transform(a + constant(model, rule, level, interval), *costs) for level, a in enumerate(chart.scores[rule.children[0]], 1)]
             tables.append([m[0] for m in moved])
             chart.moves[k] = [m[1:] for m in moved]
+        if symbol == model.start:
+            chart.by_rule = dict(zip(own, tables, strict=True))
         levels = [np.stack(at) for at in zip(*tables, strict=True)]
         chart.scores[symbol] = [a.max(axis=0) for a in levels]
         chart.chosen[symbol] = [np.array(own)[a.argmax(axis=0)] for a in levels]

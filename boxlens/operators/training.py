@@ -109,8 +109,16 @@ def converged(full: float, cached: float, ratio: float = 1.05) -> bool:
     return full / cached < ratio if cached > 0 else full <= 0
 
 
-def train(initial: np.ndarray, relabel: Callable[[np.ndarray], DataFrame], mine: Callable[[np.ndarray], DataFrame], keep: Callable[[DataFrame, np.ndarray], DataFrame], c: float, regularisation: np.ndarray, rounds: int = 8, mining: int = 5, path: str | None = None) -> np.ndarray:
-    """Relabel, mine, optimise, evict. Rows of relabel and mine: example_id, is_belief, loss, x. Each cache is written, so that no plan reaches back over rounds."""
+def _only(objective: Objective, learns: np.ndarray) -> Objective:
+    def of_these(w: np.ndarray) -> tuple[float, np.ndarray]:
+        value, g = objective(w)
+        return value, np.where(learns, g, 0.0)
+
+    return of_these
+
+
+def train(initial: np.ndarray, relabel: Callable[[np.ndarray], DataFrame], mine: Callable[[np.ndarray], DataFrame], keep: Callable[[DataFrame, np.ndarray], DataFrame], c: float, regularisation: np.ndarray, rounds: int = 8, mining: int = 5, path: str | None = None, lower: np.ndarray | None = None, learns: np.ndarray | None = None) -> np.ndarray:
+    """Relabel, mine, optimise, evict. Rows of relabel and mine: example_id, is_belief, loss, x. Each cache is written, so that no plan reaches back over rounds. Weights stay at lower or more; those that do not learn stay as they are."""
     w, last = initial, np.inf
     for turn in range(rounds):
         cache = relabel(w)
@@ -120,7 +128,7 @@ def train(initial: np.ndarray, relabel: Callable[[np.ndarray], DataFrame], mine:
                 cache.write.mode("overwrite").parquet(f"{path}/{turn}-{step}")
                 cache = cache.sparkSession.read.parquet(f"{path}/{turn}-{step}")
             held = latent_objective(cache, c, regularisation)
-            w, value, _ = lbfgs(held, w)
+            w, value, _ = lbfgs(held if learns is None else _only(held, learns), w, lower)
             held.release()
             mined = latent_objective(cache.unionByName(mine(w)).distinct(), c, regularisation)
             full, _ = mined(w)
