@@ -40,6 +40,21 @@ def stage_thresholds(scores: DataFrame, order: list[str], threshold: float) -> D
     return good.agg(*mins).selectExpr(f"stack({len(order)}, {stack}) AS (stage, value)")
 
 
+def mixed_thresholds(scores: DataFrame, projected_order: list[str], full_order: list[str], threshold: float, projected_offset: float = 0.0, offset: float = 0.0) -> DataFrame:
+    """(stage, value) of a cascade that first places parts by their projected scores, then puts whole scores in their place: the least partial sum of each stage over examples whose whole score is at least the threshold. Columns come in cascade order, each part's deformation before its filter. The sums grow by a projected column a stage until all are in; from then on a window of that many columns slides over both orders. The last stage is the threshold itself. No such example: infinite, so that nothing passes."""
+    n = len(projected_order)
+    if n != len(full_order):
+        raise ValueError("both orders must have the same number of columns")
+    whole = sum((F.col(c) for c in full_order), F.lit(offset))
+    line, sums = [*projected_order, *full_order], []
+    for k in range(2 * n - 1):
+        of = line[: k + 1] if k < n else line[k - n + 1 : k + 1]
+        sums.append(F.coalesce(F.min(sum((F.col(c) for c in of), F.lit(projected_offset if k < n else offset))), F.lit(float("inf"))).alias(str(k)))
+    sums.append(F.when(F.count("*") > 0, F.lit(float(threshold))).otherwise(F.lit(float("inf"))).alias(str(2 * n - 1)))
+    stack = ", ".join(f"{k}L, `{k}`" for k in range(2 * n))
+    return scores.where(whole >= threshold).agg(*sums).selectExpr(f"stack({2 * n}, {stack}) AS (stage, value)")
+
+
 def staged(candidates: DataFrame, order: list[str], thresholds: list[float], final: float) -> DataFrame:
     """Candidates that pass every stage, score and the number of parts evaluated for each of the others too: (det_id, score, evaluated, passed). A part is evaluated only for the rows that are left."""
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 from graphlib import CycleError, TopologicalSorter
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 CELL = ["image_id", "level", "y", "x"]
 DEFORMATION_RANGE = 4
+FORMAT = 1
+#: Location weights, fixed values: no cost in the first octave, out of the question in later ones.
+FIRST_OCTAVE_ONLY = [0.0, -1000.0, -1000.0]
 
 
 # --- models ---------------------------------------------------------------------------------------------
@@ -140,6 +144,39 @@ class Model:
     def norms(self) -> dict[int, float]:
         return {k: float(np.sqrt((b.weights**2).sum())) for k, b in enumerate(self.blocks)}
 
+    def components(self) -> dict[int, list[int]]:
+        """The blocks of each rule of the start symbol with all that it derives, in order. A rule with the same blocks as an earlier one, as mirrored rules have, is left out."""
+        of_filter = {f.symbol: f.block for f in self.filters}
+
+        def below(rule: Rule) -> set[int]:
+            own = {b for b in (rule.offset, rule.deformation, rule.location) if b is not None}
+            for c in rule.children:
+                own |= {of_filter[c]} if c in of_filter else set().union(*(below(r) for r in self.rules if r.lhs == c))
+            return own
+
+        out: dict[int, list[int]] = {}
+        for k, r in enumerate(self.rules):
+            if r.lhs == self.start and (blocks := sorted(below(r))) not in out.values():
+                out[k] = blocks
+        return out
+
+    def to_json(self) -> str:
+        """All of the model, bounds and locations too, as text that from_json reads."""
+        whole = asdict(self)
+        for b in whole["blocks"]:
+            b["weights"], b["lower"] = b["weights"].tolist(), np.asarray(b["lower"], float).tolist()
+        return json.dumps({"format": FORMAT, **whole})
+
+    @classmethod
+    def from_json(cls, text: str) -> Model:
+        whole = json.loads(text)
+        if (found := whole.pop("format", None)) != FORMAT:
+            raise ValueError(f"format {found} is not {FORMAT}")
+        whole["blocks"] = [Block(**{**b, "lower": np.array(b["lower"], float)}) for b in whole["blocks"]]
+        whole["filters"] = [Filter(**{**f, "size": tuple(f["size"])}) for f in whole["filters"]]
+        whole["rules"] = [Rule(**{**r, "anchors": [tuple(a) for a in r["anchors"]], "window": tuple(r["window"])}) for r in whole["rules"]]
+        return cls(**{**whole, "smallest": tuple(whole["smallest"]), "largest": tuple(whole["largest"])})
+
     def tables(self, spark) -> dict[str, DataFrame]:
         """The model as tables small enough to broadcast."""
         return {
@@ -290,6 +327,27 @@ def visibility_model(name: str, parts: list[np.ndarray], occluder: np.ndarray, c
     return m
 
 
+def add_alternatives(m: Model, lhs: tuple[int, int], root: tuple[int, int], fine: list[tuple], coarse: list[tuple]) -> None:
+    """Two more ways to see a symbol and its mirror image: its root with parts an octave finer, and, in the first octave, where nothing is finer, its root with parts of its own level. lhs, root: of the symbol and its mirror image, the roots' terminals; fine, coarse: parts (filter, (y, x), costs). Both sides share all blocks."""
+    height, width = next(f.size for f in m.filters if f.symbol == root[0])
+    for octave, parts in ((1, fine), (0, coarse)):
+        first, made = None, []
+        for side in (0, 1):
+            children, anchors = [root[side]], [(0, 0, 0)]
+            for k, (f, (ay, ax), costs) in enumerate(parts):
+                terminal = m.add_terminal(f, made[k][0] if side else None)
+                n = m.add_symbol("N")
+                rule = m.add_deformation(n, terminal, costs, mirror_of=made[k][1] if side else None)
+                if not side:
+                    made.append((len(m.filters) - 1, rule))
+                children.append(n)
+                anchors.append((ay, width * 2**octave - ax - f.shape[1] if side else ax, octave))
+            rule = m.add_structure(lhs[side], children, anchors, (height, width), mirror_of=first)
+            if octave == 0:
+                rule.location = first.location if side else m.add_block(FIRST_OCTAVE_ONLY, "location", learn=0)
+            first = first or rule
+
+
 def slice_model(name: str, slices: list[tuple[np.ndarray, np.ndarray]], stretches: list[int]) -> Model:
     """Vertical slices side by side, each from the side or from the front, in some stretches (columns between slices) and both directions; the mirrored direction shares all blocks."""
     m = Model(name)

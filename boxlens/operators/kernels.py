@@ -119,13 +119,14 @@ def post_pad(a: np.ndarray, rows: int, cols: int, value: float) -> np.ndarray:
     return np.pad(a, ((0, rows), (0, cols)), constant_values=value)
 
 
-def distance_transform(values: np.ndarray, ax: float, bx: float, ay: float, by: float, reach: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best of f(j) - a (i - j)^2 - b (i - j) within reach, down then across: score and the row and column it came from, the first of equals."""
+def distance_transform(values: np.ndarray, ax: float, bx: float, ay: float, by: float, reach: int | None = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best of f(j) - a (i - j)^2 - b (i - j) within reach (None: anywhere), down then across: score and the row and column it came from, the first of equals."""
 
     def one(v: np.ndarray, a: float, b: float) -> tuple[np.ndarray, np.ndarray]:
         n = len(v)
         best, arg = np.full(v.shape, -np.inf), np.zeros(v.shape, np.int64)
-        for d in range(reach, -reach - 1, -1):  # j = i - d, ascending
+        far = n - 1 if reach is None else reach
+        for d in range(far, -far - 1, -1):  # j = i - d, ascending
             lo, hi = max(0, d), min(n, n + d)
             if lo >= hi:
                 continue

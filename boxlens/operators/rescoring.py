@@ -11,6 +11,7 @@ from boxlens.functions.boxes import sigmoid
 
 TARGETS = ("x1", "y1", "x2", "y2")
 SCORE_FLOOR = -1.1
+LAMBDA = 0.01
 
 
 def part_features(parts: DataFrame) -> DataFrame:
@@ -23,9 +24,33 @@ def part_features(parts: DataFrame) -> DataFrame:
     return pairs.select("det_id", F.concat(flat, F.array(F.lit(1.0))).alias("x"))
 
 
-def fit_boxes(rows: DataFrame, ridge: float = 0.0) -> DataFrame:
-    """(comp, target, beta): least squares of each target for each component from normal equations. rows: comp, x, and the targets t_*. Partial sums are made where rows lie; one small matrix a component and task is shuffled."""
+def solve_plain(a: np.ndarray, b: np.ndarray, ridge: float) -> np.ndarray:
+    return np.linalg.lstsq(a + ridge * np.eye(len(a)), b, rcond=None)[0]
+
+
+def solve_sparse(a: np.ndarray, b: np.ndarray, ridge: float, penalty: float = LAMBDA, sweeps: int = 10_000, tolerance: float = 1e-10) -> np.ndarray:
+    """Least squares with penalty times the sum of magnitudes, coordinate by coordinate, from the normal equations alone."""
+    a, beta = a + ridge * np.eye(len(a)), np.zeros(b.shape)
+    for _ in range(sweeps):
+        before = beta.copy()
+        for j in np.flatnonzero(np.diag(a) > 0):
+            rest = b[j] - a[j] @ beta + a[j, j] * beta[j]
+            beta[j] = np.sign(rest) * np.maximum(np.abs(rest) - penalty / 2, 0) / a[j, j]
+        if np.abs(beta - before).max() <= tolerance * max(1.0, np.abs(beta).max()):
+            break
+    return beta
+
+
+#: Of fit_boxes, by name.
+METHODS = {"default": solve_plain, "minl2": lambda a, b, ridge: solve_plain(a, b, ridge + LAMBDA), "minl1": solve_sparse}
+
+
+def fit_boxes(rows: DataFrame, ridge: float = 0.0, method: str = "default") -> DataFrame:
+    """(comp, target, beta): least squares of each target for each component from normal equations; by method plain, with squares or with magnitudes of the weights at LAMBDA. rows: comp, x, and the targets t_*. Partial sums are made where rows lie; one small matrix a component and task is shuffled."""
     names = [f"t_{t}" for t in TARGETS]
+    if method.lower() not in METHODS:
+        raise ValueError(f"unknown method {method}; known: {', '.join(METHODS)}")
+    solver = METHODS[method.lower()]
 
     def partial(batches):
         sums: dict = {}
@@ -39,7 +64,7 @@ def fit_boxes(rows: DataFrame, ridge: float = 0.0) -> DataFrame:
     def solve(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
         a, b = (np.sum([np.array(v) for v in d[c]], axis=0) for c in ("a", "b"))
         n = len(b) // len(TARGETS)
-        beta = np.linalg.lstsq(a.reshape(n, n) + ridge * np.eye(n), b.reshape(n, -1), rcond=None)[0]
+        beta = solver(a.reshape(n, n), b.reshape(n, -1), ridge)
         return pd.DataFrame({"comp": key[0], "target": TARGETS, "beta": [beta[:, k].tolist() for k in range(len(TARGETS))]})
 
     parts = rows.select("comp", "x", *names).mapInPandas(partial, "comp long, a array<double>, b array<double>")

@@ -210,3 +210,18 @@ SELECT det_id, CASE WHEN p0 < 2 THEN p0 WHEN p0 + p1 < 5 THEN p0 + p1 WHEN p0 +
   p0 >= 2 AND p0 + p1 >= 5 AND p0 + p1 + p2 >= 8 AND p0 + p1 + p2 + p3 >= 12 AS passed FROM ps""")
 def cascade_detect(spark, sf_dir):
     return cascade.staged(part_scores(spark, sf_dir), PART_NAMES, [2.0, 5.0, 8.0, 12.0], 12.0)
+
+
+PROJECTED_SQL = "pp AS (SELECT det_id, CAST(x2 % 13 AS DOUBLE) AS q0, CAST(y2 % 9 AS DOUBLE) AS q1, CAST(det_id % 5 AS DOUBLE) AS q2, CAST((x1 + y1) % 7 AS DOUBLE) AS q3 FROM det)"
+
+
+@query(f"""WITH {DET_SQL}, {PART_SCORES_SQL}, {PROJECTED_SQL}, g AS (SELECT * FROM ps JOIN pp USING (det_id) WHERE 2.0 + p1 + p0 + p3 + p2 >= 10)
+SELECT CAST(stage AS BIGINT) AS stage, value FROM (SELECT 0 AS stage, min(1 + q0) AS value FROM g UNION ALL SELECT 1, min(1 + q0 + q1) FROM g UNION ALL SELECT 2, min(1 + q0 + q1 + q2) FROM g UNION ALL SELECT 3, min(1 + q0 + q1 + q2 + q3) FROM g
+UNION ALL SELECT 4, min(2 + q1 + q2 + q3 + p1) FROM g UNION ALL SELECT 5, min(2 + q2 + q3 + p1 + p0) FROM g UNION ALL SELECT 6, min(2 + q3 + p1 + p0 + p3) FROM g UNION ALL SELECT 7, 10.0::DOUBLE)""")
+def cascade_mixed_thresholds(spark, sf_dir):
+    """Projected scores first, whole ones in another order after them."""
+    whole = lambda e: e.cast("double")
+    d = det(spark, sf_dir)
+    projected = d.select("det_id", whole(F.col("x2") % 13).alias("q0"), whole(F.col("y2") % 9).alias("q1"), whole(F.col("det_id") % 5).alias("q2"), whole((F.col("x1") + F.col("y1")) % 7).alias("q3"))
+    both = part_scores(spark, sf_dir).join(projected, "det_id")
+    return cascade.mixed_thresholds(both, ["q0", "q1", "q2", "q3"], ["p1", "p0", "p3", "p2"], 10.0, 1.0, 2.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from boxlens.operators import cascade, grammar, inference, kernels, selection
+from boxlens.operators import cascade, grammar, inference, kernels, learning, selection
 from boxlens.plans.registry import query
 from boxlens.sources.fixtures import DET_SQL, GT_SQL, det, gt
 
@@ -225,6 +225,26 @@ def synthetic_model():
     return grammar.star_model("synthetic", root, [(parts[0], (0, 1, 1), [0.05, 0, 0.05, 0]), (parts[1], (2, 4, 1), [0.05, 0, 0.05, 0])], mirrored=True)
 
 
+@query()
+def hard_negative_features(spark, sf_dir):
+    """Vectors of all outputs on the synthetic images that are hard for images without objects, each with its zero belief."""
+    return learning.hard_negatives(tiny_images(spark), synthetic_model(), INTERVAL)
+
+
+@query()
+def latent_positive_features(spark, sf_dir):
+    """Beliefs, rivals and zero vectors of two boxes on each of the synthetic images."""
+    sides = [(1, 1, 60, 50), (30, 10, 96, 62)]
+    boxes = spark.createDataFrame([(2 * k + j, k, *s) for k in range(4) for j, s in enumerate(sides)], "gt_id long, image_id long, x1 long, y1 long, x2 long, y2 long")
+    return learning.latent_positives(tiny_images(spark), boxes, synthetic_model(), INTERVAL, 50, 0.5)
+
+
+@query()
+def block_shares(spark, sf_dir):
+    """What each block adds to each output's score."""
+    return learning.block_table(tiny_images(spark), synthetic_model(), -1.0, INTERVAL)
+
+
 STAR_COSTS = [[0.0, 0.5, 2.0], [0.0, 1.0, 4.0]]
 STAR_SQL = """s AS (SELECT det_id, CAST(x1 % 9 AS DOUBLE) AS root, [CAST(y1 % 7 AS DOUBLE), CAST(x2 % 5 AS DOUBLE), CAST(y2 % 11 AS DOUBLE)] AS a, [CAST(det_id % 6 AS DOUBLE), CAST((x1 + y1) % 8 AS DOUBLE), CAST((x2 + y2) % 13 AS DOUBLE)] AS b FROM det),
 one AS (SELECT *, root >= 1 AS go1, list_filter([0.0::DOUBLE, 0.5::DOUBLE, 2.0::DOUBLE], lambda c: root - c >= 0) AS open1 FROM s),

@@ -127,3 +127,83 @@ def test_training_finds_the_object(spark):
     found, other = best(patterned(spark, [1, 1, 1])), best(patterned(spark, [0, 0, 0]))
     assert min(found.values()) > max(other.values()) + 0.5
     assert not start.blocks[0].weights.any()  # the model given stays as it is
+
+
+def test_model_as_text(model):
+    again = grammar.Model.from_json(model.to_json())
+    assert again.to_json() == model.to_json() and again.order() == model.order()
+    assert all(np.array_equal(a.lower, b.lower) and np.array_equal(a.weights, b.weights) for a, b in zip(model.blocks, again.blocks, strict=True))
+    with pytest.raises(ValueError, match="format"):
+        grammar.Model.from_json('{"format": 0}')
+
+
+def test_mirrored_components_count_once():
+    m = grammar_plans.synthetic_model()
+    (rule, blocks), = m.components().items()
+    assert m.rules[rule].lhs == m.start and blocks == list(range(len(m.blocks)))
+    assert len(grammar_plans.grid_model().components()) == 2
+
+
+def test_alternatives_by_octave():
+    """The coarse way is the best one only where nothing is finer; mirrored sides give mirrored scores."""
+    rng, m = np.random.default_rng(6), grammar.Model("head")
+    m.start = m.add_symbol("N")
+    left, right = m.add_symbol("N"), m.add_symbol("N")
+    root = m.add_terminal(rng.normal(size=(2, 3, kernels.DIMS)))
+    mirror = m.add_terminal(mirror_of=0)
+    plain = m.add_structure(left, [root], [(0, 0, 0)], (2, 3), -50.0)
+    m.add_structure(right, [mirror], [(0, 0, 0)], (2, 3), mirror_of=plain)
+    part = rng.normal(size=(1, 1, kernels.DIMS))
+    grammar.add_alternatives(m, (left, right), (root, mirror), [(part, (0, 1), [0.1, 0, 0.1, 0])], [(part, (1, 0), [0.1, 0, 0.1, 0])])
+    for n in (left, right):
+        m.add_structure(m.start, [n], [(0, 0, 0)], (2, 3))
+    shapes = [(12, 14), (6, 7), (5, 6)]
+    features = [rng.normal(size=(*s, kernels.DIMS)) for s in shapes]
+    chart = inference.evaluate(m, inference.terminal_scores(m, features), 1, (0, 0))
+    flipped = inference.evaluate(m, inference.terminal_scores(m, [f[:, ::-1, kernels.mirror_order()] for f in features]), 1, (0, 0))
+    fine, coarse = 2, 3
+    rules = [k for k, r in enumerate(m.rules) if r.lhs == left]
+    assert (chart.chosen[left][0] == rules[coarse - 1]).any() and not (chart.chosen[left][0] == rules[fine - 1]).any()
+    seen = chart.scores[left][1] > -900
+    assert seen.any() and not (chart.chosen[left][1][seen] == rules[coarse - 1]).any()
+    width = shapes[1][1] - 3 + 1
+    assert np.allclose(chart.scores[left][0][:11, :12], flipped.scores[right][0][:11, :12][:, ::-1]) and width == 5
+
+
+def test_transform_without_reach():
+    v = np.random.default_rng(3).integers(-9, 9, (7, 13)).astype(float)
+    score, row, col = kernels.distance_transform(v, 0.01, 0.02, 0.03, -0.04, None)
+    assert np.allclose(score, kernels.brute_transform(v, 0.01, 0.02, 0.03, -0.04, 20))
+    assert (np.abs(np.indices(v.shape)[1] - col) > 4).any()
+
+
+def test_methods_of_regression(spark):
+    from boxlens.operators import rescoring
+
+    rng = np.random.default_rng(8)
+    x, beta = rng.normal(size=(60, 3)), np.array([1.0, 0.0, -2.0])
+    rows = [(1, [float(v) for v in r], *[float(r @ beta)] * 4) for r in x]
+    table = spark.createDataFrame(rows, "comp long, x array<double>, t_x1 double, t_y1 double, t_x2 double, t_y2 double")
+    got = {m: np.array(rescoring.fit_boxes(table, method=m).where("target = 'x1'").first()["beta"]) for m in ("default", "minl2", "MinL1")}
+    a, b = x.T @ x, x.T @ (x @ beta)
+    assert np.allclose(got["default"], beta)
+    assert np.allclose(got["minl2"], np.linalg.solve(a + 0.01 * np.eye(3), b))
+    slope = 2 * (a @ got["MinL1"] - b)  # the condition of a least value
+    assert all(abs(s + 0.01 * np.sign(w)) < 1e-6 if w else abs(s) <= 0.01 + 1e-9 for s, w in zip(slope, got["MinL1"], strict=True))
+    with pytest.raises(ValueError, match="unknown method"):
+        rescoring.fit_boxes(table, method="rtls")
+
+
+def test_mixed_thresholds_prune_no_good_example(spark):
+    from boxlens.operators import cascade
+
+    rng = np.random.default_rng(12)
+    s = rng.normal(size=(50, 8))
+    names = [f"q{k}" for k in range(4)] + [f"p{k}" for k in range(4)]
+    table = spark.createDataFrame([tuple(map(float, r)) for r in s], ", ".join(f"{n} double" for n in names))
+    got = [r["value"] for r in cascade.mixed_thresholds(table, names[:4], names[4:], 0.5, 0.1, 0.2).orderBy("stage").collect()]
+    good = s[s[:, 4:].sum(axis=1) + 0.2 >= 0.5]
+    want = [(good[:, : k + 1].sum(axis=1) + 0.1).min() for k in range(4)] + [(good[:, k - 3 : k + 1].sum(axis=1) + 0.2).min() for k in range(4, 7)] + [0.5]
+    assert np.allclose(got, want)
+    none = cascade.mixed_thresholds(table.where("false"), names[:4], names[4:], 0.5).collect()
+    assert len(none) == 8 and all(r["value"] == np.inf for r in none)
