@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from boxlens.llm.common import Workspace, arrow_map
 
 SCALE, CLASSES, RELABELLED, ANCHORS, POSITIVES, NEGATIVES = 256, 10, 7, 100, 5, 10
-#: Groups of anchors of one length: one for ANCHORS_PER_PIVOT of them, within bounds. Pivots are means of a sample of SAMPLE vectors, and of SAMPLED components, at most; TURNS rounds move them.
-ANCHORS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS, SAMPLE, SAMPLED, TURNS = 16, 4, 32, 4096, 1 << 20, 5
+#: The fewest and the most groups of anchors of one length. Pivots are means of a sample of SAMPLE vectors, and of SAMPLED components, at most; TURNS rounds move them.
+LEAST_PIVOTS, MOST_PIVOTS, SAMPLE, SAMPLED, TURNS = 2, 32, 4096, 1 << 20, 5
+#: How many groups there are, PROBES of the sample tell, and what a copy and a product cost, in nanoseconds.
+PROBES, COPY_COST, PAIR_COST = 128, 15000.0, 20.0
 #: A task joins that many anchors with that many bytes of candidates at most; products of CHUNK anchors are held at once. Anchors of one class are expanded in SHARES parts.
 SLOT, BLOCK_BYTES, CHUNK, SHARES = 16384, 8 << 20, 64, 4
 #: Rounding of distances as a share of M, products below it are exact in double precision, and the ends of 64 bits.
@@ -70,22 +72,50 @@ class Cells:
         return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * (x @ p.T) + (p * p).sum(axis=1), 0))
 
 
-def choose(rows: DataFrame, largest: float, wanted: int, longest: int) -> Cells:
-    """That many pivots of each length at most: means of the sample's vectors that are nearest to each, moved TURNS times."""
+def _means(cells: Cells, dim: int, x: np.ndarray, wanted: int) -> np.ndarray:
+    """That many pivots at most: means of the vectors that are nearest to each, moved TURNS times."""
+    p = np.unique(x, axis=0)
+    p = p[np.linspace(0, len(p) - 1, min(wanted, len(p))).astype(int)]
+    for _ in range(TURNS):
+        cells.pivots[dim] = p
+        near = cells.distances(x).argmin(axis=1)
+        p = np.array([x[near == k].mean(axis=0) for k in range(len(p)) if (near == k).any()])
+    return p
+
+
+def _copies(cells: Cells, dim: int, v: np.ndarray, probes: int) -> float:
+    """How many groups a vector goes to, as the sample tells: its first probes are anchors that look for their POSITIVES nearest in it."""
+    p, a = cells.pivots[dim], np.c_[v[:probes], np.zeros(min(probes, len(v)))]
+    x = cells.augmented(v)
+    far = cells.distances(a)
+    reach = np.sqrt(np.sort(np.maximum((x * x).sum(axis=1) - 2 * (a @ x.T) + (a * a).sum(axis=1)[:, None], 0), axis=1)[:, min(POSITIVES, len(v) - 1)])
+    group, own = far.argmin(axis=1), cells.distances(x)
+    cell = own.argmin(axis=1)
+    dist = own[np.arange(len(x)), cell]
+    needed = np.abs(far[:, cell] - dist) <= reach[:, None]
+    return sum(float(needed[group == g].any(axis=0).mean()) for g in np.unique(group)) * len(p) / max(1, len(np.unique(group)))
+
+
+def choose(rows: DataFrame, largest: float, anchors: int, n: int, longest: int) -> Cells:
+    """Pivots of each length that the sample holds: LEAST_PIVOTS or a doubling of them, the cheapest by the copies and products that the sample makes expect. Where no bound rules anything out, the fewest."""
     size = max(MOST_PIVOTS, min(SAMPLE, SAMPLED // max(1, longest)))
     by_dim: dict[int, list] = {}
     for r in rows.orderBy(F.xxhash64("embedding"), "embedding").limit(size).select("embedding").collect():
         by_dim.setdefault(len(r[0]), []).append(r[0])
     cells = Cells({}, largest)
-    for dim, v in by_dim.items():
-        x = cells.augmented(np.floor(np.array(v, np.float64).reshape(len(v), dim) * SCALE))
-        p = np.unique(x, axis=0)
-        p = p[np.linspace(0, len(p) - 1, min(wanted, len(p))).astype(int)]
-        for _ in range(TURNS):
-            cells.pivots[dim] = p
-            near = cells.distances(x).argmin(axis=1)
-            p = np.array([x[near == k].mean(axis=0) for k in range(len(p)) if (near == k).any()])
-        cells.pivots[dim] = p
+    for dim, found in by_dim.items():
+        v = np.floor(np.array(found, np.float64).reshape(len(found), dim) * SCALE)
+        x, best, least, wanted = cells.augmented(v), None, np.inf, LEAST_PIVOTS
+        while wanted <= MOST_PIVOTS:
+            p = cells.pivots[dim] = _means(cells, dim, x, wanted)
+            copies = _copies(cells, dim, v, PROBES)
+            cost = n * copies * COPY_COST + n * anchors * copies / len(p) * PAIR_COST
+            if cost < least:
+                best, least = p, cost
+            if len(p) < wanted:
+                break
+            wanted *= 2
+        cells.pivots[dim] = best
     return Cells(cells.pivots, largest)
 
 
@@ -226,12 +256,12 @@ def mine(vectors: DataFrame) -> DataFrame:
     spark, work = vectors.sparkSession, Workspace(vectors.sparkSession, "hard-negatives")
     rows = work.write(prepared(vectors), "rows")
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + (F.abs(x.cast("double")) * SCALE + 1) * (F.abs(x.cast("double")) * SCALE + 1))
-    known = rows.agg(F.sqrt(F.max(squares)).alias("m"), F.max(F.size("embedding")).alias("dim"), F.sum((F.col("vec_id") % ANCHORS == 0).cast("long")).alias("anchors")).first()
+    known = rows.agg(F.sqrt(F.max(squares)).alias("m"), F.max(F.size("embedding")).alias("dim"), F.sum((F.col("vec_id") % ANCHORS == 0).cast("long")).alias("anchors"), F.count("*").alias("n")).first()
     if not known["anchors"]:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     # an anchor's own id can be among the first so many times
     again = rows.groupBy("vec_id", "label").count().agg(F.max("count")).first()[0]
-    cells = choose(rows, known["m"], max(LEAST_PIVOTS, min(MOST_PIVOTS, known["anchors"] // ANCHORS_PER_PIVOT)), known["dim"])
+    cells = choose(rows, known["m"], known["anchors"], known["n"], known["dim"])
     anchors = rows.where(F.col("vec_id") % ANCHORS == 0)
     classes = anchors.select("label", "embedding").distinct().select(F.monotonically_increasing_id().alias("cls"), "label", "embedding")
     classes = work.write(placed(classes, cells, anchors=True).withColumnRenamed("cell", "grp"), "classes")
