@@ -72,8 +72,8 @@ def letter_codes(text: str) -> np.ndarray:
     return codes[codes != DROP]
 
 
-def split_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The words' codes, START first in each, the length of each, and where the last word begins. A run of one-letter words is one word."""
+def split_words(codes: np.ndarray, headless: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words' codes, START first in each (but in the first if it is headless), the length of each, and where the last word begins. A run of one-letter words is one word."""
     letter = codes != SPACE
     edge = np.flatnonzero(np.diff(np.r_[False, letter, False].astype(np.int8)))
     size = edge[1::2] - edge[::2]
@@ -84,7 +84,10 @@ def split_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     fresh[1:] = ~(alone[1:] & alone[:-1])
     first = np.flatnonzero(fresh)
     size = np.add.reduceat(size, first)
-    return *in_windows(np.insert(codes[letter], np.cumsum(size) - size, START), size + 1), int(edge[::2][first[-1]])
+    words, size = np.insert(codes[letter], np.cumsum(size) - size, START), size + 1
+    if headless:
+        words, size = words[1:], np.r_[size[0] - 1, size[1:]]
+    return words, size, int(edge[::2][first[-1]])
 
 
 def in_windows(codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,18 +103,34 @@ def in_windows(codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The words' codes and the length of each. Signs inside a word are dropped."""
-    return split_words(letter_codes(text))[:2]
+    return in_windows(*split_words(letter_codes(text))[:2])
 
 
 def encoded_parts(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """encode() in parts. The last word of a part, which may go on, is taken over into the next, so parts give the words of the whole text."""
-    carried = np.zeros(0, np.uint8)
+    """encode() in parts that give the words of the whole text. The last word of a part, which may go on, is taken over into the next; of a long one only what its windows to come need, headless then."""
+    carried, headless = np.zeros(0, np.uint8), False
     for at in range(0, len(text), SLICE_CHARS):
         codes = np.concatenate([carried, letter_codes(text[at : at + SLICE_CHARS])])
-        if at + SLICE_CHARS < len(text):
-            last = split_words(codes)[2]
-            codes, carried = codes[:last], codes[last:]
-        yield split_words(codes)[:2]
+        words, size, last = split_words(codes, headless)
+        if at + SLICE_CHARS >= len(text):
+            yield in_windows(words, size)
+            return
+        raw = codes[last:]
+        carried = raw[(raw != SPACE) | (np.r_[False, raw[:-1] != SPACE])]  # one space says as much as many
+        if not len(size):
+            carried, headless = carried[:0], False
+            continue
+        headless, own, begin = headless and len(size) == 1, int(size[-1]), int(size[:-1].sum())
+        # windows that end more than STEP before what is known, of which the last letter can turn out to begin another word
+        done = max(0, (own - 1 - WINDOW - STEP) // STEP + 1)
+        if done:
+            ready = words[begin + (STEP * np.arange(done)[:, None] + np.arange(WINDOW)).ravel()]
+            letters = np.flatnonzero(carried != SPACE)
+            carried, headless = carried[letters[STEP * done - (not headless)] :], True
+        else:
+            ready = words[:0]
+        head, length = in_windows(words[:begin], size[:-1])
+        yield np.concatenate([head, ready]), np.r_[length, np.full(done, WINDOW)].astype(np.int64)
 
 
 def word_norms(size: np.ndarray) -> np.ndarray:
