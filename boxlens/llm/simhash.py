@@ -260,6 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with one row of each group of near copies (five words, similarity 0.8 or more): the one of the least id, then least text hash; of rows equal in both, one. Candidates share a group of fingerprints within RADIUS bits or, for what 64 bits do not reach, a key of near_copies; their sets decide. Rows with a null id stay. All columns stay. No rows: no rows."""
     kept = representatives(docs, width).select(F.col("doc_id").alias("k_doc"), F.col("h").alias("k_h")).hint("merge")
-    h = F.xxhash64(F.col("text").cast("string"))
-    one = docs.withColumn("_h", h).join(kept, (F.col("doc_id").cast("long") == F.col("k_doc")) & (F.col("_h") == F.col("k_h")), "left_semi").dropDuplicates(["doc_id", "_h"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    # the row as a struct, so that no column of it meets the names used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    one = rows.join(kept, (F.col("_doc") == F.col("k_doc")) & (F.col("_h") == F.col("k_h")), "left_semi").dropDuplicates(["_doc", "_h"])
+    return one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))

@@ -65,7 +65,10 @@ def cut_out(docs: DataFrame, spans: DataFrame, split: Callable[[bytes], list[byt
 
 
 def with_text(cut: DataFrame, columns: list[str]) -> DataFrame:
-    """The original columns, with the kept text, and its length in n_chars where something was removed."""
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_rest.n_chars")) if "n_chars" in columns else None
+    """The original columns in their types, with the kept text, and its length in n_chars where something was removed."""
+    length = None
+    if "n_chars" in columns:
+        own = cut.schema["_rest"].dataType["n_chars"].dataType
+        length = F.when(F.col("n_removed") > 0, F.length("text").cast(own)).otherwise(F.col("_rest.n_chars"))
     new = {"text": F.col("text"), "n_chars": length}
     return cut.select(*[new[c].alias(c) if c in new else F.col(f"_rest.`{c}`").alias(c) for c in columns])
