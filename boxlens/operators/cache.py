@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxlens.operators.running import range_cuts, running
+from boxlens.tables import written
 
 KEY = ["dataid", "scale", "x", "y"]
 SUPPORT_MARGIN = 1e-4
@@ -40,6 +43,34 @@ def dedupe(rows: DataFrame, vector: list[str]) -> DataFrame:
     return rows.groupBy(*KEY, *vector).agg(F.min("eid").alias("eid"), F.count("*").alias("copies"))
 
 
+def block_digest(column: str = "blocks") -> Column:
+    """Of an entry's blocks, whatever order they were stored in."""
+    return F.xxhash64(F.sort_array(column))
+
+
+def dedupe_vectors(entries: DataFrame, keys: list[str], digest: Callable[[], Column] = block_digest) -> DataFrame:
+    """One row (keys, eid, copies, n_blocks, n_values) of each key and feature vector: the least eid.
+
+    entries: keys, eid, blocks (array of bl, f), only blocks that are stored; their order does not matter. Keys and digests are
+    shuffled first, without the vectors. Vectors move only for the digests that several entries of a key share, and then they
+    are compared as they are: equal digests of different vectors stay apart.
+    """
+    some = written(entries.select(*keys, "eid", digest().alias("_digest"), F.sort_array("blocks").alias("blocks")), "entries")
+    sizes = [F.size("blocks").alias("n_blocks"), F.aggregate("blocks", F.lit(0), lambda n, b: n + F.size(b["f"])).alias("n_values")]
+    narrow = some.select(*keys, "eid", "_digest", *sizes)
+    groups = written(narrow.groupBy(*keys, "_digest").agg(F.count("*").alias("copies"), F.min(F.struct("eid", "n_blocks", "n_values")).alias("e")), "digests")
+    alone = groups.where("copies = 1").select(*keys, "e.eid", "copies", "e.n_blocks", "e.n_values")
+    shared = some.join(groups.where("copies > 1").select(*keys, "_digest"), [*keys, "_digest"], "left_semi")
+    compared = shared.groupBy(*keys, "_digest", "blocks").agg(F.min("eid").alias("eid"), F.count("*").alias("copies"))
+    return alone.unionByName(compared.select(*keys, "eid", "copies", *sizes))
+
+
+def block_store(entries: DataFrame) -> DataFrame:
+    """(bl, f, eid, uses): each block's different vectors once, with the least entry that holds it and how many do."""
+    each = entries.select("eid", F.explode("blocks").alias("b"))
+    return each.groupBy("b.bl", "b.f").agg(F.min("eid").alias("eid"), F.count("*").alias("uses"))
+
+
 def info_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("is_belief").agg(F.count("*").alias("entries"), F.countDistinct(F.struct(*KEY)).alias("examples"), F.sum("byte_size").cast("long").alias("bytes"))
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxlens.operators.sums import summed
+
 
 def block_scores(weights: DataFrame, features: DataFrame) -> DataFrame:
     """(det_id, block, score): weight times feature, summed by block. Both in long form: (block, idx, w) and (det_id, block, idx, f); weights are the model's."""
@@ -73,7 +75,7 @@ def staged(candidates: DataFrame, order: list[str], thresholds: list[float], fin
 
 
 def gram(vectors: DataFrame, column: str, dims: int) -> np.ndarray:
-    """Mean outer product, not centred: a matrix a task, summed."""
+    """Mean outer product, not centred: a matrix a task, added on the executors."""
 
     def run(batches):
         total, n = np.zeros((dims, dims)), 0
@@ -81,11 +83,10 @@ def gram(vectors: DataFrame, column: str, dims: int) -> np.ndarray:
             if len(d):
                 x = np.stack(d[column].to_numpy()).astype(np.float64)
                 total, n = total + x.T @ x, n + len(x)
-        yield pd.DataFrame({"g": [total.ravel().tolist()], "n": [n]})
+        yield pd.DataFrame({"g": [[*total.ravel(), float(n)]]})
 
-    parts = vectors.select(column).mapInPandas(run, "g array<double>, n long").toPandas()
-    n = max(1, int(parts["n"].sum()))
-    return np.sum([np.array(g) for g in parts["g"]], axis=0).reshape(dims, dims) / n if len(parts) else np.zeros((dims, dims))
+    found = summed(vectors.select(column).mapInPandas(run, "g array<double>"), "g", dims * dims + 1)
+    return found[:-1].reshape(dims, dims) / max(1.0, found[-1])
 
 
 def principal(gram_matrix: np.ndarray, k: int) -> np.ndarray:
@@ -130,3 +131,53 @@ def projected(levels: DataFrame, basis: np.ndarray) -> DataFrame:
             yield d
 
     return levels.mapInPandas(run, levels.schema)
+
+
+def low_rank_survivors(vectors: DataFrame, key: str, column: str, filters: dict[int, np.ndarray], thresholds: dict[int, float], basis: np.ndarray, stages: list[int]) -> DataFrame:
+    """(key, filter, projected): the pairs whose product with the filter can reach its threshold.
+
+    basis (dims, k): orthonormal directions, those of most energy first. Stage by stage more of them are projected on; what is left
+    of a vector and a filter is no longer than the lengths tell, so their product is no more than the projected one and the product
+    of what is left. A pair that this bound rules out is not looked at again; none that reaches the threshold is lost.
+    """
+    names = sorted(filters)
+    f = np.array([filters[k] for k in names], np.float64)
+    pf, limit = f @ basis, np.array([thresholds[k] for k in names])
+    rest = [np.sqrt(np.maximum((f * f).sum(axis=1) - (pf[:, :k] ** 2).sum(axis=1), 0)) for k in stages]
+    size = np.sqrt((f * f).sum(axis=1))
+
+    def run(batches):
+        for d in batches:
+            if not len(d):
+                continue
+            x = np.stack(d[column].to_numpy()).astype(np.float64)
+            px, square = x @ basis, (x * x).sum(axis=1)
+            row, col = np.divmod(np.arange(len(x) * len(f)), len(f))
+            value, done = np.zeros(len(row)), 0
+            for k, of_filter in zip(stages, rest, strict=True):
+                value = value + (px[row, done:k] * pf[col, done:k]).sum(axis=1)
+                done = k
+                own = np.sqrt(np.maximum(square - (px[:, :k] ** 2).sum(axis=1), 0))
+                slack = 1e-9 * np.sqrt(square[row]) * size[col]
+                at = np.flatnonzero(value + own[row] * of_filter[col] + slack >= limit[col])
+                row, col, value = row[at], col[at], value[at]
+            yield pd.DataFrame({key: d[key].to_numpy()[row], "filter": np.array(names)[col], "projected": value})
+
+    return vectors.select(key, column).mapInPandas(run, f"{key} {dict(vectors.dtypes)[key]}, filter long, projected double")
+
+
+def low_rank_cascade(vectors: DataFrame, key: str, column: str, filters: dict[int, np.ndarray], thresholds: dict[int, float], basis: np.ndarray, stages: list[int]) -> DataFrame:
+    """(key, filter, score) of the pairs whose whole product is at least the filter's threshold: projected products for all, whole ones for what the bounds leave. Filters and directions are the model's, so bounded."""
+    names = sorted(filters)
+    left = low_rank_survivors(vectors, key, column, filters, thresholds, basis, stages)
+    whole = vectors.select(key, column).join(left.select(key, "filter"), key)
+
+    def run(batches):
+        for d in batches:
+            if len(d):
+                x, at = np.stack(d[column].to_numpy()).astype(np.float64), d["filter"].to_numpy()
+                score = (x * np.array([filters[k] for k in names], np.float64)[np.searchsorted(names, at)]).sum(axis=1)
+                good = score >= np.array([thresholds[k] for k in names])[np.searchsorted(names, at)]
+                yield pd.DataFrame({key: d[key], "filter": at, "score": score})[good]
+
+    return whole.mapInPandas(run, f"{key} {dict(vectors.dtypes)[key]}, filter long, score double")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlens.operators.matching import claims
+from boxlens.operators.matching import best_match, claims
+from boxlens.operators.ranking import top_k
 from boxlens.operators.running import best_from_here, range_cuts, running
 from boxlens.tables import written
 
@@ -49,17 +52,13 @@ def score_order() -> list:
     return [F.desc("score"), F.desc("det_id")]
 
 
-def ap_per_class(det: DataFrame, gt: DataFrame) -> DataFrame:
+def ap_of_outcomes(outcomes: DataFrame, gt: DataFrame) -> DataFrame:
     npos = positives(gt, ["cls_id"])
-    return average_precision(curve(outcomes_of(det, gt), npos, ["cls_id"]), npos, ["cls_id"])
+    return average_precision(curve(outcomes, npos, ["cls_id"]), npos, ["cls_id"])
 
 
-def bootstrap_ap(det: DataFrame, gt: DataFrame, draws: DataFrame) -> DataFrame:
-    """AP of each class over resampled images: draws (replicate, image_id, times). A drawn image counts as often as it was drawn. Outcomes are found once, not for each replicate."""
-    keys = ["replicate", "cls_id"]
-    npos = gt.join(draws, "image_id").groupBy(*keys).agg(F.sum(F.when(~F.col("difficult"), F.col("times")).otherwise(0)).cast("long").alias("npos"))
-    drawn = outcomes_of(det, gt).join(draws, "image_id")
-    return average_precision(with_precision(counted(drawn, keys, "times")), npos, keys, "times")
+def ap_per_class(det: DataFrame, gt: DataFrame) -> DataFrame:
+    return ap_of_outcomes(outcomes_of(det, gt), gt)
 
 
 def paired_sign_test(differences: DataFrame, unit: str, flips: int, seed: int = 1) -> DataFrame:
@@ -79,3 +78,44 @@ def error_buckets(det: DataFrame, gt: DataFrame) -> DataFrame:
     wrong = found.where("outcome = 'fp'").select("cls_id", F.when(F.col("gt_id").isNull(), "false_positive").otherwise("multiple_detection").alias("bucket"))
     missed = gt.where(~F.col("difficult")).join(found.where("outcome = 'tp'").select("gt_id"), "gt_id", "left_anti").select("cls_id", F.lit("missed").alias("bucket"))
     return wrong.unionByName(missed).groupBy("bucket", "cls_id").agg(F.count("*").alias("n"))
+
+
+@dataclass
+class Errors:
+    """of: the listing of wrong detections; missed: objects that no listed detection claims."""
+
+    of: DataFrame
+    missed: DataFrame
+
+
+def error_listing(det: DataFrame, gt: DataFrame, listed: int = 2000, most_recall: float = 0.6, least_iou: float = 0.5) -> Errors:
+    """What a reader of an evaluation looks at: the wrong ones among the first detections of each class, and what these miss.
+
+    of: (cls_id, rank, det_id, image_id, score, kind, overlap, gt_id, claimant, recall, precision) of each wrong detection
+    among the class's first listed ones, as long as recall is at most most_recall. kind is multiple_detection where the object
+    that it matches was claimed, by the claimant, and false_positive elsewhere; overlap and gt_id are of the best match, null
+    without one. missed: (cls_id, image_id, gt_id, overlap, det_id) of each object that is not difficult and that no listed
+    detection claims, with the best overlap of those that match it best. The first of a class stay with each task before
+    any shuffle, so only they are matched.
+    """
+    first = written(top_k(det, ["cls_id"], score_order(), listed).select("cls_id", "rank", "det_id", "image_id", "score", "x1", "y1", "x2", "y2"), "listed")
+    matched = best_match(first, gt).select("det_id", "gt_id", "difficult", F.col("iou").alias("overlap"))
+    turn = F.row_number().over(Window.partitionBy("image_id", "gt_id", F.col("overlap") >= least_iou).orderBy("rank"))
+    hit = F.col("overlap") >= least_iou
+    outcome = F.when(~F.coalesce(hit, F.lit(False)), "false_positive").when(F.col("difficult"), "ignored").when(turn == 1, "tp").otherwise("multiple_detection")
+    found = written(first.join(matched, "det_id", "left").withColumn("kind", outcome), "kinds")
+    upto = Window.partitionBy("cls_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # listed rows a class at most
+    tp = F.sum((F.col("kind") == "tp").cast("long")).over(upto)
+    fp = F.sum(F.col("kind").isin("false_positive", "multiple_detection").cast("long")).over(upto)
+    npos = positives(gt, ["cls_id"])
+    scored = found.withColumn("tp", tp).withColumn("fp", fp).join(F.broadcast(npos), "cls_id")  # a row a class
+    scored = scored.withColumn("recall", F.col("tp").cast("double") / F.col("npos")).withColumn("precision", F.col("tp").cast("double") / (F.col("tp") + F.col("fp")))
+    claimed = found.where("kind = 'tp'").select("image_id", "gt_id", F.col("det_id").alias("claimant"))
+    wrong = scored.where(F.col("kind").isin("false_positive", "multiple_detection") & (F.coalesce("recall", F.lit(0.0)) <= most_recall))
+    of = wrong.join(claimed, ["image_id", "gt_id"], "left").withColumn("claimant", F.when(F.col("kind") == "multiple_detection", F.col("claimant")))
+    best = found.where("gt_id is not null").groupBy("image_id", "gt_id").agg(F.max_by(F.struct("overlap", "det_id"), F.struct("overlap", -F.col("rank"))).alias("b"))
+    missed = gt.where(~F.col("difficult")).join(claimed, ["image_id", "gt_id"], "left_anti").join(best, ["image_id", "gt_id"], "left")
+    return Errors(
+        of.select("cls_id", "rank", "det_id", "image_id", "score", "kind", "overlap", "gt_id", "claimant", "recall", "precision"),
+        missed.select("cls_id", "image_id", "gt_id", F.col("b.overlap").alias("overlap"), F.col("b.det_id").alias("det_id")),
+    )

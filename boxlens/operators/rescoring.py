@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlens.functions.boxes import sigmoid
+from boxlens.operators.sums import summed
 
 TARGETS = ("x1", "y1", "x2", "y2")
 SCORE_FLOOR = -1.1
@@ -97,29 +98,28 @@ def context_features(det: DataFrame, maxima: DataFrame, w: int, h: int, classes:
 def fit_context(rows: DataFrame, positive_weight: float = 2.0, steps: int = 40, ridge: float = 1e-3) -> np.ndarray:
     """A linear machine over products of features up to the second degree and cubes, in place of a kernel machine of degree 3: weights for (x, label -1 or 1; 0 is left out). Each step is a pass that sums gradients where rows lie."""
     data = rows.where("label <> 0").select("x", "label")
+    first = data.select(F.size("x").alias("n")).first()
+    if not first:
+        return np.zeros(0)
+    width = expanded(np.zeros((1, first["n"]))).shape[1]
 
     def gradient(w):
         def run(batches):
-            total, n = None, 0.0
+            total, n = np.zeros(width), 0.0
             for d in batches:
                 if len(d):
                     z, y = expanded(np.stack(d["x"].to_numpy())), d["label"].to_numpy(np.float64)
-                    c = np.where(y > 0, positive_weight, 1.0) * np.maximum(0, 1 - y * (z @ w)) if w is not None else np.where(y > 0, positive_weight, 1.0)
-                    part = -(c * y) @ z
-                    total, n = part if total is None else total + part, n + len(d)
+                    c = np.where(y > 0, positive_weight, 1.0) * np.maximum(0, 1 - y * (z @ w))
+                    total, n = total - (c * y) @ z, n + len(d)
             if n:
-                yield pd.DataFrame({"g": [total.tolist()], "n": [n]})
+                yield pd.DataFrame({"g": [[*total, n]]})
 
-        return data.mapInPandas(run, "g array<double>, n double")
+        found = summed(data.mapInPandas(run, "g array<double>"), "g", width + 1)
+        return found[:-1] / found[-1]
 
-    w, speed = None, 0.0
+    w = speed = np.zeros(width)
     for _ in range(steps):
-        parts = gradient(w).toPandas()  # a vector a task
-        if parts.empty:
-            return np.zeros(0)
-        g = np.sum([np.array(v) for v in parts["g"]], axis=0) / parts["n"].sum()
-        w = np.zeros_like(g) if w is None else w
-        speed = 0.9 * speed - 0.1 * (g + ridge * w)
+        speed = 0.9 * speed - 0.1 * (gradient(w) + ridge * w)
         w = w + speed
     return w
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlens.functions.boxes import area, clipped, iou, mirrored
+from boxlens.functions.boxes import area, clipped, intersects, iou, mirrored
 
 
 def clip(det: DataFrame, w: int, h: int) -> DataFrame:
@@ -73,6 +73,23 @@ def output_losses(cells: DataFrame, own: DataFrame, others: DataFrame, least_own
     return found.where("own is not null").select("example_id", "cell_id", F.when(bad, F.lit(float("-inf"))).otherwise(loss(F.col("own"))).alias("loss"))
 
 
+def loss_field(windows: DataFrame, boxes: DataFrame, keys: list[str], window: str, box: str, least_own: float = 0.1, most_other: float = 0.5) -> DataFrame:
+    """output_losses where every box is an example and all windows of equal keys are its cells: (example_id, cell_id, loss).
+
+    How many boxes a window overlaps too much is counted once for each window; whether others than the example's own are among
+    them is then a difference, so no row stands for an example, a window and another box.
+    """
+    sides = ("x1", "y1", "x2", "y2")
+    side = lambda df, p: df.select(*keys, *[F.col(c).alias(p + c) for c in df.columns if c not in keys])
+    w, b = side(windows.select(*keys, window, *sides), "w_"), side(boxes.select(*keys, box, *sides), "b_")
+    close = w.join(b, keys).where(intersects("w_", "b_") & (iou("w_", "b_") >= most_other))
+    crowd = close.groupBy(*keys, f"w_{window}").agg(F.count("*").alias("_close"))
+    own = w.join(crowd, [*keys, f"w_{window}"], "left").join(b, keys).withColumn("_own", iou("w_", "b_"))
+    others = F.coalesce("_close", F.lit(0)) - (F.col("_own") >= most_other).cast("int")
+    value = F.when((others > 0) | (F.col("_own") < least_own), F.lit(float("-inf"))).otherwise(loss(F.col("_own")))
+    return own.select(F.col(f"b_{box}").alias("example_id"), F.col(f"w_{window}").alias("cell_id"), value.alias("loss"))
+
+
 def live_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks that learn or have a weight other than zero."""
     return blocks.where((F.col("learn") != 0) | F.exists("w", lambda v: v != 0))

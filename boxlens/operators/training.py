@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxlens.operators.sums import summed
+
 Objective = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
 
@@ -64,7 +66,7 @@ def lbfgs(objective: Objective, start: np.ndarray, lower: np.ndarray | None = No
 
 
 def latent_objective(cache: DataFrame, c: float, regularisation: np.ndarray) -> Objective:
-    """c times the sum over examples of (best of score + loss, less the belief's score), and half the squared weights. cache: example_id, is_belief, loss, x. Its rows are dealt and sorted by example and kept until the objective's release() is called; each call is one pass that holds a batch and the example left open by the one before, and a gradient a task comes to the driver."""
+    """c times the sum over examples of (best of score + loss, less the belief's score), and half the squared weights. cache: example_id, is_belief, loss, x. Its rows are dealt and sorted by example and kept until the objective's release() is called; each call is one pass that holds a batch and the example left open by the one before; gradients are added on the executors."""
     grouped = cache.select("example_id", "is_belief", "loss", "x").repartition("example_id").sortWithinPartitions("example_id").persist()
 
     def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
@@ -86,12 +88,10 @@ def latent_objective(cache: DataFrame, c: float, regularisation: np.ndarray) ->
                         value, g = value + raised, g + top
                     last, raised, top = ids[i], float(lossy[i]), x[i]
             if top is not None:
-                yield pd.DataFrame({"v": [value + raised], "g": [(g + top).tolist()]})
+                yield pd.DataFrame({"a": [[value + raised, *(g + top)]]})
 
-        parts = grouped.mapInPandas(run, "v double, g array<double>").toPandas()
-        value = 0.5 * float((regularisation * w * w).sum()) + c * float(parts["v"].sum())
-        g = regularisation * w + (c * np.sum([np.array(v) for v in parts["g"]], axis=0) if len(parts) else 0)
-        return value, g
+        found = summed(grouped.mapInPandas(run, "a array<double>"), "a", len(w) + 1)
+        return 0.5 * float((regularisation * w * w).sum()) + c * found[0], regularisation * w + c * found[1:]
 
     objective.release = grouped.unpersist
     return objective

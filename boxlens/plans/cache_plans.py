@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from boxlens.operators import cache, cascade, rescoring
+from boxlens.operators import cache, cascade, evaluation, kernel_machine, mirrors, ranking, rescoring
 from boxlens.plans.detection_plans import PARTS_SQL, parts_of
 from boxlens.plans.registry import query
 from boxlens.sources.fixtures import CACHE_SQL, CLASSES, DET_SQL, HEIGHT, WIDTH, cache_info, det, gt, read
@@ -18,6 +19,34 @@ def cache_dedupe(spark, sf_dir):
     return cache.dedupe(cache_info(spark, sf_dir), ["byte_size"])
 
 
+BLOCKS, BLOCK_SIZE = 16, 4
+
+
+def entries(spark, sf_dir, blocks=BLOCKS):
+    """Cache entries of the vectors: blocks of signs; a block without a positive sign is not stored."""
+    piece = lambda k: F.struct(F.lit(k).alias("bl"), F.transform(F.slice("embedding", 1 + BLOCK_SIZE * k, BLOCK_SIZE), lambda x: F.greatest(F.signum(x.cast("double")), F.lit(0.0))).alias("f"))
+    stored = F.filter(F.array(*[piece(k) for k in range(blocks)]), lambda b: F.exists(b["f"], lambda x: x > 0))
+    return read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("dataid"), F.col("vec_id").alias("eid"), stored.alias("blocks"))
+
+
+def _entries_sql(blocks: int) -> str:
+    return f"""signs AS (SELECT CAST(label AS BIGINT) AS dataid, vec_id AS eid, bl, list_transform(embedding[1 + {BLOCK_SIZE} * bl : {BLOCK_SIZE} * (bl + 1)], lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS f
+  FROM embeddings, (SELECT CAST(range AS INT) AS bl FROM range({blocks}))), stored AS (SELECT * FROM signs WHERE list_max(f) > 0)"""
+
+
+@query(f"""WITH {_entries_sql(2)}, e AS (SELECT dataid, vec_id AS eid, b, coalesce(len(b), 0) AS n FROM (SELECT CAST(label AS BIGINT) AS dataid, vec_id FROM embeddings) LEFT JOIN (SELECT eid, list({{'bl': bl, 'f': f}} ORDER BY bl) AS b FROM stored GROUP BY eid) ON vec_id = eid)
+SELECT dataid, min(eid) AS eid, count(*) AS copies, CAST(n AS INT) AS n_blocks, CAST(n * {BLOCK_SIZE} AS INT) AS n_values FROM e GROUP BY dataid, b, n""")
+def cache_dedupe_vectors(spark, sf_dir):
+    """Feature vectors of two blocks, equal ones of an image once."""
+    return cache.dedupe_vectors(entries(spark, sf_dir, 2), ["dataid"])
+
+
+@query(f"WITH {_entries_sql(BLOCKS)} SELECT bl, array_to_string(list_transform(f, lambda x: CAST(x AS INT)), '') AS f, min(eid) AS eid, count(*) AS uses FROM stored GROUP BY bl, f")
+def cache_block_store(spark, sf_dir):
+    """Each block's different vectors, stored once."""
+    return cache.block_store(entries(spark, sf_dir)).withColumn("f", F.array_join(F.transform("f", lambda x: x.cast("int").cast("string")), ""))
+
+
 @query(f"WITH {DET_SQL}, {CACHE_SQL} SELECT is_belief, count(*) AS entries, count(DISTINCT (dataid, scale, x, y)) AS examples, CAST(sum(byte_size) AS BIGINT) AS bytes FROM cache_info GROUP BY is_belief")
 def cache_info_stats(spark, sf_dir):
     return cache.info_stats(cache_info(spark, sf_dir))
@@ -225,3 +254,52 @@ def cascade_mixed_thresholds(spark, sf_dir):
     projected = d.select("det_id", whole(F.col("x2") % 13).alias("q0"), whole(F.col("y2") % 9).alias("q1"), whole(F.col("det_id") % 5).alias("q2"), whole((F.col("x1") + F.col("y1")) % 7).alias("q3"))
     both = part_scores(spark, sf_dir).join(projected, "det_id")
     return cascade.mixed_thresholds(both, ["q0", "q1", "q2", "q3"], ["p1", "p0", "p3", "p2"], 10.0, 1.0, 2.0)
+
+
+FILTERS, STAGES, SHARE = 10, [16, 32, 48, 60], 0.4
+
+
+def low_rank_parts(spark, sf_dir):
+    """The first vectors as filters, thresholds at a share of their own product, and the directions of most energy of all vectors."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    filters = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in rows.where(F.col("vec_id") < FILTERS).collect()}
+    basis = cascade.principal(cascade.gram(rows, "embedding", len(next(iter(filters.values())))), STAGES[-1])
+    return rows, filters, {k: SHARE * float(f @ f) for k, f in filters.items()}, basis
+
+
+@query(f"""WITH p AS (SELECT a.vec_id, b.vec_id AS filter, list_inner_product(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))) AS s,
+  list_inner_product(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))) AS own FROM embeddings a, embeddings b WHERE b.vec_id < {FILTERS})
+SELECT vec_id, filter, round(s, 6) AS score FROM p WHERE s >= {SHARE}::DOUBLE * own""")
+def low_rank_cascade(spark, sf_dir):
+    """Vectors whose product with a filter reaches its threshold, by projected products first."""
+    rows, filters, thresholds, basis = low_rank_parts(spark, sf_dir)
+    return cascade.low_rank_cascade(rows, "vec_id", "embedding", filters, thresholds, basis, STAGES).withColumn("score", F.round("score", 6))
+
+
+@query()
+def mirror_split(spark, sf_dir):
+    """Which vectors to turn, the mirror image being the reversed vector."""
+    rows = read(spark, sf_dir, "embeddings")
+    dims = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    found, _ = mirrors.mirrored_split(rows, "vec_id", "embedding", list(range(dims))[::-1])
+    return found
+
+
+TOP_PER_CLASS = 50_000
+
+
+def context_kernel(spark, sf_dir):
+    """Each class's kernel machine of degree 3 over its detections, the first TOP_PER_CLASS and those equal to the last of them: its duality gap, and the average precision with the scores as they were and rescored."""
+    from boxlens.operators.matching import claim_labels
+
+    g = gt(spark, sf_dir)
+    d = written(ranking.top_with_ties(det(spark, sf_dir), ["cls_id"], "score", TOP_PER_CLASS), "first")
+    x = rescoring.context_features(d, rescoring.class_maxima(d, CLASSES), WIDTH, HEIGHT, CLASSES)
+    rows = d.select("cls_id", "det_id").join(x, "det_id").join(claim_labels(d, g), "det_id")
+    rows = written(rows.select("cls_id", F.col("det_id").alias("row_id"), "label", "x"), "context-rows")
+    support, report = kernel_machine.fit(rows)
+    scores = kernel_machine.rescore(rows, support).select(F.col("row_id").alias("det_id"), "score")
+    rescored = d.drop("score").join(scores, "det_id")
+    before = evaluation.ap_per_class(d, g).select("cls_id", F.col("ap").alias("ap"))
+    after = evaluation.ap_per_class(rescored, g).select("cls_id", F.col("ap").alias("ap_rescored"))
+    return report.join(before, "cls_id").join(after, "cls_id")

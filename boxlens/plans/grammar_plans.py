@@ -114,16 +114,7 @@ bad AS (SELECT DISTINCT a.example_id, a.cell_id FROM c a JOIN gt b ON a.image_id
 SELECT c.example_id, c.cell_id, CASE WHEN own < 0.1 OR bad.cell_id IS NOT NULL THEN -1e9 WHEN own < 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS loss FROM c LEFT JOIN bad ON c.example_id = bad.example_id AND c.cell_id = bad.cell_id""")
 def loss_field(spark, sf_dir):
     """Every object is an example, the detections of its image and class its windows. Minus infinity is shown as -1e9."""
-    g = gt(spark, sf_dir)
-    return losses(det(spark, sf_dir), g, g)
-
-
-def losses(d, g, examples):
-    sides = ["x1", "y1", "x2", "y2"]
-    own = examples.withColumnRenamed("gt_id", "example_id")
-    windows = d.join(own.select("example_id", "image_id", "cls_id"), ["image_id", "cls_id"]).select("example_id", F.col("det_id").alias("cell_id"), *sides)
-    others = own.select("example_id", "image_id", "cls_id").join(g, ["image_id", "cls_id"]).where("gt_id <> example_id").select("example_id", *sides)
-    found = selection.output_losses(windows, own.select("example_id", *sides), others)
+    found = selection.loss_field(det(spark, sf_dir), gt(spark, sf_dir), ["image_id", "cls_id"], "det_id", "gt_id")
     return found.withColumn("loss", F.greatest("loss", F.lit(-1e9)))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,12 +9,12 @@ from pyspark.sql import functions as F
 from boxlens.plans.registry import query
 from boxlens.sources.fixtures import read
 from boxlens.streaming import detections
+from boxlens.tables import Workspace
 
 
 def _scratch(spark) -> str:
-    """In the folder that the cluster shares, where it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """In the folder that the cluster shares; gone when the application ends."""
+    return Workspace(spark, f"stream-{uuid.uuid4().hex}").root
 
 
 def _finished(spark, sf_dir, build):

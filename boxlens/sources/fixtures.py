@@ -74,3 +74,35 @@ def cache_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     beliefs = rows.where("is_mined = 1").groupBy("dataid", "scale", "x", "y").agg((-F.min("eid")).alias("eid"))
     beliefs = beliefs.select("eid", "dataid", "scale", "x", "y", F.lit(1).alias("is_belief"), F.lit(1).alias("is_mined"), F.lit(0).cast("long").alias("byte_size"), F.lit(0.0).alias("margin"))
     return rows.unionByName(beliefs)
+
+
+#: Scenes: wide images, one for SCENE_ORDERS orders, so that there are more of them as tables grow; a few of their boxes are very large.
+SCENE_ORDERS, SCENE_SIDE = 64, 2000
+_W_SIZE = "CASE WHEN l_orderkey % 97 = 0 THEN 12 ELSE 1 END"
+_B_SIZE = "CASE WHEN o_orderkey % 50 = 0 THEN 15 ELSE 1 END"
+_W_X, _W_Y = f"(l_partkey * 7919 + l_linenumber * 3571 + l_orderkey * 31) % {SCENE_SIDE}", f"(l_suppkey * 7919 + l_orderkey * 104729 + l_linenumber * 37) % {SCENE_SIDE}"
+_B_X, _B_Y = f"(o_orderkey * 7919 + o_custkey * 31) % {SCENE_SIDE}", f"(o_custkey * 7919 + o_orderkey * 104729) % {SCENE_SIDE}"
+
+SCENE_SQL = f"""windows AS (
+  SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS BIGINT) AS window_id, l_orderkey // {SCENE_ORDERS} AS image_id,
+    {_W_X} AS x1, {_W_Y} AS y1, {_W_X} + (19 + CAST(l_quantity AS BIGINT) * 3) * {_W_SIZE} AS x2, {_W_Y} + (19 + (l_partkey % 50) * 3) * {_W_SIZE} AS y2,
+    CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 4000 - 2000 AS DOUBLE) / 1000.0 AS score FROM lineitem),
+boxes AS (
+  SELECT o_orderkey AS box_id, o_orderkey // {SCENE_ORDERS} AS image_id, {_B_X} AS x1, {_B_Y} AS y1, {_B_X} + (39 + (o_custkey % 40) * 3) * {_B_SIZE} AS x2, {_B_Y} + (39 + (o_orderkey % 40) * 3) * {_B_SIZE} AS y2 FROM orders)"""
+
+
+def scene_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    memo = ("det", spark.conf.get("spark.sql.shuffle.partitions"), *version(spark, f"{sf_dir}/lineitem.parquet"))
+    rows = number_rows(read(spark, sf_dir, "lineitem"), DET_ORDER, "window_id", memo=memo)
+    return rows.selectExpr(
+        "window_id", f"l_orderkey div {SCENE_ORDERS} AS image_id", f"{_W_X} AS x1", f"{_W_Y} AS y1",
+        f"{_W_X} + (19 + CAST(l_quantity AS BIGINT) * 3) * {_W_SIZE} AS x2", f"{_W_Y} + (19 + (l_partkey % 50) * 3) * {_W_SIZE} AS y2",
+        "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 4000 - 2000 AS DOUBLE) / CAST(1000.0 AS DOUBLE) AS score",
+    )
+
+
+def scene_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS box_id", f"o_orderkey div {SCENE_ORDERS} AS image_id", f"{_B_X} AS x1", f"{_B_Y} AS y1",
+        f"{_B_X} + (39 + (o_custkey % 40) * 3) * {_B_SIZE} AS x2", f"{_B_Y} + (39 + (o_orderkey % 40) * 3) * {_B_SIZE} AS y2",
+    )

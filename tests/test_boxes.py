@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from boxlens.functions import boxes
-from boxlens.operators import evaluation, matching, ranking, running, selection, suppression
+from boxlens.operators import bootstrap, evaluation, matching, ranking, running, selection, suppression
 from pyspark.sql import functions as F
 
 DET = "det_id long, image_id long, cls_id long, x1 long, y1 long, x2 long, y2 long, score double"
@@ -63,7 +63,9 @@ def test_bootstrap_of_each_image_once_is_the_ap(spark):
     d, g = spark.createDataFrame(det, DET), spark.createDataFrame(gt, GT)
     draws = spark.createDataFrame([(0, k, 1) for k in range(3)], "replicate long, image_id long, times long")
     plain = {r["cls_id"]: r["ap"] for r in evaluation.ap_per_class(d, g).collect()}
-    assert {r["cls_id"]: r["ap"] for r in evaluation.bootstrap_ap(d, g, draws).collect()} == pytest.approx(plain)
+    drawn = bootstrap.resampled_ap(evaluation.outcomes_of(d, g), g, draws, 1).collect()
+    for replicate in (0, -1):
+        assert {r["cls_id"]: r["ap"] for r in drawn if r["replicate"] == replicate} == pytest.approx(plain)
 
 
 @settings(max_examples=60, deadline=None)
