@@ -288,6 +288,7 @@ def mirror_split(spark, sf_dir):
 TOP_PER_CLASS = 50_000
 
 
+@query()
 def context_kernel(spark, sf_dir):
     """Each class's kernel machine of degree 3 over its detections, the first TOP_PER_CLASS and those equal to the last of them: its duality gap, and the average precision with the scores as they were and rescored."""
     from boxlens.operators.matching import claim_labels
