@@ -62,13 +62,12 @@ def ap_per_class(det: DataFrame, gt: DataFrame) -> DataFrame:
 
 
 def paired_sign_test(differences: DataFrame, unit: str, flips: int, seed: int = 1) -> DataFrame:
-    """Two-sided randomisation test of mean(diff) = 0: (observed, extreme, p). Each round turns each unit's sign by the parity of a sum of digits of a hash both engines share."""
-    spark = differences.sparkSession
-    rounds = spark.range(flips).withColumnRenamed("id", "round")
-    # units are few (a class each); rounds spread
+    """Two-sided randomisation test of mean(diff) = 0: (observed, extreme, p). Each round turns each unit's sign by the parity of a sum of digits of a hash both engines share. Units are dealt out and each makes its own rounds, which are summed before they are shuffled, so neither the units nor the rounds need to be few."""
+    each = written(differences, "differences").repartition(unit)
+    turned = each.select("diff", unit, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(flips - 1).cast("long"))).alias("round"))
     sign = F.when(F.pmod(F.floor((F.col("round") * 2654435761 + F.col(unit) * 40503 + seed) % 4294967296 / 65536), F.lit(2)) == 0, 1).otherwise(-1)
-    means = rounds.crossJoin(F.broadcast(differences)).withColumn("s", sign * F.col("diff")).groupBy("round").agg(F.avg("s").alias("m"))
-    observed = differences.agg(F.avg("diff").alias("observed"))
+    means = turned.withColumn("s", sign * F.col("diff")).groupBy("round").agg(F.avg("s").alias("m"))
+    observed = each.agg(F.avg("diff").alias("observed"))  # one row
     return means.crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.sum((F.abs("m") >= F.abs("observed") - 1e-12).cast("long")).alias("extreme")).withColumn("p", F.col("extreme").cast("double") / flips)
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from boxlens.operators import cache, cascade, evaluation, kernel_machine, mirrors, ranking, rescoring
-from boxlens.plans.detection_plans import PARTS_SQL, parts_of
+from boxlens.operators import cache, cascade, evaluation, kernel_machine, mirrors, ranking, rescoring, selection, suppression
+from boxlens.plans.detection_plans import BEST_SQL, CLAIM_SQL, NMS_SQL, PAIRS_SQL, PARTS_SQL, parts_of
+from boxlens.plans.evaluation_plans import AP_SQL, CURVE_SQL, NPOS_SQL
 from boxlens.plans.registry import query
-from boxlens.sources.fixtures import CACHE_SQL, CLASSES, DET_SQL, HEIGHT, WIDTH, cache_info, det, gt, read
+from boxlens.sources.fixtures import CACHE_SQL, CLASSES, CLIP_SQL, DET_SQL, GT_SQL, HEIGHT, WIDTH, cache_info, det, gt, read
 from boxlens.tables import Workspace, written
 
 MOST_BYTES, MOST_EXAMPLES = 28_000_000, 60_000
@@ -147,20 +148,42 @@ def bbox_features(spark, sf_dir):
     return found.select("det_id", *[F.round(F.col("x")[2 * k - 2 + i], 6).alias(f"d{c}{k}") for k in (1, 2, 3) for i, c in enumerate("xy")])
 
 
+LEAST_OVERLAP, RIDGE = 0.7, 1e-3
+
+
 def regression_rows(spark, sf_dir):
-    """Targets from the best ground truth at 0.3 overlap or more, in widths and heights."""
+    """Targets from the best ground truth at LEAST_OVERLAP or more, in widths and heights."""
     from boxlens.operators.matching import best_match
 
     d, g = det(spark, sf_dir), gt(spark, sf_dir)
-    pairs = best_match(d, g).where("iou >= 0.3").select("det_id", "gt_id").join(g.select("gt_id", *[F.col(c).alias("g_" + c) for c in rescoring.TARGETS]), "gt_id")
+    pairs = best_match(d, g).where(F.col("iou") >= LEAST_OVERLAP).select("det_id", "gt_id").join(g.select("gt_id", *[F.col(c).alias("g_" + c) for c in rescoring.TARGETS]), "gt_id")
     rows = d.join(pairs, "det_id").join(rescoring.part_features(parts_of(d)), "det_id")
     size = lambda c: F.col("x2") - F.col("x1") if c[0] == "x" else F.col("y2") - F.col("y1")
     return rows.select("comp", "x", *[((F.col("g_" + c) - F.col(c)).cast("double") / size(c)).alias("t_" + c) for c in rescoring.TARGETS])
 
 
-@query()
+OFFSETS_SQL = """r AS (SELECT * FROM parts WHERE filter_id = 0),
+o AS (SELECT p.det_id, p.filter_id, CAST(p.x1 - r.x1 AS DOUBLE) / (r.x2 - r.x1) AS dx, CAST(p.y1 - r.y1 AS DOUBLE) / (r.y2 - r.y1) AS dy FROM parts p JOIN r ON p.det_id = r.det_id WHERE p.filter_id > 0),
+x AS (SELECT det_id, list_append(flatten(list([dx, dy] ORDER BY filter_id)), 1.0::DOUBLE) AS f FROM o GROUP BY det_id)"""
+
+
+def _fit_sql(n: int = 7) -> str:
+    """Normal equations of each component in long form, the targets as columns n + 1 on, solved by elimination: a table a pivot."""
+    target = lambda c: f"CAST(g.{c} - d.{c} AS DOUBLE) / ({'d.x2 - d.x1' if c[0] == 'x' else 'd.y2 - d.y1'})"
+    steps = [f"""e{k} AS MATERIALIZED (SELECT m.comp, m.i, m.j, CASE WHEN m.i = {k} THEN m.v / p.v ELSE m.v - c.v * w.v / p.v END AS v FROM e{k - 1} m
+  JOIN e{k - 1} p ON p.comp = m.comp AND p.i = {k} AND p.j = {k} JOIN e{k - 1} w ON w.comp = m.comp AND w.i = {k} AND w.j = m.j JOIN e{k - 1} c ON c.comp = m.comp AND c.i = m.i AND c.j = {k})""" for k in range(1, n + 1)]
+    return f"""WITH {DET_SQL}, {GT_SQL}, {PAIRS_SQL}, {BEST_SQL}, {PARTS_SQL}, {OFFSETS_SQL},
+rows AS (SELECT d.comp, x.f || [{", ".join(map(target, rescoring.TARGETS))}] AS f FROM best b JOIN det d ON b.det_id = d.det_id JOIN gt g ON b.gt_id = g.gt_id JOIN x ON x.det_id = d.det_id WHERE b.iou >= {LEAST_OVERLAP}),
+e0 AS MATERIALIZED (SELECT comp, i, j, sum(f[i] * f[j]) + CASE WHEN i = j THEN {RIDGE} ELSE 0 END AS v FROM rows, (SELECT CAST(range AS INT) + 1 AS i FROM range({n})), (SELECT CAST(range AS INT) + 1 AS j FROM range({n + 4})) GROUP BY comp, i, j),
+{", ".join(steps)}
+SELECT comp, CASE j WHEN {n + 1} THEN 'x1' WHEN {n + 2} THEN 'y1' WHEN {n + 3} THEN 'x2' ELSE 'y2' END AS target, i - 1 AS at, round(v, 6) AS beta FROM e{n} WHERE j > {n}"""
+
+
+@query(_fit_sql())
 def bbox_fit(spark, sf_dir):
-    return rescoring.fit_boxes(regression_rows(spark, sf_dir), ridge=1e-6)
+    """Weights of each component, target and place."""
+    found = rescoring.fit_boxes(regression_rows(spark, sf_dir), ridge=RIDGE)
+    return found.select("comp", "target", F.posexplode("beta").alias("at", "beta")).withColumn("beta", F.round("beta", 6))
 
 
 FIXED_MODEL = [(c, t, [0.7310585786 * b for b in (0.01 * (c + k), -0.02 * k, 0.005, 0.01, -0.01 * c, 0.003, 0.02)]) for c in (1, 2, 3) for k, t in enumerate(rescoring.TARGETS)]
@@ -173,18 +196,36 @@ def _apply_sql() -> str:
         size = "(x2 - x1)" if t[0] == "x" else "(y2 - y1)"
         return f"round({t} + (CASE comp {cases} END) * {size}, 4) AS {t}"
 
-    return f"""WITH {DET_SQL}, {PARTS_SQL}, r AS (SELECT * FROM parts WHERE filter_id = 0),
-o AS (SELECT p.det_id, p.filter_id, CAST(p.x1 - r.x1 AS DOUBLE) / (r.x2 - r.x1) AS dx, CAST(p.y1 - r.y1 AS DOUBLE) / (r.y2 - r.y1) AS dy FROM parts p JOIN r ON p.det_id = r.det_id WHERE p.filter_id > 0),
-x AS (SELECT det_id, list_append(flatten(list([dx, dy] ORDER BY filter_id)), 1.0::DOUBLE) AS f FROM o GROUP BY det_id)
-SELECT det_id, {", ".join(map(value, rescoring.TARGETS))} FROM det JOIN x USING (det_id)"""
+    return f"""{DET_SQL}, {PARTS_SQL}, {OFFSETS_SQL},
+moved AS (SELECT det_id, image_id, cls_id, comp, score, {", ".join(map(value, rescoring.TARGETS))} FROM det JOIN x USING (det_id))"""
 
 
-@query(_apply_sql())
-def bbox_apply(spark, sf_dir):
+def moved_boxes(spark, sf_dir):
+    """All detections, their boxes moved by the fixed model, to a ten-thousandth of a pixel."""
     d = det(spark, sf_dir)
     model = spark.createDataFrame(FIXED_MODEL, "comp long, target string, beta array<double>")
     moved = rescoring.apply_boxes(d, rescoring.part_features(parts_of(d)), model)
-    return moved.select("det_id", *[F.round(t, 4).alias(t) for t in rescoring.TARGETS])
+    return moved.select(*[F.round(c, 4).alias(c) if c in rescoring.TARGETS else F.col(c) for c in d.columns])
+
+
+@query(f"WITH {_apply_sql()} SELECT det_id, x1, y1, x2, y2 FROM moved")
+def bbox_apply(spark, sf_dir):
+    return moved_boxes(spark, sf_dir).select("det_id", *rescoring.TARGETS)
+
+
+def _chain_sql() -> str:
+    moved = _apply_sql().replace("det AS (", "raw AS (", 1).replace("FROM det", "FROM raw").replace("SELECT det.*", "SELECT raw.*").replace("FROM (SELECT raw.*, CAST(range AS BIGINT) AS f, range > 0 AND (det_id + range) % 4 = 0 AS gone FROM det,", "FROM (SELECT raw.*, CAST(range AS BIGINT) AS f, range > 0 AND (det_id + range) % 4 = 0 AS gone FROM raw,")
+    clipped = CLIP_SQL.replace("FROM det", "FROM moved")
+    kept = NMS_SQL.format(keys="image_id, cls_id", wkeys="r.image_id, r.cls_id", on="w.image_id = r.image_id AND w.cls_id = r.cls_id", source="clip")
+    kept = kept.replace("SELECT image_id, cls_id, unnest", "survivors AS (SELECT unnest").replace(")\nsurvivors", "),\nsurvivors")
+    return f"WITH RECURSIVE {moved}, {clipped}, {kept}), det AS (SELECT clip.* FROM clip JOIN survivors USING (det_id)), {GT_SQL}, {PAIRS_SQL}, {BEST_SQL}, {CLAIM_SQL}, {NPOS_SQL}, {CURVE_SQL}, {AP_SQL} SELECT cls_id, npos, round(ap, 9) AS ap FROM aps"
+
+
+@query(_chain_sql())
+def regress_and_evaluate(spark, sf_dir):
+    """Boxes moved by the regression, cut to the image, suppressed and evaluated."""
+    kept = suppression.suppress(selection.clip(moved_boxes(spark, sf_dir), WIDTH, HEIGHT), ["image_id", "cls_id"])
+    return evaluation.ap_per_class(kept, gt(spark, sf_dir)).withColumn("ap", F.round("ap", 9))
 
 
 @query("""WITH v AS (SELECT a.vec_id, b.vec_id AS filter, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS s FROM embeddings a, embeddings b WHERE b.vec_id < 10)
