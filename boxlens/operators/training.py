@@ -117,8 +117,8 @@ def _only(objective: Objective, learns: np.ndarray) -> Objective:
     return of_these
 
 
-def train(initial: np.ndarray, relabel: Callable[[np.ndarray], DataFrame], mine: Callable[[np.ndarray], DataFrame], keep: Callable[[DataFrame, np.ndarray], DataFrame], c: float, regularisation: np.ndarray, rounds: int = 8, mining: int = 5, path: str | None = None, lower: np.ndarray | None = None, learns: np.ndarray | None = None) -> np.ndarray:
-    """Relabel, mine, optimise, evict. Rows of relabel and mine: example_id, is_belief, loss, x. Each cache is written, so that no plan reaches back over rounds. Weights stay at lower or more; those that do not learn stay as they are."""
+def train(initial: np.ndarray, relabel: Callable[[np.ndarray], DataFrame], mine: Callable[[np.ndarray], DataFrame], keep: Callable[[DataFrame, np.ndarray], DataFrame], c: float, regularisation: np.ndarray, rounds: int = 8, mining: int = 5, path: str | None = None, lower: np.ndarray | None = None, learns: np.ndarray | None = None, inner: int = 1000, log: list | None = None) -> np.ndarray:
+    """Relabel, mine, optimise, evict. Rows of relabel and mine: example_id, is_belief, loss, x. Each cache is written, so that no plan reaches back over rounds. Each solve begins where the one before ended and takes inner steps at most. Weights stay at lower or more; those that do not learn stay as they are. log gets (round, step, value on the cache, value with all that is mined now) of each solve."""
     w, last = initial, np.inf
     for turn in range(rounds):
         cache = relabel(w)
@@ -128,11 +128,13 @@ def train(initial: np.ndarray, relabel: Callable[[np.ndarray], DataFrame], mine:
                 cache.write.mode("overwrite").parquet(f"{path}/{turn}-{step}")
                 cache = cache.sparkSession.read.parquet(f"{path}/{turn}-{step}")
             held = latent_objective(cache, c, regularisation)
-            w, value, _ = lbfgs(held if learns is None else _only(held, learns), w, lower)
+            w, value, _ = lbfgs(held if learns is None else _only(held, learns), w, lower, inner)
             held.release()
             mined = latent_objective(cache.unionByName(mine(w)).distinct(), c, regularisation)
             full, _ = mined(w)
             mined.release()
+            if log is not None:
+                log.append((turn, step, value, full))
             if converged(full, value):
                 break
         if value / last > 0.999 if np.isfinite(last) else False:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxlens.plans import cache_plans, detection_plans, evaluation_plans, grammar_plans, registry, scene_plans, stream_plans  # noqa: F401
+from boxlens.plans import cache_plans, detection_plans, evaluation_plans, grammar_plans, registry, scene_plans, stream_plans, training_plans  # noqa: F401
 
 
 def queries() -> dict:

@@ -171,3 +171,60 @@ def test_sums_of_arrays(spark):
     parts = spark.range(40).repartition(7).select(F.array(F.lit(1.0), F.col("id").cast("double"), F.lit(0.5)).alias("a"))
     assert summed(parts, "a", 3).tolist() == [40.0, 780.0, 20.0]
     assert summed(parts.limit(0), "a", 3).tolist() == [0.0, 0.0, 0.0]
+
+
+# the latent loop
+
+
+def plain_rounds(x, foreground, cost, rounds, minings, steps):
+    """The loop over arrays: (round, step, value on the cache, value with what is mined then)."""
+    n, log, last = x.shape[1], [], np.inf
+    w = np.zeros(2 * n)
+    w[0], w[n] = 0.1, -0.1
+    scores = lambda w: np.c_[x @ w[:n], x @ w[n:]]
+
+    def objective(choice, negatives):
+        def value(w):
+            s, v, g = scores(w), 0.5 * w @ w, w.copy()
+            for i in np.flatnonzero(foreground):
+                c = choice[i]
+                if s[i, c] < 1:
+                    v, g[c * n : c * n + n] = v + cost * (1 - s[i, c]), g[c * n : c * n + n] - cost * x[i]
+            for i in {i for i, _ in negatives}:
+                best, c = max((s[i, c] + 1, -c) for k, c in negatives if k == i)
+                if best > 0:
+                    v, g[-c * n : -c * n + n] = v + cost * best, g[-c * n : -c * n + n] + cost * x[i]
+            return v, g
+
+        return value
+
+    mine = lambda w: {(i, c) for i in np.flatnonzero(~foreground) for c in (0, 1) if scores(w)[i, c] > -1}
+    for turn in range(rounds):
+        choice, held = scores(w).argmax(axis=1), set()
+        for step in range(minings):
+            s = scores(w)
+            held = {(i, c) for i, c in held if s[i, c] + 1 > -1e-4} | mine(w)
+            w, value, _ = training.lbfgs(objective(choice, held), w, None, steps)
+            full, _ = objective(choice, held | mine(w))(w)
+            log.append((turn, step, value, full))
+            if training.converged(full, value):
+                break
+        if np.isfinite(last) and value / last > 0.999:
+            break
+        last = value
+    return log
+
+
+def test_latent_rounds_are_those_over_arrays(spark, monkeypatch):
+    from boxlens.plans import training_plans
+    from boxlens.sources.fixtures import read
+
+    monkeypatch.setattr(training_plans, "STEPS", 6)
+    rows = read(spark, "/root/testdata/sf0.001", "embeddings").where("vec_id < 60").collect()
+    monkeypatch.setattr(training_plans, "read", lambda spark, *_: spark.createDataFrame(rows))
+    got = [tuple(r) for r in training_plans.latent_train(spark, "").collect()]
+    x = np.array([[*r["embedding"], 1.0] for r in rows])
+    want = plain_rounds(x, np.array([r["label"] < 5 for r in rows]), training_plans.COST, training_plans.ROUNDS, training_plans.MININGS, 6)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want], atol=2e-6)
+    assert all(b[3] <= a[3] + 1e-6 for a, b in zip(got, got[1:], strict=False))
