@@ -30,8 +30,8 @@ PROJECTIONS, SEED = 128, 5
 COLLISIONS, RELIABLE = 0.77, 0.75
 #: The first window's half width, as a share of the vectors' length, the factor of each rehashing, and how many candidates, in k, the first widening wants.
 FIRST_WIDTH, FACTOR, WANTED = 0.5, 1.15, 2
-#: Vectors of a block and queries it meets at once; a line's windows end at one of PLACES places of its sorted array.
-BLOCK_ROWS, QUERY_ROWS, CHUNK, PLACES, K = 16384, 2048, 256, 256, 20
+#: Bytes of a block's vectors, and of the queries that meet it in one task, for which its sorted arrays are made once; queries treated at once; a line's windows end at one of PLACES places of its sorted array.
+BLOCK_BYTES, QUERY_BYTES, CHUNK, PLACES, K = 8 << 20, 16 << 20, 256, 256, 20
 #: Rows a cell aims at, and the most pivots, which the driver holds; they are chosen among SAMPLE vectors for each.
 CELL_ROWS, LEAST_PIVOTS, MOST_PIVOTS, SAMPLE = 8192, 4, 1024, 4
 
@@ -333,7 +333,8 @@ def written_hits(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFram
 
     def met(asking: DataFrame, first: bool, name: str) -> DataFrame:
         visits = work.write(arrow_map(asking, _visits(pivots, cells, k, first), visit), f"{name}-visits")
-        shape = sizes.join(visits.groupBy(*key).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("groups")), key).select(*key, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"), "groups")
+        shape = sizes.join(visits.groupBy(*key).agg(F.ceil(F.count("*") * 8 * F.first("dim") / QUERY_BYTES).cast("int").alias("groups")), key)
+        shape = shape.select(*key, F.ceil(F.col("n") * 8 * F.col("dim") / BLOCK_BYTES).cast("int").alias("blocks"), "groups")
         each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         dealt = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
         held = rows.join(shape, key).withColumn("block", dealt("blocks")).select(*key, "block", each("groups").alias("group"), F.lit(False).alias("asks"), "vec_id", "embedding", F.lit(0.0).alias("floor"))

@@ -87,7 +87,8 @@ def brute_nearest(v, ids, k):
 
 @pytest.mark.parametrize("scale", [False, True])
 def test_search_recall(spark, monkeypatch, scale):
-    monkeypatch.setattr(vector_search, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(vector_search, "BLOCK_BYTES", 700 * 8 * 32)
+    monkeypatch.setattr(vector_search, "QUERY_BYTES", 40 * 8 * 32)
     rng = np.random.default_rng(3)
     v = rng.standard_normal((2000, 32)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
