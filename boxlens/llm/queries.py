@@ -31,8 +31,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = token_cache.fresh_cache(spark, _path(WORD_TOKENIZER))
-    return cache.count(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    """In two batches through one cache: the second finds what the first one stored."""
+    cache, docs = token_cache.fresh_cache(spark, _path(WORD_TOKENIZER)), table(spark, sf_dir, "documents")
+    early = F.coalesce(F.pmod(crc32_of_id(), F.lit(2)) == 0, F.lit(True))
+    counted = cache.count(docs.where(early)).unionByName(cache.count(docs.where(~early)))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

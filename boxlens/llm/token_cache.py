@@ -13,7 +13,6 @@ import uuid
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,9 +113,10 @@ class TokenCache:
 
     def stored(self) -> DataFrame:
         """Counts of this tokenizer version; a digest that two writers appended at once is there once."""
-        try:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
             runs = self.spark.read.schema(CACHE_SCHEMA).parquet(self.path)
-        except AnalysisException:
+        else:
             runs = self.spark.createDataFrame([], CACHE_SCHEMA)
         return runs.where(F.col("tokenizer_digest") == self.version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 

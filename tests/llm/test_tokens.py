@@ -188,3 +188,18 @@ def test_shortcuts_only_where_the_tokenizer_file_allows_them():
     assert not token_cache.bounded_by_space(changed(BYTE_TOKENIZER, lambda d: None))
     assert not token_cache.bounded_by_space(changed(WORD_TOKENIZER, lambda d: d["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex="[^x]+")))
     assert not token_cache.bounded_by_space(changed(WORD_TOKENIZER, lambda d: d["added_tokens"][0].update(content="a b")))
+
+
+def test_the_query_meets_its_own_cache(spark, monkeypatch):
+    """Two batches: each digest is stored once, those of the second that the first stored too are not encoded again, and counts are the library's."""
+    from boxlens.llm import queries, token_cache
+
+    made, held = [], token_cache.fresh_cache
+    monkeypatch.setattr(token_cache, "fresh_cache", lambda *a: made.append(held(*a)) or made[-1])
+    docs = spark.createDataFrame([(k, ["one two three", "four five", None, "", "six" * 40][k % 5]) for k in range(200)] + [(None, "one two three")], "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *a: docs)
+    rows = queries.op3_token_counts(spark, "").collect()
+    library = token_cache._loaded(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(rows) == 201 and all(r["n_tokens"] == len(library.encode(texts[r["doc_id"]] or "", add_special_tokens=False)) for r in rows)
+    assert made[0].stored().count() == 4 and spark.read.parquet(made[0].path).count() == 4
