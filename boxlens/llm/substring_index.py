@@ -268,13 +268,14 @@ def _spans(docs: DataFrame, batches: int) -> DataFrame:
     """Word spans that repeated windows cover. Documents reach the index in that many batches, each of which is joined with those before it; the anchors that met tell which contexts are looked at, for early and late documents alike."""
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "substrings")
     marks, index = work.write(fingerprints(docs), "marks"), FingerprintIndex(spark, f"{work.root}/index", work)
-    anchors = [index.met(index.append(marks.where(F.pmod(F.col("h"), F.lit(batches)) == k))) for k in range(batches)]
-    met = anchors[0]
-    for a in anchors[1:]:
-        met = met.unionByName(a)
-    found = index.repeated(docs, marks, index.contexts(met.distinct())).withColumn("n", F.col("n") + WINDOW - 1)
-    index.close()
-    return found
+    try:
+        anchors = [index.met(index.append(marks.where(F.pmod(F.col("h"), F.lit(batches)) == k))) for k in range(batches)]
+        met = anchors[0]
+        for a in anchors[1:]:
+            met = met.unionByName(a)
+        return index.repeated(docs, marks, index.contexts(met.distinct())).withColumn("n", F.col("n") + WINDOW - 1)
+    finally:  # names of runs do not outlive the call, whatever ended it
+        index.close()
 
 
 def remove_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
