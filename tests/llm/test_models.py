@@ -227,3 +227,26 @@ def test_toxicity_query(spark):
     clean = [r["score"] for r in held if labels[r["doc_id"]] == 0]
     assert np.mean([[t > c for c in clean] for t in toxic]) > 0.8
     assert all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+
+
+@pytest.mark.parametrize("text", ["a b c d " * 1_300_000, "abcd" * 2_500_000, "a" + " " * 10_000_000])
+def test_toxicity_of_long_runs_takes_linear_time(text):
+    """Ten megabytes of one-letter words, of one word, of white space."""
+    import time
+
+    began = time.process_time()
+    words = sum(len(size) for _, size in toxicity.encoded_parts(text))
+    assert time.process_time() - began < 3 and words > 0
+
+
+def test_toxicity_parts_of_random_runs(monkeypatch):
+    rng = np.random.default_rng(1)
+    pieces = ["a", "b", " ", "a ", "b ", "c d e f ", "abcdefgh", "  ", "!", " x y z ", "q" * 30]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces, rng.integers(0, 40)))
+        monkeypatch.setattr(toxicity, "SLICE_CHARS", 1 << 17)
+        codes, size = toxicity.encode(text)
+        for cut in (1, 2, 7, 20):
+            monkeypatch.setattr(toxicity, "SLICE_CHARS", cut)
+            parts = list(toxicity.encoded_parts(text))
+            assert np.array_equal(np.concatenate([codes[:0], *(p[0] for p in parts)]), codes) and np.array_equal(np.concatenate([size[:0], *(p[1] for p in parts)]), size)

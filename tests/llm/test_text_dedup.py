@@ -300,3 +300,26 @@ def test_keep_one_of_repeated_ids_with_different_texts(spark):
     rows = [(1, "one two three four five six"), (2, "other words stand in this text"), (2, "one two three four five six"), (2, "a third text has nothing in common")]
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], helpers.DOCS)
     assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()) == sorted([rows[0], rows[1], rows[3]])
+
+
+def test_stages_keep_clashing_columns_and_types(spark):
+    """Columns with the names that the stages use inside, and n_chars of another type, come out as they went in."""
+    names = ["_h", "k_doc", "k_h", "_doc", "_row", "h", "spans", "place", "n", "s_doc"]
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, t, len(t), *[100 + k] * len(names)) for k, t in enumerate([passage, passage, f"start {passage} end", "another text of its own"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` long" for n in names))
+    for stage, left in ((simhash.keep_one, {0, 3}), (line_dedup.stage, {0, 1, 2, 3}), (substring_index.stage, {0, 1, 2, 3})):
+        out = stage(docs)
+        assert out.dtypes == docs.dtypes
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert set(got) >= left and all(r[n] == 100 + k for k, r in got.items() for n in names)
+
+
+def test_runs_leave_no_names(spark, monkeypatch):
+    """A call that fails leaves no tables in the catalog either."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(50))) for k in range(3)], "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(substring_index.FingerprintIndex, "contexts", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        substring_index.remove_repeats(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before
