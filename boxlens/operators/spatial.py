@@ -20,56 +20,45 @@ def _longest() -> Column:
     return F.greatest(F.col("x2") - F.col("x1") + 1, F.col("y2") - F.col("y1") + 1).cast("double")
 
 
-def tile_side(*tables: DataFrame) -> int:
-    """Of the lowest level, from the mean longest side of all boxes."""
-    found = [t.agg(F.sum(_longest()).alias("s"), F.count("*").alias("n")).first() for t in tables]
-    mean = sum(r["s"] or 0.0 for r in found) / max(1, sum(r["n"] for r in found))
-    return 1 << max(0, int(SPARE * mean).bit_length())
+def _doublings() -> Column:
+    """The least power of two, as its exponent, that a box's longest side does not pass."""
+    return F.greatest(F.ceil(F.log2(F.greatest(_longest(), F.lit(1.0)))), F.lit(0)).cast("int")
 
 
-def _level(side: int) -> Column:
-    """0 for boxes no longer than a tile of the lowest level; each level's tiles are twice as wide."""
-    return F.greatest(F.ceil(F.log2(F.greatest(_longest(), F.lit(1.0)) / side)), F.lit(0)).cast("int")
+def grid(*tables: DataFrame, side: int | None = None) -> tuple[int, list[int]]:
+    """The exponent of the lowest level's tiles, from the mean longest side of all boxes if no side is given, and the levels in use: at most as many as coordinates have binary digits. A pass over each table."""
+    found = [r for t in tables for r in t.groupBy(_doublings().alias("d")).agg(F.sum(_longest()).alias("s"), F.count("*").alias("n")).collect()]
+    mean = sum(r["s"] for r in found) / max(1, sum(r["n"] for r in found))
+    lowest = int(SPARE * mean).bit_length() if side is None else max(0, int(side - 1).bit_length())
+    return lowest, sorted({max(0, r["d"] - lowest) for r in found})
 
 
-def levels_in_use(side: int, *tables: DataFrame) -> list[int]:
-    """At most as many as the coordinates have binary digits."""
-    found: set[int] = set()
-    for t in tables:
-        found |= {r[0] for r in t.select(_level(side).alias("k")).distinct().collect()}
-    return sorted(found)
-
-
-def _in_tiles(boxes: DataFrame, keys: list[str], prefix: str, side: int, at: Column) -> DataFrame:
-    """Each box once for each tile that it touches at each level of at: _k, _tx, _ty, and its columns but the keys under the prefix."""
-    place = lambda c: F.floor(F.col(c) / (F.lit(side) * F.pow(F.lit(2.0), F.col("_k")))).cast("long")
-    each = boxes.withColumn("_own", _level(side)).withColumn("_k", F.explode(at))
+def _in_tiles(boxes: DataFrame, keys: list[str], prefix: str, lowest: int, at: Column) -> DataFrame:
+    """Each box once for each tile that it touches at each level and in each role of at: _k, _role, _tx, _ty, and its columns but the keys under the prefix."""
+    place = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_at._k") + lowest)).cast("long")
+    each = boxes.withColumn("_own", F.greatest(_doublings() - lowest, F.lit(0))).withColumn("_at", F.explode(at))
     each = each.withColumn("_tx", F.explode(F.sequence(place("x1"), place("x2")))).withColumn("_ty", F.explode(F.sequence(place("y1"), place("y2"))))
-    return each.select(*keys, "_k", "_tx", "_ty", *[F.col(c).alias(prefix + c) for c in boxes.columns if c not in keys])
+    return each.select(*keys, F.col("_at._k").alias("_k"), F.col("_at._role").alias("_role"), "_tx", "_ty", *[F.col(c).alias(prefix + c) for c in boxes.columns if c not in keys])
 
 
 def meetings(windows: DataFrame, boxes: DataFrame, keys: list[str], side: int | None = None) -> DataFrame:
-    """Pairs that share a tile, before any test of their sides: w_* and b_*. One join of windows at their own level with boxes of it and of lower ones, one of boxes with windows of lower levels."""
-    side = side or tile_side(windows, boxes)
-    used = levels_in_use(side, windows, boxes)
-    on = [*keys, "_k", "_tx", "_ty"]
-    own, known = F.array(F.col("_own")), F.array(*[F.lit(k) for k in used])
-    from_own = F.filter(known, lambda k: k >= F.col("_own"))
-    above = F.filter(known, lambda k: k > F.col("_own"))
-    met = _in_tiles(windows, keys, "w_", side, own).join(_in_tiles(boxes, keys, "b_", side, from_own), on)
-    if len(used) > 1:
-        met = met.unionByName(_in_tiles(windows, keys, "w_", side, above).join(_in_tiles(boxes, keys, "b_", side, own), on))
-    return met.withColumn("_side", F.lit(side))
+    """Pairs that share a tile, before any test of their sides: w_* and b_*, and the tile's side. In one role windows stand at their own level and boxes at theirs and all above, in the other boxes at their own and windows at those above theirs: one join."""
+    lowest, used = grid(windows, boxes, side=side)
+    known = F.array(*[F.lit(k) for k in used]) if used else F.array().cast("array<int>")
+    at = lambda levels, role: F.transform(levels, lambda k: F.struct(k.alias("_k"), F.lit(role).alias("_role")))
+    own, from_own, above = F.array(F.col("_own")), F.filter(known, lambda k: k >= F.col("_own")), F.filter(known, lambda k: k > F.col("_own"))
+    w = _in_tiles(windows, keys, "w_", lowest, F.concat(at(own, 0), at(above, 1)))
+    b = _in_tiles(boxes, keys, "b_", lowest, F.concat(at(from_own, 0), at(own, 1)))
+    return w.join(b, [*keys, "_k", "_role", "_tx", "_ty"]).withColumn("_side", F.pow(F.lit(2.0), F.col("_k") + lowest))
 
 
 def overlaps(windows: DataFrame, boxes: DataFrame, keys: list[str], side: int | None = None) -> DataFrame:
-    """Pairs of equal keys whose boxes meet, each once: keys, w_*, b_* and iou. Boxes hold whole pixels, both ends inside; those without any pixel meet nothing. side: the lowest level's tiles; chosen from the boxes if not given, and of no consequence for the result."""
+    """Pairs of equal keys whose boxes meet, each once: keys, w_*, b_* and iou. Boxes hold whole pixels, both ends inside; those without any pixel meet nothing. side: about the lowest level's tiles; chosen from the boxes if not given, and of no consequence for the result."""
     some = lambda t: t.where("x2 >= x1 and y2 >= y1")
     met = meetings(some(windows), some(boxes), keys, side)
-    tile = F.col("_side") * F.pow(F.lit(2.0), F.col("_k"))
-    corner = lambda a, t: F.floor(F.greatest("w_" + a, "b_" + a) / tile).cast("long") == F.col(t)
+    corner = lambda a, t: F.floor(F.greatest("w_" + a, "b_" + a) / F.col("_side")).cast("long") == F.col(t)
     found = met.where(intersects("w_", "b_") & corner("x1", "_tx") & corner("y1", "_ty"))
-    return found.withColumn("iou", iou("w_", "b_")).drop("_k", "_tx", "_ty", "_side")
+    return found.withColumn("iou", iou("w_", "b_")).drop("_k", "_role", "_tx", "_ty", "_side")
 
 
 def best_overlap(windows: DataFrame, boxes: DataFrame, keys: list[str], box_id: str, side: int | None = None) -> DataFrame:
