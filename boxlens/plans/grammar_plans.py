@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from boxlens.operators import cascade, grammar, inference, kernels, learning, selection
 from boxlens.plans.registry import query
-from boxlens.sources.fixtures import DET_SQL, GT_SQL, det, gt
+from boxlens.sources.fixtures import DET_SQL, GT_SQL, det, gt, read
 
-IMAGES, LEVELS, ROWS, COLS, SYMBOLS, INTERVAL = 8, 6, 20, 24, 3, 2
+#: Grids: one for so many orders, of so many levels, rows, columns and symbols.
+GRID_ORDERS, LEVELS, ROWS, COLS, SYMBOLS, INTERVAL = 2048, 6, 20, 24, 3, 2
 
-CELLS_SQL = f"""cells AS (SELECT CAST(i AS BIGINT) AS image_id, CAST(l + 1 AS BIGINT) AS level, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(s AS BIGINT) AS symbol,
-  CAST((i * 37 + l * 31 + y * 17 + x * 13 + s * 7 + y * x) % 23 - 11 AS DOUBLE) AS score
-  FROM range({IMAGES}) a(i), range({LEVELS}) b(l), range({ROWS}) c(y), range({COLS}) d(x), range({SYMBOLS}) e(s))"""
+CELLS_SQL = f"""cells AS (SELECT image_id, CAST(l + 1 AS BIGINT) AS level, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(s AS BIGINT) AS symbol,
+  CAST((seed + l * 31 + y * 17 + x * 13 + s * 7 + y * x) % 23 - 11 AS DOUBLE) AS score
+  FROM (SELECT o_orderkey // {GRID_ORDERS} AS image_id, CAST(sum(o_custkey) AS BIGINT) AS seed FROM orders GROUP BY 1), range({LEVELS}) b(l), range({ROWS}) c(y), range({COLS}) d(x), range({SYMBOLS}) e(s))"""
 
 
-def cells(spark):
-    """A grid of whole-number scores for three symbols."""
-    each = IMAGES * LEVELS * ROWS * COLS * SYMBOLS
-    n = spark.range(each)
+def cells(spark, sf_dir):
+    """Grids of whole-number scores for three symbols, more of them as orders grow; each differs by what its orders sum up to."""
+    grids = read(spark, sf_dir, "orders").groupBy(F.expr(f"o_orderkey div {GRID_ORDERS}").alias("image_id")).agg(F.sum("o_custkey").alias("seed"))
+    n = grids.select("image_id", "seed", F.explode(F.sequence(F.lit(0), F.lit(LEVELS * ROWS * COLS * SYMBOLS - 1))).alias("id"))
     part = lambda div, mod: (F.floor(F.col("id") / div) % mod).cast("long")
-    grid = n.select(part(LEVELS * ROWS * COLS * SYMBOLS, IMAGES).alias("image_id"), part(ROWS * COLS * SYMBOLS, LEVELS).alias("l"), part(COLS * SYMBOLS, ROWS).alias("y"), part(SYMBOLS, COLS).alias("x"), part(1, SYMBOLS).alias("symbol"))
-    score = (F.col("image_id") * 37 + F.col("l") * 31 + F.col("y") * 17 + F.col("x") * 13 + F.col("symbol") * 7 + F.col("y") * F.col("x")) % 23 - 11
+    grid = n.select("image_id", "seed", part(ROWS * COLS * SYMBOLS, LEVELS).alias("l"), part(COLS * SYMBOLS, ROWS).alias("y"), part(SYMBOLS, COLS).alias("x"), part(1, SYMBOLS).alias("symbol"))
+    score = (F.col("seed") + F.col("l") * 31 + F.col("y") * 17 + F.col("x") * 13 + F.col("symbol") * 7 + F.col("y") * F.col("x")) % 23 - 11
     return grid.select("image_id", (F.col("l") + 1).alias("level"), "y", "x", "symbol", score.cast("double").alias("score"))
 
 
@@ -34,34 +35,35 @@ CHILDREN = [(0, 0, 0, 0), (1, 1, 0, 1), (2, 0, 3, 1)]
 
 @query(f"WITH {CELLS_SQL}, {STRUCTURE_SQL} SELECT * FROM structure")
 def structural_rule(spark, sf_dir):
-    return grammar.structural(cells(spark), CHILDREN, 0.5, INTERVAL)
+    return grammar.structural(cells(spark, sf_dir), CHILDREN, 0.5, INTERVAL)
 
 
 @query(f"""WITH {CELLS_SQL}, one AS (SELECT * FROM cells WHERE symbol = 0)
 SELECT a.image_id, a.level, a.y, a.x, max(b.score - 0.5 * (a.x - b.x) * (a.x - b.x) - 0.25 * (a.x - b.x) - 0.75 * (a.y - b.y) * (a.y - b.y) + 0.5 * (a.y - b.y))::DOUBLE AS score
 FROM one a JOIN one b ON a.image_id = b.image_id AND a.level = b.level AND abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 4 GROUP BY a.image_id, a.level, a.y, a.x""")
 def deformation_bounded(spark, sf_dir):
-    return grammar.deform(cells(spark).where("symbol = 0"), 0.5, 0.25, 0.75, -0.5)
+    return grammar.deform(cells(spark, sf_dir).where("symbol = 0"), 0.5, 0.25, 0.75, -0.5)
 
 
 @query(f"WITH {CELLS_SQL} SELECT image_id, level, y, x, symbol AS rule, score FROM (SELECT *, row_number() OVER (PARTITION BY image_id, level, y, x ORDER BY score DESC, symbol) AS k FROM cells) WHERE k = 1")
 def symbol_max(spark, sf_dir):
-    return grammar.symbol_best(cells(spark).withColumnRenamed("symbol", "rule"))
+    return grammar.symbol_best(cells(spark, sf_dir).withColumnRenamed("symbol", "rule"))
 
 
-@query(f"SELECT CAST(l + 1 AS BIGINT) AS level, CASE WHEN l < {INTERVAL} THEN 1 ELSE 0 END AS f1, CASE WHEN l >= {INTERVAL} AND l < {2 * INTERVAL} THEN 1 ELSE 0 END AS f2, CASE WHEN l >= {2 * INTERVAL} THEN 1 ELSE 0 END AS f3 FROM range({LEVELS}) t(l)")
+@query(f"WITH {CELLS_SQL} SELECT level, CASE WHEN level <= {INTERVAL} THEN 1 ELSE 0 END AS f1, CASE WHEN level > {INTERVAL} AND level <= {2 * INTERVAL} THEN 1 ELSE 0 END AS f2, CASE WHEN level > {2 * INTERVAL} THEN 1 ELSE 0 END AS f3 FROM (SELECT DISTINCT image_id, level FROM cells)")
 def loc_features(spark, sf_dir):
-    return grammar.location_features(spark.range(1, LEVELS + 1).withColumnRenamed("id", "level"), INTERVAL)
+    """Of each level of each grid."""
+    return grammar.location_features(cells(spark, sf_dir).select("image_id", "level").distinct().select("level"), INTERVAL)
 
 
 @query(f"""WITH {CELLS_SQL} SELECT * FROM (SELECT image_id, level, y, x, score, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, level, y, x) AS INT) AS rank FROM cells WHERE symbol = 0 AND score > 5) WHERE rank <= 20""")
 def parse_outputs(spark, sf_dir):
-    return grammar.top_outputs(cells(spark).where("symbol = 0").drop("symbol"), 5.0, 20)
+    return grammar.top_outputs(cells(spark, sf_dir).where("symbol = 0").drop("symbol"), 5.0, 20)
 
 
 @query(f"WITH {CELLS_SQL} SELECT image_id, level, y, x, score, (x - 1 - 3) * 12.0::DOUBLE + 1 AS x1, (y - 1 - 2) * 12.0::DOUBLE + 1 AS y1, (x - 1 - 3) * 12.0::DOUBLE + 60 AS x2, (y - 1 - 2) * 12.0::DOUBLE + 48 AS y2 FROM cells WHERE symbol = 0")
 def window_to_pixels(spark, sf_dir):
-    return grammar.to_pixels(cells(spark).where("symbol = 0"), 1.5, 8, 2, 3, 4, 5)
+    return grammar.to_pixels(cells(spark, sf_dir).where("symbol = 0"), 1.5, 8, 2, 3, 4, 5)
 
 
 @query(f"""WITH {CELLS_SQL}, {STRUCTURE_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, level, y, x) AS k FROM structure WHERE score > 10),
@@ -71,7 +73,7 @@ UNION ALL SELECT det_id, '0.0', '0', 0, level, y, x FROM r
 UNION ALL SELECT det_id, '0.1', '0', 1, level - {INTERVAL}, 2 * y + 1, 2 * x FROM r
 UNION ALL SELECT det_id, '0.2', '0', 2, level - {INTERVAL}, 2 * y, 2 * x + 3 FROM r""")
 def derivation_tree(spark, sf_dir):
-    scores = grammar.structural(cells(spark), CHILDREN, 0.5, INTERVAL)
+    scores = grammar.structural(cells(spark, sf_dir), CHILDREN, 0.5, INTERVAL)
     found = grammar.top_outputs(scores, 10.0, 5).select((F.col("image_id") * 100 + F.col("rank")).alias("det_id"), F.lit(9).cast("long").alias("symbol"), *grammar.CELL)
     choices = scores.select(F.lit(9).cast("long").alias("symbol"), *grammar.CELL, F.lit(0).cast("long").alias("rule"))
     rules = spark.createDataFrame([(0, k, s, ay, ax, ds, ds * INTERVAL) for k, (s, ay, ax, ds) in enumerate(CHILDREN)], "rule long, pos long, rhs long, ay long, ax long, ds long, dl long")
@@ -118,33 +120,39 @@ def loss_field(spark, sf_dir):
     return found.withColumn("loss", F.greatest("loss", F.lit(-1e9)))
 
 
-def tiny_images(spark):
-    rows = []
-    for k in range(4):
-        y, x = np.indices((64, 96))
-        rows.append((k, 64, 96, ((x * (k + 1) * 3 + y * 5 + (x * y) % 17 * 4) % 256).astype(float).ravel().tolist()))
-    return spark.createDataFrame(rows, "image_id long, h long, w long, pixels array<double>")
+#: An image's width: so many vectors, one a column; its height is their length.
+COLUMNS = 96
+
+
+def images(spark, sf_dir):
+    """Grey images made of vectors: the components of a column's vector are its pixels. Vectors that do not fill an image are left out."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.expr(f"vec_id div {COLUMNS}").alias("image_id"), "vec_id", "embedding")
+    whole = vectors.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("v")).where(F.size("v") == COLUMNS)  # COLUMNS a group
+    h = F.size(F.col("v")[0]["embedding"])
+    shade = lambda x: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), 128 + 48 * x.cast("double")))).cast("double")
+    pixels = F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda y: F.transform("v", lambda v: shade(v["embedding"][y]))))
+    return whole.select("image_id", h.cast("long").alias("h"), F.lit(COLUMNS).cast("long").alias("w"), pixels.alias("pixels"))
 
 
 @query()
 def feature_pyramid(spark, sf_dir):
-    found = kernels.image_levels(tiny_images(spark), interval=4)
+    found = kernels.image_levels(images(spark, sf_dir), interval=4)
     return found.select("image_id", "level", F.round("scale", 6).alias("scale"), "h", "w", "dims")
 
 
 @query()
 def hog_features(spark, sf_dir):
-    found = kernels.image_levels(tiny_images(spark), interval=4).where("level = 1")
+    found = kernels.image_levels(images(spark, sf_dir), interval=4).where("level = 1")
     return found.select("image_id", F.posexplode("feat").alias("at", "value")).withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
 @query()
 def part_model_detect(spark, sf_dir):
-    """A root and two movable parts on synthetic images: responses, deformation, structure, parse, boxes."""
+    """A root and two movable parts on images: responses, deformation, structure, parse, boxes."""
     rng = np.random.default_rng(3)
     root, part = rng.normal(size=(3, 4, kernels.DIMS)) * 0.1, rng.normal(size=(2, 2, kernels.DIMS)) * 0.1
     interval = 2
-    scores = kernels.responses(kernels.image_levels(tiny_images(spark), interval), [root, part])
+    scores = kernels.responses(kernels.image_levels(images(spark, sf_dir), interval), [root, part])
     moved = grammar.deform(scores.where("symbol = 1").drop("symbol"), 0.05, 0.0, 0.05, 0.0)
     both = scores.where("symbol = 0").unionByName(moved.withColumn("symbol", F.lit(1).cast("long")).select(scores.columns))
     whole = grammar.structural(both, [(0, 0, 0, 0), (1, 0, 1, 1), (1, 2, 4, 1)], 0.1, interval)
@@ -188,7 +196,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC,
 @query(f"{GRID_SQL} SELECT image_id, rank, CAST(rule AS BIGINT) AS rule, level, y, x, CAST(score AS DOUBLE) AS score FROM top")
 def model_detect(spark, sf_dir):
     """A grammar evaluated on the grid, with location scores, virtual padding and moving parts: all outputs over the threshold."""
-    found = inference.detect_on_cells(cells(spark), grid_model(), INTERVAL, GRID_PAD, 10.0)
+    found = inference.detect_on_cells(cells(spark, sf_dir), grid_model(), INTERVAL, GRID_PAD, 10.0)
     return found.select("image_id", "rank", "rule", "level", "y", "x", "score")
 
 
@@ -200,14 +208,14 @@ UNION ALL SELECT image_id, rank, '0.2', '0', 4, level - {INTERVAL}, gy, gx FROM
 UNION ALL SELECT image_id, rank, '0.2.0', '0.2', 2, level - {INTERVAL}, gpy, gpx FROM top WHERE rule = 2""")
 def model_derivation(spark, sf_dir):
     """The derivations of the same outputs, parts at the cells they moved to."""
-    found = inference.detect_on_cells(cells(spark), grid_model(), INTERVAL, GRID_PAD, 10.0)
+    found = inference.detect_on_cells(cells(spark, sf_dir), grid_model(), INTERVAL, GRID_PAD, 10.0)
     return found.select("image_id", "rank", F.explode("nodes").alias("n")).select("image_id", "rank", *[F.col(f"n.{c}").alias(c) for c in ("node", "parent", "symbol", "level", "y", "x")])
 
 
 @query()
 def single_image(spark, sf_dir):
-    """The whole way from pixels to suppressed boxes, for each of the synthetic images."""
-    return inference.process(tiny_images(spark), synthetic_model(), 0.0, 4)
+    """The whole way from pixels to suppressed boxes, for each image."""
+    return inference.process(images(spark, sf_dir), synthetic_model(), 0.0, 4)
 
 
 def synthetic_model():
@@ -218,22 +226,23 @@ def synthetic_model():
 
 @query()
 def hard_negative_features(spark, sf_dir):
-    """Vectors of all outputs on the synthetic images that are hard for images without objects, each with its zero belief."""
-    return learning.hard_negatives(tiny_images(spark), synthetic_model(), INTERVAL)
+    """Vectors of all outputs on the images that are hard for images without objects, each with its zero belief."""
+    return learning.hard_negatives(images(spark, sf_dir), synthetic_model(), INTERVAL)
 
 
 @query()
 def latent_positive_features(spark, sf_dir):
     """Beliefs, rivals and zero vectors of two boxes on each of the synthetic images."""
-    sides = [(1, 1, 60, 50), (30, 10, 96, 62)]
-    boxes = spark.createDataFrame([(2 * k + j, k, *s) for k in range(4) for j, s in enumerate(sides)], "gt_id long, image_id long, x1 long, y1 long, x2 long, y2 long")
-    return learning.latent_positives(tiny_images(spark), boxes, synthetic_model(), INTERVAL, 50, 0.5)
+    found = images(spark, sf_dir)
+    sides = F.array(*[F.struct(F.lit(j).alias("j"), *[F.lit(v).cast("long").alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), s, strict=True)]) for j, s in enumerate([(1, 1, 60, 50), (30, 10, 96, 62)])])
+    boxes = found.select("image_id", F.explode(sides).alias("b")).select((2 * F.col("image_id") + F.col("b.j")).alias("gt_id"), "image_id", "b.x1", "b.y1", "b.x2", "b.y2")
+    return learning.latent_positives(found, boxes, synthetic_model(), INTERVAL, 50, 0.5)
 
 
 @query()
 def block_shares(spark, sf_dir):
     """What each block adds to each output's score."""
-    return learning.block_table(tiny_images(spark), synthetic_model(), -1.0, INTERVAL)
+    return learning.block_table(images(spark, sf_dir), synthetic_model(), -1.0, INTERVAL)
 
 
 STAR_COSTS = [[0.0, 0.5, 2.0], [0.0, 1.0, 4.0]]

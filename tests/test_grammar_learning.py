@@ -5,6 +5,7 @@ import pytest
 
 from boxlens.operators import grammar, inference, kernels, learning
 from boxlens.plans import grammar_plans
+from tests.images import tiny_images
 
 IMAGES = range(4)
 INTERVAL = 2
@@ -25,7 +26,7 @@ def boxes():
 
 
 def images(spark):
-    return grammar_plans.tiny_images(spark)
+    return tiny_images(spark)
 
 
 def scored(spark, model, k):

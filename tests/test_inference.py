@@ -5,6 +5,7 @@ import pytest
 
 from boxlens.operators import grammar, inference, kernels
 from boxlens.plans import grammar_plans
+from tests.images import tiny_images
 
 
 def plain(model, terminals, interval, pad, symbol, level, y, x):
@@ -76,7 +77,7 @@ def test_small_levels_and_mirror():
 
 def test_process(spark):
     model = grammar_plans.synthetic_model()
-    images = grammar_plans.tiny_images(spark)
+    images = tiny_images(spark)
     found = inference.detect(images, model, -1.0, 4, most=20).collect()
     assert found and all(r["nodes"][0]["rule"] == r["rule"] and len(r["nodes"]) == 6 for r in found)
     one = min((r for r in found if r["image_id"] == 2), key=lambda r: r["rank"])
