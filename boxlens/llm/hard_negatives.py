@@ -158,7 +158,7 @@ def rings(asks: DataFrame, cells: Cells) -> DataFrame:
                 most = (np.sqrt(np.maximum(square - 2 * np.array(low, float)[at], 0)) + slack)[:, None]
                 least = (np.sqrt(np.maximum(square - 2 * np.array(high, float)[at], 0)) - slack)[:, None]
                 own = group[at] - begin
-                apart = np.sqrt(np.maximum(((p[own][:, None] - p[None]) ** 2).sum(axis=2), 1e-12))
+                apart = np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(axis=2), 1e-12))[own]
                 plane = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * apart)
                 needed = (plane <= most) | (np.arange(len(p)) == own[:, None])
                 near, far = np.maximum(np.maximum(d - most, least - d), 0), d + most
