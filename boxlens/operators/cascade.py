@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from boxlens.operators.sums import summed
 
 
+#: Pairs of a vector and a filter that are held at once.
+PAIRS = 1 << 16
+
+
 def block_scores(weights: DataFrame, features: DataFrame) -> DataFrame:
     """(det_id, block, score): weight times feature, summed by block. Both in long form: (block, idx, w) and (det_id, block, idx, f); weights are the model's."""
     return features.join(F.broadcast(weights), ["block", "idx"]).groupBy("det_id", "block").agg(F.sum(F.col("w") * F.col("f")).alias("score"))
@@ -147,21 +151,25 @@ def low_rank_survivors(vectors: DataFrame, key: str, column: str, filters: dict[
     size = np.sqrt((f * f).sum(axis=1))
 
     def run(batches):
+        step = max(1, PAIRS // max(1, len(f)))
         for d in batches:
-            if not len(d):
-                continue
-            x = np.stack(d[column].to_numpy()).astype(np.float64)
-            px, square = x @ basis, (x * x).sum(axis=1)
-            row, col = np.divmod(np.arange(len(x) * len(f)), len(f))
-            value, done = np.zeros(len(row)), 0
-            for k, of_filter in zip(stages, rest, strict=True):
-                value = value + (px[row, done:k] * pf[col, done:k]).sum(axis=1)
-                done = k
-                own = np.sqrt(np.maximum(square - (px[:, :k] ** 2).sum(axis=1), 0))
-                slack = 1e-9 * np.sqrt(square[row]) * size[col]
-                at = np.flatnonzero(value + own[row] * of_filter[col] + slack >= limit[col])
-                row, col, value = row[at], col[at], value[at]
-            yield pd.DataFrame({key: d[key].to_numpy()[row], "filter": np.array(names)[col], "projected": value})
+            for at in range(0, len(d), step):
+                part = d.iloc[at : at + step]
+                row, col, value = left(np.stack(part[column].to_numpy()).astype(np.float64))
+                yield pd.DataFrame({key: part[key].to_numpy()[row], "filter": np.array(names)[col], "projected": value})
+
+    def left(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        px, square = x @ basis, (x * x).sum(axis=1)
+        row, col = np.divmod(np.arange(len(x) * len(f)), len(f))
+        value, done = np.zeros(len(row)), 0
+        for k, of_filter in zip(stages, rest, strict=True):
+            value = value + (px[row, done:k] * pf[col, done:k]).sum(axis=1)
+            done = k
+            own = np.sqrt(np.maximum(square - (px[:, :k] ** 2).sum(axis=1), 0))
+            slack = 1e-9 * np.sqrt(square[row]) * size[col]
+            good = np.flatnonzero(value + own[row] * of_filter[col] + slack >= limit[col])
+            row, col, value = row[good], col[good], value[good]
+        return row, col, value
 
     return vectors.select(key, column).mapInPandas(run, f"{key} {dict(vectors.dtypes)[key]}, filter long, projected double")
 
