@@ -23,7 +23,6 @@ def hog(image: np.ndarray, cell: int = CELL) -> np.ndarray:
     out_shape = [max(b - 2, 0) for b in blocks]
     if not all(out_shape):
         return np.zeros((*out_shape, DIMS))
-    vis = [min(b * cell, n) for b, n in zip(blocks, im.shape[:2], strict=True)]
     ys, xs = np.arange(1, blocks[0] * cell - 1), np.arange(1, blocks[1] * cell - 1)
     cy, cx = np.minimum(ys, im.shape[0] - 2), np.minimum(xs, im.shape[1] - 2)
     dy = im[np.ix_(cy + 1, cx)] - im[np.ix_(cy - 1, cx)]
@@ -47,7 +46,6 @@ def hog(image: np.ndarray, cell: int = CELL) -> np.ndarray:
             ok = ((gy >= 0) & (gy < blocks[0]))[:, None] & ((gx >= 0) & (gx < blocks[1]))[None, :]
             yy, xx = np.broadcast_to(gy[:, None], ok.shape)[ok], np.broadcast_to(gx[None, :], ok.shape)[ok]
             np.add.at(hist, (yy, xx, best[ok]), (wy[:, None] * wx[None, :] * size)[ok])
-    del vis
     folded = hist[:, :, :9] + hist[:, :, 9:]
     energy = (folded**2).sum(axis=2)
     four = energy[:-1, :-1] + energy[1:, :-1] + energy[:-1, 1:] + energy[1:, 1:]

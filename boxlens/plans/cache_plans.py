@@ -278,12 +278,10 @@ def _order_sql() -> str:
     subsets = {k: [p for i, p in enumerate(PART_NAMES) if k >> i & 1] for k in range(16)}
     vars_ = ", ".join(f"round({'var_samp(' + ' + '.join(s) + ')' if s else '0.0'}, 6) AS v{k}" for k, s in subsets.items())
     steps = []
-    left = "15"
     for turn in range(4):
         pick = f"(SELECT i FROM (SELECT i, list_extract(v, CAST(mask{turn} - (1 << i) + 1 AS BIGINT)) AS w FROM (SELECT CAST(range AS INT) AS i FROM range(4)) WHERE (mask{turn} >> i) & 1 = 1) ORDER BY w, i LIMIT 1)"
         steps.append(f"s{turn} AS (SELECT *, {pick} AS c{turn} FROM {'m0' if not turn else f'm{turn}'})")
         steps.append(f"m{turn + 1} AS (SELECT *, mask{turn} - (1 << c{turn}) AS mask{turn + 1} FROM s{turn})")
-    del left
     picks = " UNION ALL ".join(f"SELECT {t} AS stage, 'p' || c{t} AS part FROM m4" for t in range(4))
     return f"WITH {DET_SQL}, {PART_SCORES_SQL}, v AS (SELECT {vars_} FROM ps), m0 AS (SELECT [{', '.join(f'v{k}' for k in range(16))}] AS v, 15 AS mask0 FROM v), {', '.join(steps)} {picks}"
 

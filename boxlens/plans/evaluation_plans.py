@@ -91,11 +91,11 @@ def bootstrap_ap(spark, sf_dir):
     return found.where("replicate >= 0").withColumn("ap", F.round("ap", 9))
 
 
-@query(f"{_boot_sql(ALL_REPLICATES)} SELECT replicate, cls_id, npos, round(ap, 6) AS ap FROM boot")
+@query(f"{_boot_sql(ALL_REPLICATES)} SELECT replicate, cls_id, npos, round(ap, 9) AS ap FROM boot")
 def bootstrap_ap_whole(spark, sf_dir):
     """With as many resamples as the reference draws."""
     aps, _ = bootstrap.bootstrap(det(spark, sf_dir), gt(spark, sf_dir), draws(spark, ALL_REPLICATES), ALL_REPLICATES)
-    return aps.where("replicate >= 0").withColumn("ap", F.round("ap", 6))
+    return aps.where("replicate >= 0").withColumn("ap", F.round("ap", 9))
 
 
 @query(f"""{_boot_sql(ALL_REPLICATES)}, {NPOS_SQL}, {CURVE_SQL}, {AP_SQL},
