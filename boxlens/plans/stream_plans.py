@@ -51,7 +51,7 @@ SELECT gt_id, span, det_id, CASE WHEN difficult THEN 'ignored' WHEN place = 1 TH
 def stream_claims(spark, sf_dir):
     """Matched detections at the time of an event each, as a stream: who claims an object on each day. A last row from far ahead moves the watermark past all days."""
     root, times = _scratch(spark), read(spark, sf_dir, "events").select(F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"))
-    matched = best_match(det(spark, sf_dir), gt(spark, sf_dir)).where("iou >= 0.5").select("gt_id", "det_id", "score", "difficult", F.floor((F.col("det_id") - 1) / EACH).alias("event_id"))
+    matched = best_match(det(spark, sf_dir), gt(spark, sf_dir), 0.5).select("gt_id", "det_id", "score", "difficult", F.floor((F.col("det_id") - 1) / EACH).alias("event_id"))
     rows = matched.join(times, "event_id").select("gt_id", "det_id", "score", "difficult", "ts")
     rows.write.parquet(f"{root}/in/rows")
     last = spark.range(1).select(F.lit(-1).cast("long").alias("gt_id"), F.lit(-1).cast("long").alias("det_id"), F.lit(0.0).alias("score"), F.lit(False).alias("difficult"), F.to_timestamp(F.lit("2100-01-01")).alias("ts"))

@@ -165,3 +165,20 @@ def test_quantile_buckets_keep_ties_together(spark):
 def test_top_with_ties(spark):
     df = spark.createDataFrame([(0, s) for s in (5.0, 4.0, 4.0, 3.0)], "g long, s double")
     assert sorted(r["s"] for r in ranking.top_with_ties(df, ["g"], "s", 2).collect()) == [4.0, 4.0, 5.0]
+
+
+def test_copies_of_objects_make_no_pairs(spark):
+    """Ten objects of each box, as growing tables bring them: as many pairs as of one each, the same matches, and no aggregate over more than different boxes."""
+    det, gt = random_tables(7)
+    d, g = spark.createDataFrame(det, DET), spark.createDataFrame(gt, GT)
+    more = g.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(9)))).withColumn("gt_id", F.col("gt_id") + 1000 * F.col("k")).withColumn("difficult", ~F.col("difficult")).drop("k")
+    copies = g.unionByName(more)
+    one, many = (matching.box_meetings(d, t).count() for t in (g, copies))
+    assert one == many > 0
+    plain = {}
+    for r in matching.overlapping_pairs(d, copies).collect():
+        k = (-r["iou"], r["g_gt_id"], r["g_difficult"])
+        plain[r["d_det_id"]] = min(plain.get(r["d_det_id"], k), k)
+    for least in (None, 0.5):
+        got = {r["det_id"]: (-r["iou"], r["gt_id"], r["difficult"]) for r in matching.best_match(d, copies, least).collect()}
+        assert got == {k: v for k, v in plain.items() if -v[0] >= (least or 0)}
