@@ -208,3 +208,25 @@ def test_mixed_thresholds_prune_no_good_example(spark):
     assert np.allclose(got, want)
     none = cascade.mixed_thresholds(table.where("false"), names[:4], names[4:], 0.5).collect()
     assert len(none) == 8 and all(r["value"] == np.inf for r in none)
+
+
+def test_grids_are_dealt_to_tasks_and_cells_stay_there(spark, monkeypatch):
+    """As many tasks as grids need; rules and moves shuffle no cell and send no table of cells to all tasks."""
+    from boxlens.plans import grammar_plans
+
+    monkeypatch.setattr(grammar_plans, "TASK_GRIDS", 2)
+    cells = grammar_plans.cells(spark, "/root/testdata/sf0.01")
+    n = cells.select("image_id").distinct().count()
+    assert cells.rdd.getNumPartitions() == -(-n // 2) > 1
+    for df in (grammar.structural(cells, grammar_plans.CHILDREN, 0.5, 2), grammar.deform(cells.where("symbol = 0"), 0.5, 0.25, 0.75, -0.5), grammar.symbol_best(cells.withColumnRenamed("symbol", "rule"))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_moves_end_only_at_cells_of_the_table(spark):
+    held = {(1, 1): 1.0, (1, 3): 5.0, (2, 3): -2.0, (9, 9): 0.5}
+    cells = spark.createDataFrame([(0, 1, y, x, s) for (y, x), s in held.items()], "image_id long, level long, y long, x long, score double")
+    got = {(r["y"], r["x"]): r["score"] for r in grammar.deform(cells, 0.5, 0.25, 0.75, -0.5).collect()}
+    near = lambda a, b: abs(a[0] - b[0]) <= 4 and abs(a[1] - b[1]) <= 4
+    move = lambda a, b: 0.5 * (a[1] - b[1]) ** 2 + 0.25 * (a[1] - b[1]) + 0.75 * (a[0] - b[0]) ** 2 - 0.5 * (a[0] - b[0])
+    assert got == {a: max(held[b] - move(a, b) for b in held if near(a, b)) for a in held}
