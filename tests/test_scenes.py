@@ -172,3 +172,11 @@ def test_loss_field_is_output_losses(spark):
     others = spark.createDataFrame([(e, *y) for e in range(len(b)) for k, y in enumerate(b) if k != e], f"example_id long, {SIDES}")
     want = {(r["example_id"], r["cell_id"]): r["loss"] for r in selection.output_losses(cells, own, others).collect()}
     assert got == want and len(set(want.values())) == 3 and np.isneginf(min(want.values()))
+
+
+def test_draws_of_an_image_are_bytes(spark):
+    """A byte a resample, more only where one drew an image over 255 times."""
+    draws = spark.createDataFrame([(0, 4, 3), (9, 4, 1), (2, 5, 70000)], "replicate long, image_id long, times long")
+    got = {r["image_id"]: r["w"] for r in bootstrap.draw_arrays(draws, 10).collect()}
+    assert len(got[4]) == 10 and bootstrap._times(got[4], 10).tolist() == [3, 0, 0, 0, 0, 0, 0, 0, 0, 1]
+    assert len(got[5]) == 30 and bootstrap._times(got[5], 10).tolist() == [0, 0, 70000, 0, 0, 0, 0, 0, 0, 0]
