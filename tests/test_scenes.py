@@ -180,3 +180,12 @@ def test_draws_of_an_image_are_bytes(spark):
     got = {r["image_id"]: r["w"] for r in bootstrap.draw_arrays(draws, 10).collect()}
     assert len(got[4]) == 10 and bootstrap._times(got[4], 10).tolist() == [3, 0, 0, 0, 0, 0, 0, 0, 0, 1]
     assert len(got[5]) == 30 and bootstrap._times(got[5], 10).tolist() == [0, 0, 70000, 0, 0, 0, 0, 0, 0, 0]
+
+
+def test_tiles_copy_a_window_a_few_times(spark):
+    """Few large boxes cost a copy of a window, not one for each of their sizes."""
+    w, b = (f(spark, "/root/testdata/sf0.01") for f in (scene_windows, scene_boxes))
+    lowest, top, of_windows, of_boxes = spatial.grid(w, b)
+    assert of_windows == of_boxes == [0, top]
+    many = b.withColumn("x2", running.F.when(running.F.col("box_id") % 3 == 0, running.F.col("x2") + 2000 * (1 + running.F.col("box_id") % 2)).otherwise(running.F.col("x2")))
+    assert spatial.grid(w, many, 256)[1] is None
