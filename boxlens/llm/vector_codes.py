@@ -110,7 +110,7 @@ def _sums(kept: DataFrame, books: list[np.ndarray], edge: list[int]) -> list[np.
         rows = total[p, e]
         yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(e), *(pa.array(rows[:, k]) for k in range(width + 1))], ["part", "entry", "n", *names])
 
-    schema = "part long, entry long, n long, " + ", ".join(f"{s} long" for s in names)
+    schema = ", ".join(f"{s} long" for s in ("part", "entry", "n", *names))
     found = arrow_map(kept.select("embedding"), run, schema).groupBy("part", "entry").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
     new = [b.copy() for b in books]
     for r in found.collect():  # a row an entry
