@@ -182,3 +182,20 @@ def test_copies_of_objects_make_no_pairs(spark):
     for least in (None, 0.5):
         got = {r["det_id"]: (-r["iou"], r["gt_id"], r["difficult"]) for r in matching.best_match(d, copies, least).collect()}
         assert got == {k: v for k, v in plain.items() if -v[0] >= (least or 0)}
+
+
+def copied(spark, seed, n=12):
+    """Detections, and n objects of each box."""
+    det, gt = random_tables(seed)
+    more = [(g[0] + 1000 * k, *g[1:]) for g in gt for k in range(n)]
+    return det, more, spark.createDataFrame(det, DET), spark.createDataFrame(more, GT)
+
+
+def test_pairs_stand_for_copies_in_lists(spark, monkeypatch):
+    """Rows of every pair, from joins of different boxes whose objects are listed five a row."""
+    monkeypatch.setattr(matching, "LISTED", 5)
+    _, gt, d, g = copied(spark, 11)
+    lists = matching.listed(g, matching.KEYS, "gt_id").collect()
+    assert len(lists) <= len(gt) / 4 and sorted(i for r in lists for i in r["ids"]) == sorted(x[0] for x in gt)
+    want = [(r["d_det_id"], r["g_gt_id"], round(r["iou"], 9)) for r in matching.overlapping_pairs(d, g).collect()]
+    assert want and sorted(map(tuple, matching.pairs_of_copies(d, g).collect())) == sorted(want)
