@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from boxlens.functions import boxes
-from boxlens.operators import bootstrap, evaluation, matching, ranking, running, selection, suppression
+from boxlens.operators import bootstrap, evaluation, grammar, matching, ranking, running, selection, suppression
 from pyspark.sql import functions as F
 
 DET = "det_id long, image_id long, cls_id long, x1 long, y1 long, x2 long, y2 long, score double"
@@ -199,3 +199,20 @@ def test_pairs_stand_for_copies_in_lists(spark, monkeypatch):
     assert len(lists) <= len(gt) / 4 and sorted(i for r in lists for i in r["ids"]) == sorted(x[0] for x in gt)
     want = [(r["d_det_id"], r["g_gt_id"], round(r["iou"], 9)) for r in matching.overlapping_pairs(d, g).collect()]
     assert want and sorted(map(tuple, matching.pairs_of_copies(d, g).collect())) == sorted(want)
+
+
+def test_beliefs_and_rivals_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(matching, "LISTED", 5)
+    _, _, d, g = copied(spark, 12)
+    pairs, want = matching.overlapping_pairs(d, g).collect(), []
+    for k in {r["g_gt_id"] for r in pairs}:
+        own = [r for r in pairs if r["g_gt_id"] == k]
+        b = min((r for r in own if r["iou"] >= 0.3), key=lambda r: (-r["d_score"], r["d_det_id"]), default=None)
+        for r in own if b else ():
+            raised = r["d_score"] + (r["iou"] < 0.5)
+            if r["d_det_id"] == b["d_det_id"]:
+                want.append((k, r["d_det_id"], r["d_score"], True))
+            elif any(r["d_" + c] != b["d_" + c] for c in boxes.SIDES) and raised >= b["d_score"] - 0.01:
+                want.append((k, r["d_det_id"], raised, False))
+    found = grammar.belief_and_rivals(d, g, 0.3)
+    assert want and sorted(map(tuple, found.collect())) == sorted(want)
