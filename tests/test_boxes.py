@@ -216,3 +216,15 @@ def test_beliefs_and_rivals_of_copies(spark, monkeypatch):
                 want.append((k, r["d_det_id"], raised, False))
     found = grammar.belief_and_rivals(d, g, 0.3)
     assert want and sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_losses_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(matching, "LISTED", 5)
+    det, gt, d, g = copied(spark, 13)
+    want = []
+    for e in gt:
+        for x in (x for x in det if x[1:3] == e[1:3]):
+            own, others = iou(x[3:7], e[3:7]), any(iou(x[3:7], o[3:7]) >= 0.5 for o in gt if o[1:3] == e[1:3] and o[0] != e[0])
+            want.append((e[0], x[0], float("-inf") if own < 0.1 or others else float(own < 0.5)))
+    got = selection.loss_field(d, g, matching.KEYS, "det_id", "gt_id")
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
