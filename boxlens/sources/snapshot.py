@@ -6,8 +6,8 @@ A snapshot is a folder of part files and manifests. A part is records one after
     | norm f64 | zero bool | belief bool | mined bool | loss f64
 
 the bracketed part only where there are blocks. Behind the records lies an index of GROUP records each: offset, records, least and
-largest data id, checksum. Readers take an index group as a partition, skip groups that a filter on dataid rules out, and check
-each group's sum and each record's norm. A write's parts count only from the moment that a manifest names them, so a failed write
+largest data id, checksum. Readers take an index group as a partition, or some that follow one another where there are over
+PARTITIONS, skip groups that a filter on dataid rules out, and check each group's sum and each record's norm. A write's parts count only from the moment that a manifest names them, so a failed write
 leaves a snapshot as it was.
 """
 
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
@@ -30,6 +31,10 @@ from boxlens.tables import _setting, written
 
 HEAD, TAIL, GROUP_ENTRY, FOOT = struct.Struct("<4iii?d"), struct.Struct("<d???d"), struct.Struct("<qiiiI"), struct.Struct("<qi8s")
 MAGIC, GROUP = b"BLSNAP01", 4096
+#: Partitions of a reader, about, however many groups there are; bytes whose places are held at once.
+PARTITIONS, PLACED = 1000, 1 << 22
+SIZES, HEAD_TYPE = struct.Struct("<ii"), np.dtype([("key", "<i4", 4), ("blocks", "<i4"), ("values", "<i4"), ("unique", "u1"), ("score", "<f8")])
+TAIL_TYPE = np.dtype([("norm", "<f8"), ("zero", "u1"), ("belief", "u1"), ("mined", "u1"), ("loss", "<f8")])
 SCHEMA = "dataid int, scale int, x int, y int, bls array<int>, feat array<float>, is_unique boolean, score double, norm double, is_zero boolean, is_belief boolean, is_mined boolean, loss double"
 ARROW = pa.schema([("dataid", pa.int32()), ("scale", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("bls", pa.list_(pa.int32())), ("feat", pa.list_(pa.float32())), ("is_unique", pa.bool_()), ("score", pa.float64()), ("norm", pa.float64()), ("is_zero", pa.bool_()), ("is_belief", pa.bool_()), ("is_mined", pa.bool_()), ("loss", pa.float64())])
 
@@ -77,12 +82,92 @@ def unpack(data: bytes, base: int = 0, name: str = "") -> Iterator[tuple]:
         at = end + TAIL.size
 
 
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Places of spans of bytes, one span after another, PLACED or a span at a time: where they are among all, and the places."""
+    ends = np.cumsum(lengths)
+    low = 0
+    while low < len(starts):
+        before = ends[low] - lengths[low]
+        high = max(low + 1, int(np.searchsorted(ends, before + PLACED, side="right")))
+        n = lengths[low:high]
+        yield slice(int(before), int(ends[high - 1])), np.repeat(starts[low:high] - (ends[low:high] - n - before), n) + np.arange(ends[high - 1] - before)
+        low = high
+
+
+def _norms(feat: np.ndarray, values: np.ndarray) -> np.ndarray:
+    wide = feat.astype(np.float64)
+    return np.sqrt(np.bincount(np.repeat(np.arange(len(values)), values), weights=wide * wide, minlength=len(values)))
+
+
+def pack_all(b: pa.RecordBatch) -> bytes:
+    """pack() of a batch's rows, one after another."""
+
+    def numbers(name: str, kind: str) -> np.ndarray:
+        if b[name].null_count:
+            raise ValueError(f"{name} is null")
+        return b[name].to_numpy(zero_copy_only=False).astype(kind)
+
+    flags = lambda name: pc.fill_null(b[name], False).to_numpy(zero_copy_only=False).astype(np.uint8)
+    sizes = lambda name: pc.fill_null(pc.list_value_length(b[name]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    blocks, values = sizes("bls"), sizes("feat")
+    bls, feat = b["bls"].flatten(), b["feat"].flatten().to_numpy(zero_copy_only=False).astype("<f4")
+    if bls.null_count:
+        raise ValueError("bls holds null")
+    bls = bls.to_numpy(zero_copy_only=False).astype("<i4")
+    feat, values = feat[np.repeat(blocks > 0, values)], np.where(blocks > 0, values, 0)
+    head, tail = np.zeros(b.num_rows, HEAD_TYPE), np.zeros(b.num_rows, TAIL_TYPE)
+    for k, name in enumerate(("dataid", "scale", "x", "y")):
+        head["key"][:, k] = numbers(name, "<i4")
+    head["blocks"], head["values"], head["unique"], head["score"] = blocks, values, flags("is_unique"), numbers("score", "<f8")
+    tail["norm"], tail["zero"], tail["belief"], tail["mined"], tail["loss"] = _norms(feat, values), blocks == 0, flags("is_belief"), flags("is_mined"), numbers("loss", "<f8")
+    ends = np.cumsum(HEAD.size + 4 * (blocks + values) + TAIL.size)
+    body = ends - TAIL.size - 4 * (blocks + values)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for starts, lengths, data in ((body - HEAD.size, np.full(len(ends), HEAD.size), head), (body, 4 * blocks, bls), (body + 4 * blocks, 4 * values, feat), (ends - TAIL.size, np.full(len(ends), TAIL.size), tail)):
+        raw = np.frombuffer(data.tobytes(), np.uint8)
+        for among, places in _spans(starts, lengths):
+            out[places] = raw[among]
+    return out.tobytes()
+
+
+def unpack_all(data: bytes, base: int = 0, name: str = "") -> pa.RecordBatch:
+    """unpack() as a batch. Only where a record starts is found one by one; a damaged one is left to unpack(), which names it."""
+    starts, at, least = [], 0, HEAD.size + TAIL.size
+    while at + least <= len(data):
+        blocks, values = SIZES.unpack_from(data, at + 16)
+        if blocks < 0 or values < 0:
+            break
+        starts.append(at)
+        at += least + 4 * (blocks + values)
+    whole = at == len(data)
+    if whole:
+        raw, starts = np.frombuffer(data, np.uint8), np.array(starts, np.int64)
+
+        def taken(starts: np.ndarray, lengths: np.ndarray, kind) -> np.ndarray:
+            return np.frombuffer(b"".join(raw[places].tobytes() for _, places in _spans(starts, lengths)), kind)
+
+        head = taken(starts, np.full(len(starts), HEAD.size), HEAD_TYPE)
+        blocks, values = head["blocks"].astype(np.int64), head["values"].astype(np.int64)
+        body = starts + HEAD.size
+        tail = taken(body + 4 * (blocks + values), np.full(len(starts), TAIL.size), TAIL_TYPE)
+        bls, feat = taken(body, 4 * blocks, "<i4"), taken(body + 4 * blocks, 4 * values, "<f4")
+        flags = [head["unique"], *[tail[c] for c in ("zero", "belief", "mined")]]
+        whole = not any((f > 1).any() for f in flags) and (tail["zero"] == (blocks == 0)).all() and not values[blocks == 0].any() and np.isclose(tail["norm"], _norms(feat, values), rtol=1e-6, atol=1e-9).all()
+    if not whole:
+        columns = list(zip(*unpack(data, base, name), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, ARROW, strict=True)], schema=ARROW)
+    lists = lambda n, v: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(v))
+    each = [*[np.ascontiguousarray(head["key"][:, k]) for k in range(4)], lists(blocks, bls), lists(values, feat), head["unique"].astype(bool), head["score"], tail["norm"], *[tail[c].astype(bool) for c in ("zero", "belief", "mined")], tail["loss"]]
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(np.ascontiguousarray(v), t.type) for v, t in zip(each, ARROW, strict=True)], schema=ARROW)
+
+
 @dataclass
 class Group(InputPartition):
+    """Groups of a part that follow one another: (length, checksum) of each, the first at offset."""
+
     part: str
     offset: int
-    length: int
-    checksum: int
+    groups: list[tuple[int, int]]
 
 
 @dataclass
@@ -109,22 +194,29 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Group]:
         store, root = _at(self.path)
-        out = []
-        for part in _parts(store, root):
-            out += [Group(part, a, n, c) for a, n, low, high, c in _index(store, f"{root}/{part}") if high >= self.low and low <= self.high]
+        found = [(part, a, n, c) for part in _parts(store, root) for a, n, low, high, c in _index(store, f"{root}/{part}") if high >= self.low and low <= self.high]
+        together, out = -(-len(found) // PARTITIONS), []
+        for part, a, n, c in found:
+            last = out[-1] if out else None
+            if last and last.part == part and len(last.groups) < together and last.offset + sum(g[0] for g in last.groups) == a:
+                last.groups.append((n, c))
+            else:
+                out.append(Group(part, a, [(n, c)]))
         return out
 
     def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
         store, root = _at(self.path)
         if partition is None:
             return
+        at = partition.offset
         with store.open_input_file(f"{root}/{partition.part}") as f:
-            data = f.read_at(partition.length, partition.offset)
-        rows = list(unpack(data, partition.offset, partition.part))  # first, as it names the record
-        if len(data) != partition.length or zlib.crc32(data) != partition.checksum:
-            raise DamagedSnapshot(f"{partition.part}: damaged group at offset {partition.offset}")
-        columns = list(zip(*rows, strict=True)) or [()] * len(ARROW)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, ARROW, strict=True)], schema=ARROW)
+            for length, checksum in partition.groups:
+                data = f.read_at(length, at)
+                batch = unpack_all(data, at, partition.part)  # first, as it names the record
+                if len(data) != length or zlib.crc32(data) != checksum:
+                    raise DamagedSnapshot(f"{partition.part}: damaged group at offset {at}")
+                yield batch
+                at += length
 
 
 class FilteringReader(Reader):
@@ -165,25 +257,26 @@ class Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         """A part of one task; without rows none. Records are in the order of the rows, GROUP at a time in memory."""
         store, root = _at(self.path)
-        name, entries, out, at, held = f"part-{uuid.uuid4().hex}", [], None, 0, []
+        name, entries, out, at, held, n = f"part-{uuid.uuid4().hex}", [], None, 0, [], 0
 
         def flush() -> None:
-            nonlocal out, at, held
+            nonlocal out, at, held, n
             if held:
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}")
-                data, ids = b"".join(pack(r) for r in held), [r["dataid"] for r in held]
+                data, ids = b"".join(map(pack_all, held)), [pc.min_max(b["dataid"]).as_py() for b in held]
                 out.write(data)
-                entries.append((at, len(held), min(ids), max(ids), zlib.crc32(data)))
-                at, held = at + len(data), []
+                entries.append((at, n, min(i["min"] for i in ids), max(i["max"] for i in ids), zlib.crc32(data)))
+                at, held, n = at + len(data), [], 0
 
         try:
             for b in iterator:
-                for s in range(0, b.num_rows, GROUP):
-                    rows = b.slice(s, GROUP).to_pylist()
-                    held += rows
-                    if len(held) >= GROUP:
+                s = 0
+                while s < b.num_rows:
+                    rows = b.slice(s, GROUP - n)
+                    held, n, s = [*held, rows], n + rows.num_rows, s + rows.num_rows
+                    if n >= GROUP:
                         flush()
             flush()
             if out is not None:

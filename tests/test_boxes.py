@@ -228,3 +228,11 @@ def test_losses_of_copies(spark, monkeypatch):
             want.append((e[0], x[0], float("-inf") if own < 0.1 or others else float(own < 0.5)))
     got = selection.loss_field(d, g, matching.KEYS, "det_id", "gt_id")
     assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 200])
+def test_ranges_by_halving(spark, n):
+    cuts = [float(2 * k) for k in range(n)]
+    got = {r["v"]: r["b"] for r in spark.range(-3, 2 * n + 3).select(F.col("id").alias("v"), ranking._bucket("id", cuts).alias("b")).collect()}
+    assert got == {v: sum(c <= v for c in cuts) for v in got} and len(got) == 2 * n + 6
+    assert spark.sql("SELECT CAST(NULL AS BIGINT) AS id").select(ranking._bucket("id", cuts).alias("b")).first()["b"] == 0

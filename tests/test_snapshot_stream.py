@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,28 @@ def test_snapshot_groups_are_read_apart(spark, tmp_path):
     assert spark.conf.get("spark.sql.python.filterPushdown.enabled") == "false"
 
 
+def test_snapshot_batches_are_records(spark, monkeypatch):
+    """Batches are packed and unpacked as their records are, also a few bytes at a time; a reader of many groups takes several at once."""
+    monkeypatch.setattr(snapshot, "PLACED", 40)
+    rows = [r.asDict() for r in records(spark, 60).collect()]
+    batch = pa.RecordBatch.from_pylist([*rows, rows[1] | {"bls": None}, rows[2] | {"feat": None}], schema=snapshot.ARROW)
+    data = snapshot.pack_all(batch)
+    assert data == b"".join(map(snapshot.pack, batch.to_pylist())) and snapshot.pack_all(batch.slice(7, 9)) == b"".join(map(snapshot.pack, batch.slice(7, 9).to_pylist()))
+    assert [tuple(r.values()) for r in snapshot.unpack_all(data).to_pylist()] == list(snapshot.unpack(data))
+    assert snapshot.unpack_all(b"").num_rows == 0 and snapshot.pack_all(batch.slice(0, 0)) == b""
+
+
+def test_many_groups_are_few_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "GROUP", 10)
+    monkeypatch.setattr(snapshot, "PARTITIONS", 3)
+    path, writer = str(tmp_path / "s"), snapshot.Writer(str(tmp_path / "s"), False)
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in records(spark, 95).collect()], schema=snapshot.ARROW)
+    writer.commit([writer.write(iter([batch.slice(0, 33), batch.slice(33)]))])
+    reader = snapshot.Reader(path)
+    assert [len(p.groups) for p in reader.partitions()] == [4, 4, 2]
+    assert [i for p in reader.partitions() for b in reader.read(p) for i in b["dataid"].to_pylist()] == list(range(95))
+
+
 @pytest.mark.parametrize("place,value", [(16, 255), (24, 7), (70, None)])
 def test_damaged_records_are_named(spark, tmp_path, place, value):
     path = str(tmp_path / "s")
