@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,24 +73,30 @@ def latent_objective(cache: DataFrame, c: float, regularisation: np.ndarray) ->
         def run(batches):
             value, g = 0.0, np.zeros(len(w))
             last, raised, top = None, 0.0, None  # the open example, its best score and that row
-            for d in batches:
-                if not len(d):
+            for b in batches:
+                if not b.num_rows:
                     continue
-                x, ids, belief = np.stack(d["x"].to_numpy()), d["example_id"].to_numpy(), d["is_belief"].to_numpy(bool)
-                score = x @ w
-                value, g = value - float(score[belief].sum()), g - x[belief].sum(axis=0)
-                lossy = np.where(belief, score, score + d["loss"].to_numpy(float))
+                x = b["x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(w))
+                ids, belief, loss = (b[c].to_numpy(zero_copy_only=False) for c in ("example_id", "is_belief", "loss"))
+                score, belief = x @ w, belief.astype(bool)
+                value, g = value - float(score[belief].sum()), g - belief @ x
+                lossy = np.where(belief, score, score + loss)
                 order = np.lexsort((-lossy, ids))
-                for i in order[np.r_[True, ids[order][1:] != ids[order][:-1]]]:
-                    if top is not None and ids[i] == last and lossy[i] <= raised:
-                        continue
-                    if top is not None and ids[i] != last:
+                best = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]  # of each example, which come in order
+                if top is not None and ids[best[0]] == last:
+                    if lossy[best[0]] <= raised:
+                        best = best[1:]
+                    else:
+                        top = None
+                if len(best):
+                    if top is not None:
                         value, g = value + raised, g + top
-                    last, raised, top = ids[i], float(lossy[i]), x[i]
+                    value, g = value + float(lossy[best[:-1]].sum()), g + x[best[:-1]].sum(axis=0)
+                    last, raised, top = ids[best[-1]], float(lossy[best[-1]]), x[best[-1]].copy()
             if top is not None:
-                yield pd.DataFrame({"a": [[value + raised, *(g + top)]]})
+                yield pa.RecordBatch.from_pydict({"a": [[value + raised, *(g + top)]]})
 
-        found = summed(grouped.mapInPandas(run, "a array<double>"), "a", len(w) + 1)
+        found = summed(grouped.mapInArrow(run, "a array<double>"), "a", len(w) + 1)
         return 0.5 * float((regularisation * w * w).sum()) + c * found[0], regularisation * w + c * found[1:]
 
     objective.release = grouped.unpersist
