@@ -43,6 +43,8 @@ def stream_sessions(spark, sf_dir):
 
 #: Detections of one event's time.
 EACH = 6
+#: Rows of a stream that share state, in the mean.
+ROWS_A_PART = 50_000
 
 
 @query(f"""WITH {DET_SQL}, {GT_SQL}, {PAIRS_SQL}, {BEST_SQL},
@@ -56,8 +58,10 @@ def stream_claims(spark, sf_dir):
     rows.write.parquet(f"{root}/in/rows")
     last = spark.range(1).select(F.lit(-1).cast("long").alias("gt_id"), F.lit(-1).cast("long").alias("det_id"), F.lit(0.0).alias("score"), F.lit(False).alias("difficult"), F.to_timestamp(F.lit("2100-01-01")).alias("ts"))
     last.write.parquet(f"{root}/in/end")
+    n = spark.read.parquet(f"{root}/in/rows").agg(F.count("*").alias("n"), F.count_distinct(F.to_date("ts")).alias("days")).first()
+    parts = max(claims.PARTS, -(-n["n"] // (ROWS_A_PART * max(1, n["days"]))))
     with claims.state_in_rocks(spark):
         # files come in no order, so the watermark stays behind all that the table spans
-        stream = claims.claim_stream(detections.read_files(spark, f"{root}/in/*", rows.schema), "day", 86400, "400 days")
+        stream = claims.claim_stream(detections.read_files(spark, f"{root}/in/*", rows.schema), "day", 86400, "400 days", parts)
         detections.run_available(stream, f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out").withColumn("span", F.col("span").cast("timestamp_ntz"))

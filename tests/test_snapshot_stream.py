@@ -137,3 +137,25 @@ def test_claims_change_hands_until_the_watermark(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
     got = sorted((r["gt_id"], r["span"].day, r["det_id"], r["outcome"], r["place"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(1, 1, 10, "fp", 2), (1, 1, 11, "tp", 1), (1, 2, 12, "fp", 2), (1, 2, 14, "tp", 1), (2, 1, 20, "ignored", 1), (3, 1, 30, "fp", 2), (3, 1, 31, "tp", 1)]
+
+
+def test_objects_of_a_span_share_state(spark, tmp_path):
+    """There are as many timers as spans and parts, however many objects; outcomes are each object's own."""
+    day = dt.datetime(2024, 1, 1)
+    rows = [(g, 10 * g + k, float((g * 7 + k * 5) % 4), (g + k) % 5 == 0, day + dt.timedelta(hours=30 * (g % 2) + k)) for g in range(200) for k in range(3)]
+    spark.createDataFrame([*rows, rows[0]], "gt_id long, det_id long, score double, difficult boolean, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    time.sleep(0.05)
+    spark.createDataFrame([(-1, -1, 0.0, False, day + dt.timedelta(days=900))], "gt_id long, det_id long, score double, difficult boolean, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
+    with claims.state_in_rocks(spark):
+        stream = claims.claim_stream(detections.read_files(spark, f"{tmp_path}/in/*", schema, 1), "day", 86400, "400 days", 4)
+        run = stream.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    timers = max(int(o["customMetrics"].get("numRegisteredTimers", 0)) for p in run.recentProgress for o in p["stateOperators"])
+    assert 0 < timers <= 8
+    want = []
+    for g in range(200):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], -r[1]))
+        want += [(g, r[1], "ignored" if r[3] else "tp" if k == 0 else "fp", k + 1) for k, r in enumerate(own)]
+    got = [(r["gt_id"], r["det_id"], r["outcome"], r["place"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got) == sorted(want)
