@@ -104,6 +104,36 @@ def test_machine_gap_is_reported(spark):
         kernel_machine.fit(frame, gap=-1.0, rounds=2)
 
 
+def noisy_rows(n):
+    rng = np.random.default_rng(n)
+    return rng.uniform(size=(n, 4)), np.where(rng.uniform(size=n) < 0.3, 1, -1)
+
+
+def test_factored_machine_is_as_good_as_the_whole_one():
+    x, y = noisy_rows(500)
+    k, cost = kernel_machine.kernel(x, x), kernel_machine.costs_of(y)
+    whole, _ = kernel_machine.solve(k, y.astype(float), cost)
+    dual = lambda a: a.sum() - (a * y) @ k @ (a * y) / 2
+    alpha, bias, square = kernel_machine._large(x, y.astype(float), 1e-4)
+    score = kernel_machine.values(x, x, alpha * y, bias)
+    assert np.allclose(score, k @ (alpha * y) + bias, atol=1e-8)  # added up by monomials
+    assert abs(alpha @ y) < 1e-9 and (alpha >= 0).all() and (alpha <= cost).all() and square == pytest.approx((alpha * y) @ k @ (alpha * y))
+    primal = square / 2 + cost @ np.maximum(0, 1 - y * score)
+    assert dual(alpha) <= dual(whole) + 1e-6 <= primal <= dual(alpha) * (1 + 1e-4)
+
+
+def test_sets_of_many_support_vectors_end_in_few_rounds(spark):
+    """Labels that the rows do not tell make most of them support vectors: sets grow to them in a few rounds, and none is solved on its whole kernel."""
+    x, y = noisy_rows(6000)
+    frame = spark.createDataFrame([(0, k, int(b), a.tolist()) for k, (a, b) in enumerate(zip(x, y, strict=True))], "cls_id long, row_id long, label int, x array<double>")
+    support, report = kernel_machine.fit(frame, rounds=6)
+    r = report.first()
+    assert r["gap"] <= 1e-3 and r["rows"] == 6000 and 3000 < r["support"] == support.count()
+    score = np.array([v["score"] for v in kernel_machine.rescore(frame, support).orderBy("row_id").collect()])
+    loss = float(kernel_machine.costs_of(y) @ np.maximum(0, 1 - y * score))
+    assert r["dual"] <= loss + 1e-6 and loss <= r["primal"] + 1e-6
+
+
 # mirrored clusters
 
 
