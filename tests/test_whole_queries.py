@@ -83,3 +83,18 @@ def test_context_scores_against_numpy(spark):
     got = {r["det_id"]: r["score"] for r in QUERIES["context_rescore"](spark, SF).collect()}
     assert set(got) == set(x)
     assert np.allclose([got[k] for k in x], rescoring.expanded(np.array(list(x.values()))) @ w, rtol=1e-6, atol=1e-6)
+
+
+def test_context_machine_needs_no_columns_of_products(monkeypatch):
+    """Scores and gradients by forms are those of the expanded rows, also in parts of an Arrow batch that is a slice."""
+    import pyarrow as pa
+
+    x, rng = np.random.default_rng(1).uniform(size=(23, 6)), np.random.default_rng(2)
+    z = rescoring.expanded(x)
+    w, c = rng.normal(size=z.shape[1]), rng.normal(size=23)
+    assert np.allclose(rescoring.scored(x, w), z @ w) and np.allclose(rescoring.weighted(x, c), c @ z)
+    monkeypatch.setattr(rescoring, "ROWS", 5)
+    batch = pa.RecordBatch.from_pydict({"x": x.tolist()}).slice(3, 17)
+    parts = list(rescoring.matrices(batch))
+    assert [len(p) for p, _ in parts] == [5, 5, 5, 2] and np.array_equal(np.concatenate([p for p, _ in parts]), x[3:20])
+    assert np.array_equal(np.concatenate([x[3:20][at] for _, at in parts]), x[3:20])
